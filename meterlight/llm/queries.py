@@ -37,8 +37,16 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_documents
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return score_documents(docs, documents(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op6_toxicity": op6_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
