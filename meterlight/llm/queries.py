@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents
@@ -44,10 +44,28 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, documents(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "spans")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan_documents
+
+    def text(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    found = scan_documents(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(text(F.filter("secrets", lambda s: s.kind != "markov")), 256).alias("base_sha256"),
+        text(F.col("secrets")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op6_toxicity": op6_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_secret_scan": op9_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": OP8_SQL,
