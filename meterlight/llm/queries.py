@@ -61,11 +61,19 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .surrogates import pseudonymised
+
+    new = pseudonymised(documents(spark, sf_dir).select("doc_id", "text"), key=b"meterlight-surrogates-1")
+    return new.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op6_toxicity": op6_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": OP8_SQL,
