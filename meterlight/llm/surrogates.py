@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -27,9 +26,9 @@ from .shared import add_columns, kept
 EMAIL = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ._%+-]+@[A-Za-z0-9À-ÖØ-öø-ÿ-]+(?:\.[A-Za-z0-9À-ÖØ-öø-ÿ-]+)+")
 IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)", re.ASCII)
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", re.ASCII)
-CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", re.ASCII)
+CARD = re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})(?![\w-])", re.ASCII)
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII)
-PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)|\+\d{8,15}(?!\w)", re.ASCII)
+PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w|\.\d)|\+\d{8,15}(?!\w)", re.ASCII)
 NUMERIC = (("ip", IPV4), ("iban", IBAN), ("card", CARD), ("ssn", SSN), ("phone", PHONE))
 HONORIFICS = {
     "m": ("Mr", "Herr", "Monsieur", "Señor", "Don", "господин", "Господин", "κύριος"),
@@ -83,38 +82,39 @@ def _names(text: str) -> list[Found]:
 
 
 def find(text: str) -> list[Found]:
-    """Entities by start; of those that overlap, the kind listed first stays."""
+    """Entities by start. Kinds are sought one after the other, in what the kinds before have left."""
     found: list[Found] = []
-    if "@" in text:
-        found += [(m.start(), m.end(), "email", m.group().lower()) for m in EMAIL.finditer(text)]
+
+    def take(kind: str, pattern: re.Pattern, left: str) -> str:
+        own = []
+        for m in pattern.finditer(left):
+            value = m.group().lower() if kind == "email" else m.group() if kind == "ip" else "".join(c for c in m.group() if c.isalnum())
+            if kind == "phone":
+                if len(value) < 7:
+                    continue
+                value = "+" * (m.group()[0] == "+") + value
+            own.append((m.start(), m.end(), kind, value))
+        found.extend(own)
+        return _without(left, own)
+
+    left = take("email", EMAIL, text) if "@" in text else text
     if re.search(r"\d", text):
         for kind, pattern in NUMERIC:
-            for m in pattern.finditer(text):
-                value = m.group() if kind == "ip" else "".join(c for c in m.group() if c.isalnum())
-                if kind == "phone" and m.group()[0] == "+":
-                    value = f"+{value}"
-                if kind != "phone" or sum(c.isdigit() for c in value) >= 7:
-                    found.append((m.start(), m.end(), kind, value))
+            left = take(kind, pattern, left)
     if any(t in text for t in _TITLES):
-        found += _names(text)
-    out: list[Found] = []
-    taken: list[tuple[int, int]] = []
-    if len(found) < 2:
-        return found
-    rank = {kind: k for k, kind in enumerate(("email", "ip", "iban", "card", "ssn", "phone"))}
-    for f in sorted(found, key=lambda f: (rank.get(f[2], 9), f[0])):
-        if _free(taken, f[0], f[1]):
-            out.append(f)
-    return sorted(out)
-
-
-def _free(taken: list[tuple[int, int]], start: int, end: int) -> bool:
-    """Whether nothing that is taken overlaps; then it is taken. taken stays sorted."""
-    at = bisect_left(taken, (start, end))
-    if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
-        return False
-    taken.insert(at, (start, end))
-    return True
+        found += _names(left)
+    return sorted(found)
+
+
+def _without(text: str, found: list[Found]) -> str:
+    """The text with what was found blanked out, as long as before."""
+    if not found:
+        return text
+    out, at = [], 0
+    for start, end, *_ in found:
+        out += [text[at:start], "\n" * (end - start)]
+        at = end
+    return "".join([*out, text[at:]])
 
 
 def _stream(key: bytes, label: str) -> Iterator[int]:
