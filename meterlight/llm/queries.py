@@ -68,12 +68,23 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
 
 
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .lattice_lm import score_documents
+    from .shared import fold
+
+    scores = score_documents(documents(spark, sf_dir).select("doc_id", "text", "lang"), fold(F.col("doc_id"), 10) != 0, public_tokenizers.path("piece_bpe_32k.model"), F.col("lang"))
+    return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op6_toxicity": op6_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op5_lattice_lm": op5_lattice_lm,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": OP8_SQL,

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import add_columns
+from .shared import add_columns, fold
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Words whose emission a worker remembers.
@@ -289,11 +289,6 @@ def toxicity(docs: DataFrame, model: Field, text: Column) -> Column:
     return tagged(text)
 
 
-def fold(key: Column, folds: int) -> Column:
-    """crc32 of the key as text, modulo ``folds``; a null key counts as the empty text."""
-    return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % folds
-
-
 def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", folds: int = 5) -> DataFrame:
     """``docs`` with ``held_out``, ``score``, ``predicted`` and ``spans``; input columns of those names are replaced.
 
