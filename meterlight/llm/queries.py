@@ -22,6 +22,27 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archived, page_key
+
+    read = archived(spark, documents(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    body = F.when(F.col("type") == "response", F.octet_length("payload")).otherwise(F.col("payload_bytes"))
+    digest = F.when(F.col("type") == "response", F.sha1("payload")).otherwise(F.col("digest"))
+    return read.select(
+        page_key("id").alias("page_id"), body.cast("long").alias("payload_bytes"), digest.alias("payload_digest"),
+        F.col("type").alias("record_type"), page_key("refers_to").alias("refers_to"),
+    )
+
+
+OP1_SQL = """
+WITH t AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+     g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM t)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM g
+"""
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,6 +100,7 @@ def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
     "op6_toxicity": op6_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
@@ -87,5 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lattice_lm": op5_lattice_lm,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": OP1_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
