@@ -89,6 +89,17 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed, words
+    from .shared import text_of
+
+    docs = documents(spark, sf_dir).select("doc_id", "source", words(text_of()).alias("size"))
+    return mixed(docs, F.col("size")).select(
+        "_row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+        F.aggregate("_taken", F.lit(0).cast("long"), lambda a, t: a + t["n"]).alias("taken"),
+    )
+
+
 def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -106,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op4_source_mix": op4_source_mix,
     "op5_lattice_lm": op5_lattice_lm,
 }
 ORACLE_SQL: dict[str, str] = {
