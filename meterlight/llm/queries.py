@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .shared import documents
 
 
+def op7_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_join import near_join
+
+    return near_join(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id", "class_size", "n_links", "kept")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_byte_bpe": op2_byte_bpe,
     "op6_toxicity": op6_toxicity,
+    "op7_near_join": op7_near_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii_surrogates": op10_pii_surrogates,
