@@ -1,21 +1,61 @@
-"""The corpus pipeline: each stage takes what the one before kept."""
+"""The corpus pipeline: toxic documents go, then exact and near copies; what stays is mixed to target weights and encoded.
+
+Each stage takes what the one before kept, as a table, and decides on all of it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlight.llm.bpe import ByteBPE, decode_documents, encode_documents
 from meterlight.llm.exact_dedup import exact_dedup
+from meterlight.llm.mixing import mixed_texts
+from meterlight.llm.near_join import near_join
 from meterlight.llm.shared import documents, kept
+from meterlight.llm.toxicity import score_documents
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field doesn't call toxic."""
+    return score_documents(docs, documents(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the least id."""
     return exact_dedup(docs).where("kept").select(*docs.columns)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("exact dedup", dedup)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies, the row with the least id."""
+    return near_join(docs).where("kept").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each document and pass of the mix, with the words that this pass takes; ``n_chars`` follows the text."""
+    rows = mixed_texts(docs)
+    return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of each row, and whether they decode to its text."""
+    bpe = ByteBPE(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = decode_documents(encode_documents(docs.select("doc_id", "source", "lang", "text"), bpe), bpe)
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return coded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("exact dedup", dedup),
+    ("near copies", near_copies),
+    ("source mix", mix),
+    ("byte-level BPE", encode),
+]
+#: SQL has no field, forest or merge queue.
 ORACLE_SQL = None
 
 
