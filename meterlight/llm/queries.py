@@ -95,6 +95,13 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
 
 
+def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import bm25_top_k
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return bm25_top_k(docs, docs.where("doc_id % 100 = 0"), k=10)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed, words
     from .shared import text_of
@@ -124,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op3_search": op3_search,
     "op4_source_mix": op4_source_mix,
     "op5_lattice_lm": op5_lattice_lm,
 }
