@@ -9,12 +9,12 @@ wrong answer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import SPACE, add_columns, join_counted, kept, text_of
@@ -27,13 +27,34 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACE, " ")
 
 
-def _cells(hashes: pd.Series, half: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(bytes.fromhex(x[:32]) for x in hashes), dtype=">u8").reshape(-1, HALVES).astype(np.uint64)
+def of_hex(hashes: pd.Series) -> np.ndarray:
+    """Two 64-bit numbers of each hash."""
+    return np.frombuffer(b"".join(bytes.fromhex(x[:32]) for x in hashes), dtype=">u8").reshape(-1, HALVES).astype(np.uint64)
+
+
+def of_long(hashes: pd.Series) -> np.ndarray:
+    x = hashes.to_numpy().astype(np.int64).view(np.uint64)
+    return np.stack([x, (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(8)], axis=1)
+
+
+def _cells(raw: np.ndarray, half: int) -> np.ndarray:
     return (raw % np.uint64(half)).astype(np.int64) + np.arange(HALVES) * half
 
 
-def repeat_filter(hashes: DataFrame, column: str, rows: int, max_bits: int = 1 << 30) -> np.ndarray:
-    """Packed bits: set where at least two rows have set the cell. Of 16 to 32 cells a row, but at most ``max_bits`` (128 MB).
+def maybe_repeated(spark: SparkSession, bits: np.ndarray, numbers: Callable[[pd.Series], np.ndarray] = of_hex) -> Callable[[str], Column]:
+    """The second pass: whether all cells of a row were set at least twice."""
+    sent, half = spark.sparkContext.broadcast(bits), len(bits) * 8 // HALVES
+
+    @F.pandas_udf("boolean")
+    def repeated(h: pd.Series) -> pd.Series:
+        cells = _cells(numbers(h), half)
+        return pd.Series(((sent.value[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1).all(axis=1))
+
+    return repeated
+
+
+def repeat_filter(hashes: DataFrame, column: str, rows: int, max_bits: int = 1 << 30, numbers: Callable[[pd.Series], np.ndarray] = of_hex) -> np.ndarray:
+    """The first pass, as packed bits: set where at least two rows have set the cell. Of 16 to 32 cells a row, but at most ``max_bits`` (128 MB).
 
     Beyond ``max_bits / 16`` rows the filter stays as large and lets more rows through to the shuffle.
     """
@@ -41,7 +62,7 @@ def repeat_filter(hashes: DataFrame, column: str, rows: int, max_bits: int = 1 <
     half = bits // HALVES
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [_cells(b.column(0).to_pandas(), half).ravel() for b in batches if b.num_rows]
+        seen = [_cells(numbers(b.column(0).to_pandas()), half).ravel() for b in batches if b.num_rows]
         cells, n = np.unique(np.concatenate(seen or [np.empty(0, np.int64)]), return_counts=True)
         cuts = np.flatnonzero(np.diff(cells // SEGMENT)) + 1
         rows = []
@@ -80,13 +101,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bi
     spark = docs.sparkSession
     rows = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.sha2(normalised(text_of(text)), 256).alias("_hash"))
     found = repeat_filter(rows, "_hash", docs.count(), max_bits)
-    half = len(found) * 8 // HALVES
-    bits = spark.sparkContext.broadcast(found)
-
-    @F.pandas_udf("boolean")
-    def repeated(h: pd.Series) -> pd.Series:
-        cells = _cells(h, half)
-        return pd.Series(((bits.value[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1).all(axis=1))
+    repeated = maybe_repeated(spark, found)
 
     alone = add_columns(
         rows.where(~repeated("_hash")), "_row",

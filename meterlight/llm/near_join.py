@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import add_columns, join_counted, kept, text_of
+from .exact_dedup import maybe_repeated, of_long, repeat_filter
+from .shared import add_columns, join_counted, kept
 
 SHINGLE = 5
 TREES, DEPTH, SHALLOWEST = 16, 8, 3
@@ -189,6 +190,9 @@ def _links(reps: DataFrame, texts: DataFrame, depth: int, older: int | None, lea
     """What ``verified`` gives for all pairs that share a node at ``depth`` and none at ``older``."""
     deep = F.col(f"d{older}") if older else F.transform(f"d{depth}", lambda _: F.lit(0).cast("long"))
     each = reps.select("_id", F.explode(F.arrays_zip(F.col(f"d{depth}").alias("node"), deep.alias("deep"))).alias("e")).select("_id", F.col("e.node").alias("node"), F.col("e.deep").alias("deep"))
+    # most nodes have one text; a filter tells so before anything is shuffled
+    bits = repeat_filter(each, "node", TREES * reps.count(), numbers=of_long)
+    each = kept(each.where(maybe_repeated(reps.sparkSession, bits, of_long)("node")))
     groups = each.groupBy("node").agg(F.count("*").alias("n"), (F.min("deep") != F.max("deep")).alias("more")).where("n > 1")
     groups = kept((groups.where("more") if older else groups).select("node", "n"))
     total = groups.agg(F.sum("n")).first()[0]
@@ -238,7 +242,8 @@ def near_join(docs: DataFrame, text: str = "text", key: str = "doc_id", least: f
     linked with, copies too. Prefixes get shorter until the estimated share of links found is ``target``.
     """
     order = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_id").alias("id"))
-    rows = kept(docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), text_of(text).alias("_text"), F.monotonically_increasing_id().alias("_id")))
+    rows = kept(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_id")))
+    rows = rows.select("_row", "_id", F.col("_row")[key].alias("_key"), F.coalesce(F.col("_row")[text].cast("string"), F.lit("")).alias("_text"))
     signed = kept(_signed(rows))
     levels = [f"d{k}" for k in range(SHALLOWEST, DEPTH + 1)]
     copies = kept(signed.groupBy("seq").agg(F.min(order).alias("first"), F.count("*").alias("copies")))
