@@ -27,6 +27,8 @@ from .shared import add_columns, join_counted, kept
 SHINGLE = 5
 TREES, DEPTH, SHALLOWEST = 16, 8, 3
 BLOCK = 256
+#: Rounds in which candidates gather before they are dealt to blocks.
+GATHERINGS = 2
 REMEMBERED = 500_000
 BINS = 20
 _ODD = (np.random.default_rng(11).integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -200,8 +202,12 @@ def _links(reps: DataFrame, texts: DataFrame, depth: int, older: int | None, lea
         return None
     members = kept(join_counted(each.select("_id", "node"), groups, "node", "n", total))
     home = members.groupBy("_id").agg(F.max(F.struct("n", "node")).alias("home"))
-    part = F.pmod(F.xxhash64("_id"), F.ceil(F.col("home.n") / BLOCK))
-    home = kept(home.select("_id", F.xxhash64("home.node", part).alias("block")))
+    for _ in range(GATHERINGS):  # texts that share any node move to the largest that one of them is in
+        best = members.join(home, "_id").groupBy("node").agg(F.max("home").alias("home"), F.count("*").alias("n"))
+        home = kept(join_counted(members.select("_id", "node"), best, "node", "n", total).groupBy("_id").agg(F.max("home").alias("home")))
+    sizes = home.groupBy("home").agg(F.count("*").alias("size"))
+    part = F.pmod(F.xxhash64("_id"), F.ceil(F.col("size") / BLOCK))
+    home = kept(join_counted(home, sizes, "home", "size", home.count()).select("_id", F.xxhash64("home", part).alias("block")))
     seen = kept(members.join(home, "_id").groupBy("node", "block").agg(F.count("*").alias("m")))
     left, right = seen.alias("l"), seen.alias("r")
     pairs = left.join(right, F.col("l.node") == F.col("r.node")).where("l.block < r.block or (l.block = r.block and l.m > 1)")
