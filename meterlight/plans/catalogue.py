@@ -14,8 +14,10 @@ from meterlight.operators import reports as R
 from meterlight.operators import sessions as S
 from meterlight.operators import usage as U
 from meterlight.plans.pricing import RATES, TOKENS, component, context_window, priced, tier
+from meterlight.plans.work import work_folder
 from meterlight.sources import jsonl
 from meterlight.sources import tables as A
+from meterlight.streaming import live
 
 AS_OF = dt.date(2024, 1, 24)
 NOW = dt.datetime(2024, 1, 24, 12)
@@ -490,6 +492,17 @@ def notify_new(spark, d):
     return R.to_notify(live(NOW), live(NOW - dt.timedelta(hours=6)))
 
 
+@query
+def stream_equals_batch(spark, d):
+    """Cells of the events as a stream, read in one go."""
+    schema = A.table(spark, d, "events").schema
+    events = A.usage_rows(spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet"))
+    out = work_folder(spark)
+    run = live.live_cells(events).writeStream.outputMode("complete").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
+    run.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/cells")).start().awaitTermination()
+    return spark.read.parquet(f"{out}/cells").select(*U.CELL, *TOKENS, U.usd(F.col("costed_usd")).alias("costed_usd"), "events")
+
+
 # Formats.
 
 

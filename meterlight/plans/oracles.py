@@ -302,6 +302,7 @@ _BODIES: dict[str, str] = {
     "active_sessions": f"SELECT * FROM {_active(_NOW)}",
     "session_warnings": f"SELECT * FROM {_warn(_NOW)}",
     "notify_new": f"SELECT a.session_id, a.condition FROM {_on(_NOW)} a ANTI JOIN {_on("timestamp '2024-01-24 06:00:00'")} b ON a.session_id = b.session_id AND a.condition = b.condition",
+    "stream_equals_batch": f"SELECT day, project, source, vendor, model, is_sub, {', '.join(_TOK)}, round(costed_usd, 8) AS costed_usd, events FROM cells",
     "fmt_usd": f"SELECT event_id, CASE WHEN v < 0 THEN '-' ELSE '' END || '$' || format('{{:,}}', c // 100) || '.' || lpad(cast(c % 100 AS varchar), 2, '0') AS usd FROM (SELECT event_id, {_MONEY} AS v, cast(floor(abs({_MONEY}) * 100 + 0.5) AS bigint) AS c FROM events)",
     "fmt_tokens": f"""SELECT event_id, CASE WHEN n >= 1000000000 THEN printf('%.2fB', n / 1e9) WHEN n >= 1000000 THEN printf('%.1fM', n / 1e6) WHEN n >= 1000 THEN printf('%.0fK', n / 1e3) ELSE cast(n AS varchar) END AS tokens,
       CASE WHEN n < 1000 THEN cast(n AS varchar) WHEN n < 1000000 THEN printf('%.1fk', n / 1000.0) ELSE printf('%.1fM', n / 1e6) END AS short FROM (SELECT event_id, {_N} AS n FROM events)""",

@@ -27,11 +27,15 @@ def _case(of: Column, cases: dict[str, str], other: str) -> Column:
 
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage_rows(table(spark, sf_dir, "events"))
+
+
+def usage_rows(events: DataFrame) -> DataFrame:
     """One row for each usage event: when, who, what model, four token counts, vendor-reported cost, and the key to tell repeats by."""
     kind, user, n = F.col("event_type"), F.col("user_id"), F.col("event_id")
     vendor = _case(kind, {"purchase": "grok", "signup": "codex"}, "claude")
     model = _case(kind, {"view": "claude-opus-4-7", "click": "claude-sonnet-4-6", "signup": "codex-auto-review", "purchase": "grok-4.6-build"}, "mystery-model")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         n.alias("ord"), F.col("ts").cast("timestamp_ntz").alias("ts"), user.alias("session_id"), F.concat(F.lit("proj-"), (user % 12).cast("string")).alias("project"),
         vendor.alias("vendor"), F.concat(vendor, F.when(user % 2 == 0, "/work").otherwise("/personal")).alias("source"), model.alias("model"), (user % 3 == 0).alias("is_sub"),
         (_k() * 1000).alias("tok_in"), (_k() * 100).alias("tok_out"), (n % 7 * 500).alias("tok_cw"), (n % 11 * 2000).alias("tok_cr"),
