@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 WORD_BITS = 8
 #: Pre-tokens that a worker remembers; then it starts afresh. About 200 bytes each.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -153,11 +153,10 @@ def weighted(vocab: list[bytes], counts: np.ndarray) -> Pieces:
     return Pieces([[dict(zip(vocab, map(tuple, logs[:, later, last].T.tolist()), strict=True)) for last in (0, 1)] for later in (0, 1)], max(map(len, vocab)))
 
 
-def _segmented(words: DataFrame, components: int, vocab: list[bytes], pieces: Pieces, alike: bool) -> Pieces:
-    """Weights from the best segmentations of all words of the table, each counted once in each component that has it.
+def _segmented(words: DataFrame, components: int, vocab: list[bytes], pieces: Pieces) -> Pieces:
+    """Weights from the best segmentations, by the weights of all, of all words of the table, each counted once in each component that has it.
 
-    ``alike``: the weights so far are the same for all components. There are at most as many sums as the
-    vocabulary has pieces, times four, for each component.
+    There are at most as many sums as the vocabulary has pieces, times four, for each component.
     """
     sent = words.sparkSession.sparkContext.broadcast((vocab, pieces))
 
@@ -168,17 +167,16 @@ def _segmented(words: DataFrame, components: int, vocab: list[bytes], pieces: Pi
         for batch in batches:
             every = batch.column(0).to_pylist()
             there = _matrix(batch.column(1), components) > 0
-            for component in range(1 if alike else components):
-                rows = there.any(axis=1) if alike else there[:, component]
-                own = [w for w, t in zip(every, rows.tolist(), strict=True) if t]
-                of = [np.flatnonzero(t).tolist() for t in there[rows]] if alike else [(component,)] * len(own)
-                for word, cuts, into in zip(own, pieces.best(iter(own), component), of, strict=True):
-                    end = len(word)
-                    for k, cut in enumerate(cuts):
-                        start = cuts[k + 1] if k + 1 < len(cuts) else 0
-                        place = (2 * (start > 0) + (cut == end)) * len(vocab) + index[word[start:cut]]
-                        for c in into:
-                            n[4 * c * len(vocab) + place] += 1
+            rows = there[:, -1]
+            own = [w for w, t in zip(every, rows.tolist(), strict=True) if t]
+            of = [[4 * len(vocab) * c for c in np.flatnonzero(t).tolist()] for t in there[rows]]
+            for word, cuts, into in zip(own, pieces.best(iter(own), components - 1), of, strict=True):
+                end = len(word)
+                for k, cut in enumerate(cuts):
+                    start = cuts[k + 1] if k + 1 < len(cuts) else 0
+                    place = (2 * (start > 0) + (cut == end)) * len(vocab) + index[word[start:cut]]
+                    for c in into:
+                        n[c + place] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["code", "n"])
 
     out = np.zeros(4 * components * len(vocab))
@@ -314,8 +312,8 @@ def score_documents(docs: DataFrame, train: Column, vocabulary_path: str, classe
 
     vocab = vocabulary(vocabulary_path)
     pieces = weighted(vocab, np.zeros((components, 4, len(vocab))))
-    for k in range(rounds):
-        pieces = _segmented(words, components, vocab, pieces, alike=k == 0)
+    for _ in range(rounds):
+        pieces = _segmented(words, components, vocab, pieces)
     every = range(components)
     model = Model(
         words=[sums[f"sum{k}"] or 0 for k in every],

@@ -29,7 +29,7 @@ TREES, DEPTH, SHALLOWEST = 16, 8, 3
 BLOCK = 256
 #: Rounds in which candidates gather before they are dealt to blocks.
 GATHERINGS = 2
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 BINS = 20
 _ODD = (np.random.default_rng(11).integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)

@@ -31,7 +31,7 @@ FILTER_BITS = 1 << 26
 
 class _Hashes(dict):
     def __missing__(self, term: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         self[term] = h = xxhash.xxh3_64_intdigest(term)
         return h

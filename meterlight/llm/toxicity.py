@@ -26,7 +26,7 @@ from .shared import add_columns, fold
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Words whose emission a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 FLOOR = 1e-9
 SPANS = "array<struct<start:int,end:int,p:double>>"
 
@@ -260,7 +260,7 @@ def _calibrated(model: Field, texts: list[str], labels: list[int]) -> Field:
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1500, clean_rows: int = 3000, text: str = "text", key: str = "doc_id", label: str = "toxic") -> tuple[list[str], list[int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000, clean_rows: int = 1500, text: str = "text", key: str = "doc_id", label: str = "toxic") -> tuple[list[str], list[int]]:
     """At most ``toxic_rows + clean_rows`` labelled rows, picked by a hash of the key, with their whole texts."""
     own = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y")).where("_key is not null and _y in (0, 1)")
     some = own.where("_y = 1").orderBy(F.xxhash64("_key"), "_key").limit(toxic_rows).unionByName(own.where("_y = 0").orderBy(F.xxhash64("_key"), "_key").limit(clean_rows))
