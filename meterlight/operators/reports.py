@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterlight.operators.usage import usd, week_of
+from meterlight.operators.usage import dedupe, usd, week_of
 from meterlight.plans.pricing import PriceTable, component, cost, priced, tier
 from meterlight.sources.tables import MODES
 
@@ -108,6 +108,21 @@ def agent_costs(agents: DataFrame, table: PriceTable | None = None) -> DataFrame
     return rows.select("agent_id", "project", "depth", phase(F.col("description")).alias("phase"), F.coalesce("lang", F.lit("unknown")).alias("lang"), tier(F.col("model")).alias("tier"), "usd")
 
 
+def agents_of(subagents: DataFrame, events: DataFrame, calls: DataFrame, table: PriceTable | None = None) -> DataFrame:
+    """As ``agent_costs``, from what transcripts say: a subagent's turns are those of the file with its stem, and its tier is that of the first turn counted.
+
+    ``subagents`` has ``stem, description, depth``; ``events`` and ``calls`` have the ``path`` that they were read from.
+    """
+    stem = F.regexp_replace("path", r"\.jsonl\z", "")
+    turns = priced(dedupe(events.where("is_sub")), table).select(stem.alias("stem"), "project", "ord", tier(F.col("model")).alias("tier"), cost().alias("usd"))
+    sums = turns.groupBy("stem", "project").agg(usd(F.sum("usd")).alias("usd"), F.min_by("tier", "ord").alias("tier")).where("usd <> 0")
+    own = calls.where("is_sub").select(stem.alias("stem"), "name", "command", "file_path")
+    commands = own.where("name = 'Bash' and command <> ''").select("stem", "command")
+    files = own.where("name in ('Write', 'Edit', 'NotebookEdit') and file_path <> ''").select("stem", F.col("file_path").alias("path"))
+    rows = subagents.join(sums, "stem").join(language_votes(commands, files, "stem").drop("votes"), "stem", "left")
+    return rows.select(F.col("stem").alias("agent_id"), "project", "depth", phase(F.col("description")).alias("phase"), F.coalesce("lang", F.lit("unknown")).alias("lang"), "tier", "usd")
+
+
 def by(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(usd(F.sum("usd")).alias("usd"), F.count("*").alias("count"))
 
