@@ -66,3 +66,54 @@ def encoded_path(path: Column) -> Column:
 def decoded_path(segment: Column) -> Column:
     """Percent-decoded, a plus left as it is; what can't be decoded stays."""
     return F.coalesce(F.try_url_decode(F.replace(segment, F.lit("+"), F.lit("%2B"))), segment)
+
+
+def usd_compact(v: Column) -> Column:
+    """$12.34, $123.4 and $1234."""
+    return F.when(v >= 1000, F.concat(F.lit("$"), F.bround(v, 0).cast("bigint"))).when(v >= 100, F.format_string("$%.1f", v)).otherwise(F.format_string("$%.2f", v))
+
+
+def usd_whole(v: Column) -> Column:
+    """To the nearest dollar, a half to the even one."""
+    return F.concat(F.lit("$"), F.bround(v, 0).cast("bigint"))
+
+
+def short_id(s: Column) -> Column:
+    return F.left(s, F.lit(8))
+
+
+def joined_cycle(cycle: Column) -> Column:
+    """A loop's calls, of the form name:target, as ``name target → ...``, targets cut to 24 characters."""
+
+    def one(c: Column) -> Column:
+        at = F.instr(c, ":")
+        name, target = F.when(at > 0, F.left(c, at - 1)).otherwise(c), F.when(at > 0, F.substr(c, at + 1)).otherwise("")
+        return F.when(target != "", F.concat(name, F.lit(" "), truncated(target, 24))).otherwise(name)
+
+    return F.array_join(F.transform(cycle, one), " → ")
+
+
+def until(end: Column, now: Column) -> Column:
+    """What is left before ``end``: 5m, 2h07m, and the weekday if that is over or a day away."""
+    s = F.unix_timestamp(end.cast("timestamp")) - F.unix_timestamp(now.cast("timestamp"))
+    minutes = F.floor(s / 60)
+    return (
+        F.when((s <= 0) | (s >= 86_400), F.date_format(end, "EEE"))
+        .when(s < 3600, F.format_string("%dm", minutes))
+        .otherwise(F.format_string("%dh%02dm", F.floor(minutes / 60), minutes % 60))
+    )
+
+
+def mode_percent(part: Column, whole: Column) -> Column:
+    """A whole percentage, and a dot for none."""
+    return F.when((part > 0) & (whole > 0), F.concat(F.floor(100.0 * part / whole + 0.5).cast("string"), F.lit("%"))).otherwise("·")
+
+
+def cells_of_ten(pct: Column) -> Column:
+    """How many of a bar's ten cells are full."""
+    return F.least(F.lit(10), F.greatest(F.lit(0), F.floor(pct / 10 + 0.5))).cast("int")
+
+
+def digest_hash(*parts: Column) -> Column:
+    """SHA-256 of the parts joined by a pipe: the key of what is kept about a file."""
+    return F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256)
