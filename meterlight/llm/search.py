@@ -10,21 +10,23 @@ So the merged lists are exactly those of scoring everything.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import kept, text_of
+from .shared import kept, shared_folder, text_of
 
 K1, B = 1.2, 0.75
 SHARD_BYTES = 16 << 20
-#: Queries that go through a shard's index at once.
-QUERY_BLOCK = 2048
+#: Words of the queries that go through the index at once, about; 16 bytes each.
+QUERY_TERMS = 1 << 20
 BLOCK = 32
 FILTER_BITS = 1 << 26
 
@@ -50,37 +52,51 @@ def _lists(parts: list[np.ndarray], dtype: str) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(flat))
 
 
+def postings(docs: list[tuple[np.ndarray, np.ndarray]], keep: Callable[[np.ndarray], np.ndarray]) -> dict[str, np.ndarray]:
+    """Of a shard's documents: their order, lengths in that order, the terms to keep, ascending, how many documents have each, and which, how often."""
+    lengths = np.array([n.sum() for _, n in docs], np.int64)
+    term = np.concatenate([np.empty(0, np.uint64), *(t for t, _ in docs)])
+    tf = np.concatenate([np.empty(0, np.int64), *(n for _, n in docs)])
+    doc = np.repeat(np.arange(len(docs)), [len(t) for t, _ in docs])
+    # documents by their most frequent word: those of a language, and of a kind, share blocks
+    mode = np.array([int(t[n.argmax()] >> np.uint64(1)) if len(t) else 0 for t, n in docs], np.int64)
+    order = np.lexsort((lengths, mode))
+    place = np.empty(len(docs), np.int64)
+    place[order] = np.arange(len(docs))
+    own = keep(term)
+    term, tf, doc = term[own], tf[own], place[doc[own]]
+    by = np.lexsort((doc, term))
+    every, n = np.unique(term, return_counts=True)
+    return {"order": order, "lengths": lengths[order], "term": every, "n": n, "doc": doc[by], "tf": tf[by]}
+
+
 class Index:
-    """A shard's postings of the terms that some query has."""
+    """A shard's postings, with a bound for each run of a term in a block of documents."""
 
     def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, mean_length: float):
-        lengths = np.array([n.sum() for _, n in docs], float)
+        self.build(mean_length, **postings(docs, lambda term: np.isin(term, wanted)))
+
+    @classmethod
+    def of(cls, mean_length: float, **stored: np.ndarray) -> Index:
+        own = cls.__new__(cls)
+        own.build(mean_length, **stored)
+        return own
+
+    def build(self, mean_length: float, order: np.ndarray, lengths: np.ndarray, term: np.ndarray, n: np.ndarray, doc: np.ndarray, tf: np.ndarray) -> None:
         norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
-        term = np.concatenate([np.empty(0, np.uint64), *(t for t, _ in docs)])
-        tf = np.concatenate([np.empty(0, np.int64), *(n for _, n in docs)]).astype(float)
-        doc = np.repeat(np.arange(len(docs)), [len(t) for t, _ in docs])
-        # documents by their most frequent word: those of a language, and of a kind, share blocks
-        mode = np.array([int(t[n.argmax()] >> np.uint64(1)) if len(t) else 0 for t, n in docs], np.int64)
-        self.order = np.lexsort((lengths, mode))
-        place = np.empty(len(docs), np.int64)
-        place[self.order] = np.arange(len(docs))
-        keep = np.isin(term, wanted)
-        term, tf, doc = term[keep], tf[keep], doc[keep]
-        self.impact = tf * (K1 + 1) / (tf + norm[doc])
-        self.doc = place[doc]
-        by = np.lexsort((self.doc, term))
-        term, self.doc, self.impact = term[by], self.doc[by], self.impact[by]
+        self.order, self.doc = order, doc.astype(np.int64)
+        self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
+        code = np.repeat(np.arange(len(term)), n)
         block = self.doc // BLOCK
-        edge = np.ones(len(term), bool)
-        edge[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        edge = np.ones(len(code), bool)
+        edge[1:] = (code[1:] != code[:-1]) | (block[1:] != block[:-1])
         self.start = np.flatnonzero(edge)  # of each run of a term in a block
-        self.stop = np.append(self.start[1:], len(term))
+        self.stop = np.append(self.start[1:], len(code))
         self.block = block[self.start]
-        self.bound = np.maximum.reduceat(self.impact, self.start) if len(term) else self.impact
-        runs = term[self.start]
-        self.terms, first = np.unique(runs, return_index=True)
-        self.first = np.append(first, len(runs))
-        self.blocks = -(-len(docs) // BLOCK)
+        self.bound = np.maximum.reduceat(self.impact, self.start) if len(code) else self.impact
+        self.terms = term
+        self.first = np.searchsorted(code[self.start], np.arange(len(term) + 1))
+        self.blocks = -(-len(lengths) // BLOCK)
 
     def search(self, query: np.ndarray, weight: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Documents (numbers in the shard's order) that may be among the k best with ``least`` or more, and their scores."""
@@ -94,8 +110,6 @@ class Index:
         block = self.block[run]
         bounds = np.bincount(block, w * self.bound[run], self.blocks)
         ranked = np.argsort(-bounds, kind="stable")
-        by_block = np.argsort(block, kind="stable")
-        edges = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
         docs, scores = np.empty(0, np.int64), np.empty(0)
         done, step = 0, 4
         while done < self.blocks and bounds[ranked[done]] > 0 and bounds[ranked[done]] >= least - 1e-9:
@@ -103,11 +117,11 @@ class Index:
             now = now[(bounds[now] >= least - 1e-9) & (bounds[now] > 0)]
             done, step = done + step, step * 2
             # runs of these blocks in the order of terms, so that a document's sum doesn't depend on its shard
-            own = np.sort(np.concatenate([by_block[edges[b] : edges[b + 1]] for b in now]))
-            length = self.stop[run[own]] - self.start[run[own]]
-            post = _ranges(self.start[run[own]], length)
             local = np.full(self.blocks, -1)
             local[now] = np.arange(len(now))
+            own = np.flatnonzero(local[block] >= 0)
+            length = self.stop[run[own]] - self.start[run[own]]
+            post = _ranges(self.start[run[own]], length)
             cell = local[self.doc[post] // BLOCK] * BLOCK + self.doc[post] % BLOCK
             total = np.bincount(cell, np.repeat(w[own], length) * self.impact[post], len(now) * BLOCK)
             got = np.flatnonzero(total > 0)
@@ -126,13 +140,95 @@ def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - n), n)
 
 
+STORED = {"lengths": np.int32, "term": np.uint64, "n": np.int32, "doc": np.int32, "tf": np.int32}
+
+
+def _indexed(rows: DataFrame, shards: int, wanted: Broadcast) -> DataFrame:
+    """A row for each shard: its keys in the shard's order, and its postings of words that some query may have, as packed arrays."""
+    mask = np.uint64(FILTER_BITS - 1)
+
+    def some(term: np.ndarray) -> np.ndarray:
+        bit = term & mask
+        return ((wanted.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+    def build(own: pa.Table) -> pa.Table:
+        p = postings([terms(t.as_py()) for t in own["text"]], some)
+        keys = own["key"].combine_chunks().take(pa.array(p["order"]))
+        lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+        return pa.table({"shard": own["shard"][:1], "keys": lists, **{c: pa.array([p[c].astype(t).tobytes()]) for c, t in STORED.items()}})
+
+    kind = rows.schema["key"].dataType.simpleString()
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("key", "text"), F.lit(shards)).cast("int"))
+    return kept(rows.groupBy("shard").applyInArrow(build, f"shard int, keys array<{kind}>, " + ", ".join(f"{c} binary" for c in STORED)))
+
+
+def _counted(index: DataFrame) -> DataFrame:
+    """``term, df``, and at term 0 with df 0 the sum of all lengths in ``length``."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for term, n, lengths in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                t, df, total = np.frombuffer(term, np.int64), np.frombuffer(n, np.int32), int(np.frombuffer(lengths, np.int32).sum(dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(t, 0)), pa.array(np.append(df, 0).astype(np.int64)), pa.array(np.append(np.zeros(len(t), np.int64), total))], ["term", "df", "length"])
+
+    return kept(index.select("term", "n", "lengths").mapInArrow(counts, "term long, df long, length long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("length").alias("length")))
+
+
+@dataclass
+class Queries:
+    """A block of queries: terms and weights of query j lie from ``edges[j]`` to ``edges[j + 1]``, and ``least`` is what its k-th best has at least."""
+
+    ids: list
+    edges: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+    least: np.ndarray
+
+
+def _answers(index: DataFrame, asked: Queries, k: int, mean: float, result: str) -> DataFrame:
+    """``query, key, score`` of what may be among the k best: of each task's shards the k best, which raise the bar from shard to shard."""
+    sent = index.sparkSession.sparkContext.broadcast(asked)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = sent.value
+        least, best = q.least.copy(), [[] for _ in q.ids]
+        own = []
+        for lo, hi in zip(q.edges[:-1], q.edges[1:], strict=True):
+            by = np.argsort(q.terms[lo:hi])
+            own.append((q.terms[lo:hi][by], q.weights[lo:hi][by]))
+        kinds = None
+        for b in batches:
+            kinds = b.schema.field("keys").type.value_type
+            for at in range(b.num_rows):  # a row is a whole shard
+                (row,) = b.slice(at, 1).to_pylist()
+                keys, stored = row["keys"], {c: np.frombuffer(row[c], t) for c, t in STORED.items()}
+                shard = Index.of(mean, order=np.arange(len(keys)), **stored)
+                for j, (t, w) in enumerate(own):
+                    found, score = shard.search(t, w, k, least[j])
+                    if not len(found):
+                        continue
+                    new = [(-s, keys[d] is None, keys[d]) for s, d in zip(np.round(score, 9).tolist(), found.tolist(), strict=True)]
+                    best[j] = sorted(best[j] + new, key=lambda x: (x[0], x[1], 0 if x[1] else x[2]))[:k]
+                    if len(best[j]) == k:
+                        least[j] = max(least[j], -best[j][-1][0])
+        if kinds is not None:
+            n = [len(x) for x in best]
+            ids = [i for i, m in zip(q.ids, n, strict=True) for _ in range(m)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x[2] for y in best for x in y], kinds), pa.array([-x[0] for y in best for x in y], pa.float64())], ["query", "key", "score"])
+
+    return index.select("keys", *STORED).mapInArrow(answer, result)
+
+
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text", key: str = "doc_id", query_text: str = "text", query_key: str = "doc_id") -> DataFrame:
     """``query_id, rank, key, score`` of the k best rows of ``docs`` for each row of ``queries``, whole texts both.
 
     A word counts in a query as often as it comes. Equal scores (to 9 digits after the point) go by key, null last. Rows
     that share no word with a query aren't found; queries without words, null or empty, find nothing. Repeated rows are
     found each, and of queries with the same key the one with the least text is answered.
+
+    Texts shuffle once, to make the index. Queries go to the index in blocks of about ``QUERY_TERMS`` words, each broadcast.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
     shards = max(1, -(-(size["bytes"] or 0) // SHARD_BYTES))
@@ -147,60 +243,34 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "te
     asked = kept(asked.mapInArrow(split, f"query {kind}, terms array<long>, tf array<long>"))
     asked_terms = asked.select("query", F.inline(F.arrays_zip("terms", "tf"))).withColumnRenamed("terms", "term")
 
-    # which words any query has, as bits: tasks count only these. The filter's size is fixed, and what it lets through is joined.
+    # which words any query has, as bits: the index has only these. The filter's size is fixed; what it lets through finds no query.
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    mask = np.uint64(FILTER_BITS - 1)
     for r in asked_terms.select((F.col("term").bitwiseAND(FILTER_BITS - 1)).alias("bit")).distinct().toLocalIterator():
         bits[r.bit >> 3] |= 1 << (r.bit & 7)
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                own = [terms(t.as_py()) for t in b.column(0).slice(at, 2000)]
-                every = np.concatenate([np.empty(0, np.uint64), *(t for t, _ in own)])
-                bit = every & mask
-                every = every[(sent.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0]
-                t, df = np.unique(every, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(t.view(np.int64), 0)), pa.array(np.append(df, 0)), pa.array(np.append(np.zeros(len(t), np.int64), sum(int(n.sum()) for _, n in own)))], ["term", "df", "length"])
-
-    counts = rows.select("text").mapInArrow(counted, "term long, df long, length long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("length").alias("length"))
-    counts = kept(counts)
+    index = _indexed(rows, shards, spark.sparkContext.broadcast(bits))
+    counts = _counted(index)
     mean = (counts.agg(F.sum("length")).first()[0] or 0) / max(1, size["n"])
     idf = F.log1p((F.lit(float(size["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked_terms.join(counts.where("df > 0").select("term", idf.alias("idf")), "term")
     weighted = weighted.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("w")))).alias("q"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    n_terms = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
+    blocks = max(1, -(-n_terms // QUERY_TERMS))
     weighted = kept(weighted.select("query", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("part"), F.col("q.term").alias("terms"), F.col("q.w").alias("weights")))
 
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("key", "text"), F.lit(shards)).cast("int"))
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def answer(own: pa.Table, asked: pa.Table) -> pa.Table:
-        got = [terms(t.as_py()) for t in own["text"]]
-        lists = [(np.array(t, np.int64).view(np.uint64), np.array(w)) for t, w in zip(asked["terms"].to_pylist(), asked["weights"].to_pylist(), strict=True)]
-        index = Index(got, np.unique(np.concatenate([np.empty(0, np.uint64), *(t for t, _ in lists)])), mean)
-        keys = own["key"].to_pylist()
-        out: tuple[list, list, list] = ([], [], [])
-        for query, least, (t, w) in zip(asked["query"].to_pylist(), asked["least"].to_pylist(), lists, strict=True):
-            by = np.argsort(t)
-            at, score = index.search(t[by], w[by], k, least)
-            best = sorted(zip((-np.round(score, 9)).tolist(), [(keys[j] is None, keys[j]) for j in at.tolist()], strict=True), key=lambda x: (x[0], x[1][0], x[1][1] or 0) if not isinstance(x[1][1], str) else x)[:k]
-            for s, (_, name) in best:
-                out[0].append(query)
-                out[1].append(name)
-                out[2].append(-s)
-        return pa.table({"query": pa.array(out[0], asked.schema.field("query").type), "key": pa.array(out[1], own.schema.field("key").type), "score": pa.array(out[2], pa.float64())})
-
-    def run(shard: DataFrame, asked: DataFrame) -> DataFrame:
-        result = f"query {kind}, key {rows.schema['key'].dataType.simpleString()}, score double"
-        return shard.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(answer, result)
-
+    result = f"query {kind}, key {rows.schema['key'].dataType.simpleString()}, score double"
     order = W.partitionBy("query").orderBy(F.desc("score"), F.col("key").isNull(), "key")
-    first = weighted.withColumn("shard", F.lit(0)).withColumn("least", F.lit(0.0))
-    found = run(rows.where("shard = 0"), first)
-    least = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query", F.col("score").alias("least"))
-    every = kept(weighted.join(least, "query", "left").withColumn("least", F.coalesce("least", F.lit(0.0))))
-    every = every.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    ranked = run(rows, every).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select(F.col("query").alias("query_id"), "rank", F.col("key").alias(key), "score")
+    at = shared_folder(spark)
+    for part in range(blocks):
+        got = weighted.where(F.col("part") == part).select("query", "terms", "weights").orderBy("query").toArrow()
+        lists = got["terms"].combine_chunks()
+        block = Queries(
+            got["query"].to_pylist(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64),
+            lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), got["weights"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float), np.zeros(got.num_rows),
+        )
+        # what one shard has k times is a bar for the others
+        first = _answers(index.where("shard = 0"), block, k, mean, result)
+        bar = {r.query: r.score for r in first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query", "score").collect()}
+        block.least = np.array([bar.get(i, 0.0) for i in block.ids], float)
+        ranked = _answers(index, block, k, mean, result).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        ranked.select(F.col("query").alias("query_id"), "rank", F.col("key").alias(key), "score").write.mode("append").parquet(at)
+    return spark.read.parquet(at)
