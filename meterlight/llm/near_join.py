@@ -1,9 +1,9 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
 A text is the set of its five-word shingles. Each of ``TREES`` prefix tries holds all signatures by ``DEPTH``
-minhashes; texts under one node of some tree are candidates. The join starts at the leaves and takes shorter prefixes
-as long as the links found say that more are missing: a pair of similarity s is met at depth k with probability
-1 - (1 - s**k)**TREES, which weighs what was found into what there should be.
+minhashes; texts under one node of some tree are candidates. A pair of similarity s is met at depth k with probability
+1 - (1 - s**k)**TREES, so the join starts at the leaves and goes on to the prefixes at which the least similar links
+are met as surely as asked for. What was found doesn't shorten that way: many close copies say nothing about other pairs.
 
 Texts with the same words in the same order are one, with a number of copies. Candidates are verified by
 blocks: texts lie in blocks of bounded size, by the largest node that they are in, and two blocks meet once if they
@@ -25,12 +25,11 @@ from .exact_dedup import maybe_repeated, of_long, repeat_filter
 from .shared import add_columns, join_counted, kept
 
 SHINGLE = 5
-TREES, DEPTH, SHALLOWEST = 16, 8, 3
+TREES, DEPTH = 16, 8
 BLOCK = 256
 #: Rounds in which candidates gather before they are dealt to blocks.
 GATHERINGS = 2
 REMEMBERED = 150_000
-BINS = 20
 _ODD = (np.random.default_rng(11).integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,9 +86,16 @@ def found_share(s: float, depth: int) -> float:
     return 1 - (1 - s**depth) ** TREES
 
 
-def _signed(rows: DataFrame) -> DataFrame:
-    """``_id, _key, words`` and the nodes of each depth for each row's ``_text``."""
-    levels = range(SHALLOWEST, DEPTH + 1)
+def prefixes(least: float, target: float) -> list[int]:
+    """The depths to join at: the leaves, and the longest prefixes at which a pair of any similarity from ``least`` up is met with probability ``target``."""
+    enough = max((k for k in range(1, DEPTH + 1) if found_share(least, k) >= target), default=None)
+    if enough is None:
+        raise ValueError(f"{TREES} trees don't meet pairs of similarity {least} with probability {target}")
+    return sorted({DEPTH, enough}, reverse=True)
+
+
+def _signed(rows: DataFrame, levels: list[int]) -> DataFrame:
+    """``_id, _key, words`` and the nodes of the depths ``levels`` for each row's ``_text``."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +159,7 @@ def _common(a: list[np.ndarray], b: list[np.ndarray], wanted: np.ndarray) -> np.
 
 
 def verified(a: pa.Table, b: pa.Table, least: float) -> pa.Table:
-    """Links between the texts of two blocks, or inside one if ``b`` is empty: edges of a forest (a, b), counts (a, none, n), and numbers of links by similarity (-1 - bin, none, n)."""
+    """Links between the texts of two blocks, or inside one if ``b`` is empty: edges of a forest (a, b) and counts (a, none, n)."""
     one = b.num_rows == 0
     sides = []
     for t in (a,) if one else (a, b):
@@ -171,7 +177,6 @@ def verified(a: pa.Table, b: pa.Table, least: float) -> pa.Table:
     size, size2 = np.array([len(x) for x in sets]), np.array([len(x) for x in sets2])
     both = _common(sets, sets2, wanted)
     union = size[:, None] + size2[None, :] - both
-    s = np.where(union > 0, both / np.maximum(union, 1), 0.0)
     linked = wanted & (both >= least * union - 1e-9) & (union > 0)
     n1, n2 = linked @ copies2, linked.T @ copies
     rows: list[tuple[int, int | None, int]] = []
@@ -182,8 +187,6 @@ def verified(a: pa.Table, b: pa.Table, least: float) -> pa.Table:
             rows.append((ids[i], ids2[j], 0))
     rows += [(x, None, int(n)) for x, n in zip(ids, n1, strict=True) if n]
     rows += [(x, None, int(n)) for x, n in zip(ids2, n2, strict=True) if n]
-    bins = np.bincount(np.minimum(((s[linked] - least) / (1 - least + 1e-12) * BINS).astype(int), BINS - 1).clip(0), minlength=BINS)
-    rows += [(-1 - k, None, int(n)) for k, n in enumerate(bins) if n]
     cols = list(zip(*rows, strict=True)) or [[], [], []]
     return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "n": pa.array(cols[2], pa.int64())})
 
@@ -245,37 +248,24 @@ def near_join(docs: DataFrame, text: str = "text", key: str = "doc_id", least: f
     Rows are linked if their shingle sets have a Jaccard similarity of ``least`` or more, or the same words in the
     same order, as texts without words (null, empty) have. Classes are the components of the links, their id is the least key
     in them (null keys come last), and one row with that key is kept. ``n_links`` counts all rows that the row is
-    linked with, copies too. Prefixes get shorter until the estimated share of links found is ``target``.
+    linked with, copies too. Each link between different texts, whatever its similarity, is met with probability
+    ``target`` or more.
     """
+    depths = prefixes(least, target)
     order = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_id").alias("id"))
     rows = kept(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_id")))
     rows = rows.select("_row", "_id", F.col("_row")[key].alias("_key"), F.coalesce(F.col("_row")[text].cast("string"), F.lit("")).alias("_text"))
-    signed = kept(_signed(rows))
-    levels = [f"d{k}" for k in range(SHALLOWEST, DEPTH + 1)]
+    signed = kept(_signed(rows, depths))
+    levels = [f"d{k}" for k in depths]
     copies = kept(signed.groupBy("seq").agg(F.min(order).alias("first"), F.count("*").alias("copies")))
     reps = kept(signed.join(copies.select(F.col("first.id").alias("_id"), "copies"), "_id").select("_id", "copies", *levels))
     texts = rows.select("_id", "_text")
 
-    depth, older, parts = DEPTH, None, []
-    by_bin = np.zeros(BINS)
-    middle = least + (np.arange(BINS) + 0.5) / BINS * (1 - least)
-    while True:
+    links = docs.sparkSession.createDataFrame([], "a long, b long, n long")
+    for older, depth in zip([None, *depths], depths):
         part = _links(reps, texts, depth, older, least)
         if part is not None:
-            parts.append(part)
-            for r in part.where("a < 0").groupBy("a").agg(F.sum("n").alias("n")).collect():
-                by_bin[-1 - r.a] += r.n
-        # what should be there, by similarity; where nothing was found, a tenth of a link
-        due = np.maximum(by_bin, 0.1) / np.array([found_share(s, depth) for s in middle])
-        enough = [k for k in range(depth, SHALLOWEST - 1, -1) if (due * [found_share(s, k) for s in middle]).sum() >= target * due.sum()]
-        if depth in enough or depth == SHALLOWEST:
-            break
-        older, depth = depth, max(enough, default=SHALLOWEST)
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long, n long")
-    for part in parts:
-        links = links.unionByName(part)
-    links = links.where("a >= 0")
+            links = links.unionByName(part)
     labels = components(links.where("b is not null"))
     counts = links.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     of = copies.select("seq", "first", "copies", F.col("first.id").alias("id")).join(labels, "id", "left").join(counts, "id", "left")

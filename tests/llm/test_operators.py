@@ -58,6 +58,26 @@ def test_near_join(docs, none):
     assert near_join.near_join(none).count() == 0
 
 
+def test_near_join_finds_weak_links_beside_a_large_group(spark):
+    texts = {k: " ".join(f"g{j}" for j in range(46)) + f" own{k}" for k in range(300)}  # 44850 links of 0.95
+    for k in range(400):  # 400 links of 0.80 to 0.85
+        words = [f"p{k}w{j}" for j in range(49 + k % 16)]
+        texts[1000 + 2 * k] = " ".join(words)
+        texts[1001 + 2 * k] = " ".join(words[:-5] + [f"q{k}w{j}" for j in range(5)])
+    sets = {d: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in texts.items())}
+    holders = defaultdict(list)
+    for d, own in sets.items():
+        for shingle in own:
+            holders[shingle].append(d)
+    links = Counter()
+    for d, own in sets.items():
+        for e, n in Counter(e for shingle in own for e in holders[shingle]).items():
+            links[d] += e != d and 5 * n >= 4 * (len(own) + len(sets[e]) - n)
+    got = near_join.near_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_links for r in got} == links
+    assert all(r.class_id == (0 if r.doc_id < 1000 else r.doc_id // 2 * 2) for r in got)
+
+
 def test_mixing(docs, none):
     got = mixing.mixed(docs, mixing.words(F.coalesce("text", F.lit(""))), block=16, shard_slots=8).collect()
     assert len(got) == len(TEXTS)
