@@ -2,7 +2,7 @@
 
 The labelled samples come from the corpus itself: values that the rules find are random strings, all other runs
 of identifier characters are ordinary. Bigram counts of both, over all documents, make the models; a run that no
-rule has found is a secret if its log-likelihood ratio is high.
+rule has found is or holds a secret if the log-likelihood ratio of some stretch of it is high.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 #: As ``hex``, without the matches that are too short.
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-MARK = re.compile(r"[0-9]|[a-z][A-Z]")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 N = len(ALPHABET) + 1  # the last code: any other character, and a run's edges
 CODES = np.full(256, N - 1, np.uint8)
@@ -76,21 +75,30 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.log(p[1] / p[0]).ravel()
 
 
+def best_stretch(llr: np.ndarray, least: int) -> tuple[float, float]:
+    """The largest sum of ``least`` or more neighbours, and their mean."""
+    sums = np.concatenate([[0.0], np.cumsum(llr)])
+    before = sums[: len(sums) - least]
+    low = np.minimum.accumulate(before)
+    gain = sums[least:] - low
+    end = int(gain.argmax())
+    start = int(before[: end + 1].argmin())
+    return float(gain[end]), float(gain[end]) / (end + least - start)
+
+
 def by_model(text: str, ratio: np.ndarray, base: list[tuple[int, int, int, int]], least_length: int, least_ratio: float, least_mean: float) -> list[tuple[int, int]]:
-    found, at = [], 0
-    while m := MARK.search(text, at):
-        start = m.start()
-        while start > at and RUN.match(text[start - 1]):
-            start -= 1
-        at = end = RUN.match(text, start).end()
+    found = []
+    for m in RUN.finditer(text):
+        start, end = m.span()
         if end - start < least_length or any(s < end and start < e for s, _, e, _ in base):
             continue
-        run = text[start:end]
+        run = m.group()
         if run.isdigit():
             continue
         code = CODES[np.frombuffer(f" {run} ".encode(), np.uint8)].astype(np.int32)
-        llr = ratio[code[:-1] * N + code[1:]]
-        if llr.sum() >= least_ratio and llr.mean() >= least_mean:
+        # as many pairs as lie between the characters of the shortest secret
+        total, mean = best_stretch(ratio[code[:-1] * N + code[1:]], max(1, least_length - 1))
+        if total >= least_ratio and mean >= least_mean:
             found.append((start, end))
     return found
 
@@ -98,8 +106,9 @@ def by_model(text: str, ratio: np.ndarray, base: list[tuple[int, int, int, int]]
 def secrets(text: Column, ratio: np.ndarray, least_length: int = 16, least_ratio: float = 14.0, least_mean: float = 0.5) -> Column:
     """All spans of the whole text by start and then kind, in code points, the end not included; null is empty.
 
-    The model looks at runs of ``least_length`` and more identifier characters that mix letters with digits or
-    cases and that no rule has touched. ``least_ratio`` 14 is odds of a million to one.
+    The model looks at all runs of ``least_length`` and more identifier characters that no rule has touched and that
+    aren't numbers. A run is found, as a whole, if a stretch of it that is no shorter reaches ``least_ratio``, so ordinary
+    names joined to a secret don't hide it. ``least_ratio`` 14 is odds of a million to one.
     """
 
     @F.arrow_udf(SPANS)

@@ -1,7 +1,9 @@
 """The operators on small awkward tables: nulls, empty and long texts, ties, repeated rows, clashing columns, and no rows at all."""
 
 import hashlib
+import random
 import re
+import string
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -129,6 +131,21 @@ def test_secret_models_learn(spark):
     assert all("readFile" not in "key " or s.kind != "assign" for s in got.secrets)
 
 
+def test_secrets_of_one_case_and_beside_names(spark):
+    rng = random.Random(4)
+    drawn = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    names = ["configuration", "repository", "application", "environment", "transformation", "administration", "documentation", "implementation", "zookeeper", "quicksilver", "jackboxes", "hydroxyl", "viewpoint", "windlass"]
+    prose = [f"the {rng.choice(names)} of our {rng.choice(names)}/{rng.choice(names)} and {rng.choice(names)}_{rng.choice(names)}" for _ in range(3000)]
+    prose = [f"{t} {rng.choice(names).upper()} {rng.choice(names).title()} on 20{rng.randrange(10, 30)}-0{rng.randrange(1, 10)}-{rng.randrange(10, 30)}" for t in prose]
+    rows = [(k, f"{t} token={drawn(string.ascii_letters + string.digits, 32)}") for k, t in enumerate(prose)]
+    lower, upper, mixed = drawn(string.ascii_lowercase, 32), drawn(string.ascii_uppercase, 32), "aB3xK9zQ7mT2pLwR5vYc"
+    long = "administration/documentation/implementation/transformation/"
+    rows += [(1001, lower), (1002, upper), (1003, long + mixed), (1004, f"{mixed}/{long}"), (1005, long + "configuration"), (1006, "1" * 40)]
+    got = secret_scan.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.text[s.start : s.end]) for r in got for s in r.secrets if s.kind == "markov"}
+    assert found == {(1001, lower), (1002, upper), (1003, long + mixed), (1004, f"{mixed}/{long}")}
+
+
 def test_surrogates(spark, docs, none):
     got = {r.doc_id: r for r in surrogates.pseudonymised(docs, b"k").collect()}
     assert "mail.example.com" not in got[10].text and got[10].text.startswith("password=abcdef1 ")

@@ -151,6 +151,15 @@ def test_model_for_secrets():
     assert found == [(12, 33)]
 
 
+def test_best_stretch_is_that_of_all():
+    rng = np.random.default_rng(9)
+    for n in (3, 4, 20):
+        llr = rng.normal(size=n)
+        every = {(a, b): llr[a:b].sum() for a in range(n) for b in range(a + 3, n + 1)}
+        (a, b), want = max(every.items(), key=lambda e: e[1])
+        assert secret_scan.best_stretch(llr, 3) == pytest.approx((want, want / (b - a)))
+
+
 def test_surrogates_keep_form():
     write = surrogates.Rewriter(b"k", {})
     text = "Mrs. Clara Jones (Jones) a.b@Mail.example.com +1 (988) 555-2485 4041894974608795 10.1.2.3 4041894974608795 27.1.2.3"
