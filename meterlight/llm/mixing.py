@@ -90,7 +90,7 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def draws(sources: DataFrame, slots: int, total: float, shard_slots: int, seed: int) -> DataFrame:
-    """``shard, rank, slot``: the sources of ``slots`` slots, numbered for each source over all shards."""
+    """``shard, at, rank, slot``: the place in its shard and the source of each of ``slots`` slots, numbered for each source over all shards."""
     spark = sources.sparkSession
     bins = 4096
     by_rank = W.orderBy("rank")
@@ -103,11 +103,11 @@ def draws(sources: DataFrame, slots: int, total: float, shard_slots: int, seed:
     counts = drawn.groupBy("shard", "rank").agg(F.count("*").alias("n")).withColumn("_chunk", F.expr("shard div 1024"))
     offsets = running_sum(counts, ["rank"], [F.col("shard")], "n", "offset").select("shard", "rank", "offset")
     inside = F.row_number().over(W.partitionBy("shard", "rank").orderBy("id")) - 1
-    return drawn.withColumn("inside", inside).join(offsets, ["shard", "rank"]).select("shard", "rank", (F.col("offset") + F.col("inside")).alias("slot"))
+    return drawn.withColumn("inside", inside).join(offsets, ["shard", "rank"]).select("shard", F.expr(f"id % {shard_slots}").alias("at"), "rank", (F.col("offset") + F.col("inside")).alias("slot"))
 
 
 def uses(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
-    """``shard, rank, block, pass, words``: how many words of which block each slot takes."""
+    """``shard, at, rank, block, pass, words``: how many words of which block each slot takes."""
     own = sources.select("rank", "target", F.floor("target").alias("want"), "size", F.ceil(F.col("size") / block).alias("blocks"), F.expr(f"size div {block}").alias("full"))
     need = F.expr("case when size > 0 then (want div size) * blocks else 0 end") + F.when(F.col("size") > 0, F.ceil(F.expr("want % size") / block)).otherwise(0)
     own = kept(own.withColumn("need", need.cast("long")))
@@ -118,6 +118,7 @@ def uses(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFra
     short = got.select("rank", F.explode(F.sequence(F.coalesce("got", F.lit(0).cast("long")), F.col("need") - 1)).alias("slot"))
     last = -(-slots // shard_slots)
     short = short.select((F.pmod(F.xxhash64("rank", "slot"), F.lit(max(1, last // 16))) + last).alias("shard"), "rank", "slot")
+    short = short.select("shard", (F.row_number().over(W.partitionBy("shard").orderBy("rank", "slot")) - 1).cast("long").alias("at"), "rank", "slot")
     every = drawn.unionByName(short).join(own, "rank").where("slot < need")
     every = every.withColumn("pass", F.expr("slot div blocks")).withColumn("index", F.expr("slot % blocks"))
 
@@ -132,11 +133,14 @@ def uses(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFra
     every = every.withColumn("block", place("index", "full", F.xxhash64(F.lit(seed), "rank", "pass")))
     long = F.least(F.lit(block), F.col("size") - F.col("block") * block)
     before = F.col("pass") * F.col("size") + F.col("index") * block
-    return every.select("shard", "rank", "block", "pass", F.least(long, F.col("want") - before).alias("words"))
+    return every.select("shard", "at", "rank", "block", "pass", F.least(long, F.col("want") - before).alias("words"))
 
 
 def mixed(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", block: int = 256, shard_slots: int = 4096, seed: int = 20240101, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``_row`` (of ``docs``), ``_size``, ``_source_size``, ``_target`` and ``_taken``: an array of ``pass, first, n``, the words that the mix takes of the row, in runs.
+    """``_row`` (of ``docs``), ``_size``, ``_source_size``, ``_target`` and ``_taken``: an array of ``pass, first, n, shard, at``, the words that the mix takes of the row, in runs.
+
+    A run lies in slot ``at`` of its output shard. Shards have the drawn slots of each source, but for what a source
+    has beyond its target, which is missing from its last ones; what it lacks is in shards of its own after them.
 
     ``size`` is the row's number of words; null counts as 0. The order of packing is that of a keyed hash of the whole row,
     repeated rows are documents of their own, and rows without words are taken never. Reruns agree for the same rows
@@ -158,9 +162,9 @@ def mixed(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "sou
     first = F.greatest(F.col("_at"), F.col("block") * block)
     pieces = packed.where("_size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"_at div {block}"), F.expr(f"(_at + _size - 1) div {block}"))))
     pieces = pieces.select("_id", "rank", "block", (first - F.col("_at")).alias("first"), (first - F.col("block") * block).alias("from"), (F.least(F.col("_at") + F.col("_size"), (F.col("block") + 1) * block) - first).alias("n"))
-    taken = pieces.join(uses(sources, block, shard_slots, seed), ["rank", "block"]).select("_id", "pass", "first", F.least("n", F.col("words") - F.col("from")).alias("n")).where("n > 0")
-    taken = taken.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("pass", "first", "n"))).alias("_taken"))
-    none = F.array().cast("array<struct<pass:long,first:long,n:long>>")
+    taken = pieces.join(uses(sources, block, shard_slots, seed), ["rank", "block"]).select("_id", "pass", "first", F.least("n", F.col("words") - F.col("from")).alias("n"), "shard", "at").where("n > 0")
+    taken = taken.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("pass", "first", "n", "shard", "at"))).alias("_taken"))
+    none = F.array().cast("array<struct<pass:long,first:long,n:long,shard:long,at:long>>")
     return rows.select("_row", "_id").join(packed, "_id").join(taken, "_id", "left").select("_row", "_size", "_source_size", "_target", F.coalesce("_taken", none).alias("_taken"))
 
 

@@ -110,6 +110,7 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(docs, F.col("size")).select(
         "_row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
         F.aggregate("_taken", F.lit(0).cast("long"), lambda a, t: a + t["n"]).alias("taken"),
+        F.transform("_taken", lambda t: F.struct(t["shard"].alias("shard"), t["at"].alias("slot"), t["n"].alias("words"))).alias("shards"),
     )
 
 

@@ -98,6 +98,27 @@ def test_mixing(docs, none):
     assert mixing.mixed_texts(none).count() == 0
 
 
+def test_shards_of_the_mix(spark):
+    rows = [(k, "word " * (5 + k % 7), "abc"[k % 3]) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(docs, mixing.words(F.col("text")), block=4, shard_slots=128).collect()
+    target, slots, taken = {r._row.source: r._target for r in got}, defaultdict(set), Counter()
+    for r in got:
+        for t in r._taken:
+            slots[t["shard"], t["at"]].add(r._row.source)
+            taken[t["shard"], t["at"]] += t["n"]
+    assert all(len(own) == 1 for own in slots.values()) and max(taken.values()) == 4
+    counts = defaultdict(Counter)
+    for (shard, _), own in slots.items():
+        counts[shard][min(own)] += 1
+    full = [n for n in counts.values() if n.total() == 128]
+    assert len(full) >= 15 and len({tuple(sorted(n.items())) for n in full}) > 5
+    for source, words in target.items():
+        share = words / sum(target.values())
+        assert all(abs(n[source] - 128 * share) < 5 * (128 * share * (1 - share)) ** 0.5 for n in full)
+        assert abs(sum(n[source] for n in full) / (128 * len(full)) - share) < 0.05
+
+
 def test_lattice(docs, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     got = lattice_lm.score_documents(docs.withColumn("lang", F.col("source")), F.col("doc_id") != 6, path, F.col("lang")).collect()
