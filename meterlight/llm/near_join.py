@@ -2,13 +2,14 @@
 
 A text is the set of its five-word shingles. Each of ``TREES`` prefix tries holds all signatures by ``DEPTH``
 minhashes; texts under one node of some tree are candidates. A pair of similarity s is met at depth k with probability
-1 - (1 - s**k)**TREES, so the join starts at the leaves and goes on to the prefixes at which the least similar links
-are met as surely as asked for. What was found doesn't shorten that way: many close copies say nothing about other pairs.
+1 - (1 - s**k)**TREES. The join starts from the leaves and shortens the prefix until the least similar links are met
+as surely as asked for; what deeper nodes would meet is met there too, so candidates are gathered once, at that
+depth. It depends on the target and never on what other texts are in the table.
 
 Texts with the same words in the same order are one, with a number of copies. Candidates are verified by
-blocks: texts lie in blocks of bounded size, by the largest node that they are in, and two blocks meet once if they
-share a node. A task counts the links of each text and keeps only a spanning forest of them, so that what it
-hands on grows with its texts and not with their pairs.
+blocks, which are bounded by the number and the length of their texts: texts lie by the largest node that they are in, and
+two blocks meet once if they share a node. A task counts the links of each text and keeps only a spanning forest of
+them, so that what it hands on grows with its texts and not with their pairs.
 """
 
 from __future__ import annotations
@@ -21,15 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exact_dedup import maybe_repeated, of_long, repeat_filter
 from .shared import add_columns, join_counted, kept
 
 SHINGLE = 5
 TREES, DEPTH = 16, 8
-BLOCK = 256
+#: Weight of a block; a text weighs 1 and another 1 for each ``LONG`` shingles.
+BLOCK, LONG = 512, 512
 #: Rounds in which candidates gather before they are dealt to blocks.
-GATHERINGS = 2
-REMEMBERED = 150_000
+GATHERINGS = 1
+#: Blocks of one node that a task pairs with the node's others.
+SALT = 32
+#: Words whose hashes a task remembers.
+REMEMBERED = 50_000
 _ODD = (np.random.default_rng(11).integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,17 +46,14 @@ class _Hashes(dict):
         return h
 
 
-_HASHES = _Hashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
 
 
-def word_hashes(text: str) -> np.ndarray:
+def word_hashes(text: str, hashes: _Hashes) -> np.ndarray:
     # split() of bytes knows ASCII's kinds of space only
-    return np.fromiter(map(_HASHES.__getitem__, text.encode().split()), np.uint64)
+    return np.fromiter(map(hashes.__getitem__, text.encode().split()), np.uint64)
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -86,32 +87,35 @@ def found_share(s: float, depth: int) -> float:
     return 1 - (1 - s**depth) ** TREES
 
 
-def prefixes(least: float, target: float) -> list[int]:
-    """The depths to join at: the leaves, and the longest prefixes at which a pair of any similarity from ``least`` up is met with probability ``target``."""
-    enough = max((k for k in range(1, DEPTH + 1) if found_share(least, k) >= target), default=None)
-    if enough is None:
-        raise ValueError(f"{TREES} trees don't meet pairs of similarity {least} with probability {target}")
-    return sorted({DEPTH, enough}, reverse=True)
+def shortened(least: float, target: float) -> int:
+    """The longest prefix, from the leaves down, at which a pair of any similarity from ``least`` up is met with probability ``target``."""
+    for k in range(DEPTH, 0, -1):
+        if found_share(least, k) >= target:
+            return k
+    raise ValueError(f"{TREES} trees don't meet pairs of similarity {least} with probability {target}")
 
 
-def _signed(rows: DataFrame, levels: list[int]) -> DataFrame:
-    """``_id, _key, words`` and the nodes of the depths ``levels`` for each row's ``_text``."""
+def _signed(rows: DataFrame, depth: int) -> DataFrame:
+    """``_id, _key, seq, weight`` and the nodes at ``depth`` of each row's ``_text``."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                seq, all_nodes = [], []
+                seq, weight, own_nodes = [], [], []
                 for t in part.column(2):
-                    w = word_hashes(t.as_py())
+                    w = word_hashes(t.as_py(), hashes)
+                    own = shingles(w)
                     seq.append(xxhash.xxh3_128_hexdigest(w.tobytes()))
-                    all_nodes.append(nodes(signature(shingles(w))))
-                x = np.array(all_nodes).reshape(-1, DEPTH, TREES).view(np.int64)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(seq) + 1, dtype=np.int32) * TREES), pa.array(np.ascontiguousarray(x[:, k - 1]).ravel())) for k in levels]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(seq), *lists], ["_id", "_key", "seq", *(f"d{k}" for k in levels)])
+                    weight.append(1 + len(own) // LONG)
+                    own_nodes.append(nodes(signature(own))[depth - 1])
+                flat = np.array(own_nodes).reshape(-1, TREES).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(seq) + 1, dtype=np.int32) * TREES), pa.array(flat.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(seq), pa.array(weight, pa.int64()), lists], ["_id", "_key", "seq", "weight", "nodes"])
 
     kind = rows.schema["_key"].dataType.simpleString()
-    return rows.select("_id", "_key", "_text").mapInArrow(sign, f"_id long, _key {kind}, seq string, " + ", ".join(f"d{k} array<long>" for k in levels))
+    return rows.select("_id", "_key", "_text").mapInArrow(sign, f"_id long, _key {kind}, seq string, weight long, nodes array<long>")
 
 
 class _Forest:
@@ -158,23 +162,25 @@ def _common(a: list[np.ndarray], b: list[np.ndarray], wanted: np.ndarray) -> np.
     return np.rint(total).astype(np.int64)
 
 
-def verified(a: pa.Table, b: pa.Table, least: float) -> pa.Table:
-    """Links between the texts of two blocks, or inside one if ``b`` is empty: edges of a forest (a, b) and counts (a, none, n)."""
-    one = b.num_rows == 0
+def verified(own: pa.Table, least: float) -> pa.Table:
+    """Links between the texts of two blocks, or inside one if no row is of side 1: edges of a forest (a, b) and counts (a, none, n)."""
+    hashes = _Hashes()
+    side = own["side"].to_numpy()
+    one = not side.any()
     sides = []
-    for t in (a,) if one else (a, b):
-        now = t["nodes"].combine_chunks().flatten().to_numpy().reshape(-1, TREES)
-        old = t["older"].combine_chunks().flatten().to_numpy().reshape(-1, TREES)
-        sides.append((t["id"].to_pylist(), now, old, [shingles(word_hashes(x.as_py())) for x in t["text"]], np.array(t["copies"].to_pylist(), np.int64)))
-    (ids, now, old, sets, copies), (ids2, now2, old2, sets2, copies2) = sides[0], sides[-1]
-    wanted, done = np.zeros((len(ids), len(ids2)), bool), np.zeros((len(ids), len(ids2)), bool)
+    for k in (0,) if one else (0, 1):
+        t = own.filter(pa.array(side == k))
+        at = t["nodes"].combine_chunks().flatten().to_numpy().reshape(-1, TREES)
+        sides.append((t["_id"].to_pylist(), at, [shingles(word_hashes(x.as_py(), hashes)) for x in t["_text"]], np.array(t["copies"].to_pylist(), np.int64)))
+    (ids, at, sets, copies), (ids2, at2, sets2, copies2) = sides[0], sides[-1]
+    wanted = np.zeros((len(ids), len(ids2)), bool)
     for t in range(TREES):
-        wanted |= now[:, t, None] == now2[None, :, t]
-        done |= (old[:, t, None] == old2[None, :, t]) & (old[:, t, None] != 0)
-    wanted &= ~done
+        wanted |= at[:, t, None] == at2[None, :, t]
     if one:
         wanted &= np.triu(np.ones(wanted.shape, bool), 1)
-    size, size2 = np.array([len(x) for x in sets]), np.array([len(x) for x in sets2])
+    size, size2 = np.array([len(x) for x in sets], np.int64), np.array([len(x) for x in sets2], np.int64)
+    # sets of too different sizes can't be that similar
+    wanted &= np.minimum(size[:, None], size2[None, :]) >= least * np.maximum(size[:, None], size2[None, :]) - 1e-9
     both = _common(sets, sets2, wanted)
     union = size[:, None] + size2[None, :] - both
     linked = wanted & (both >= least * union - 1e-9) & (union > 0)
@@ -191,35 +197,43 @@ def verified(a: pa.Table, b: pa.Table, least: float) -> pa.Table:
     return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "n": pa.array(cols[2], pa.int64())})
 
 
-def _links(reps: DataFrame, texts: DataFrame, depth: int, older: int | None, least: float) -> DataFrame:
-    """What ``verified`` gives for all pairs that share a node at ``depth`` and none at ``older``."""
-    deep = F.col(f"d{older}") if older else F.transform(f"d{depth}", lambda _: F.lit(0).cast("long"))
-    each = reps.select("_id", F.explode(F.arrays_zip(F.col(f"d{depth}").alias("node"), deep.alias("deep"))).alias("e")).select("_id", F.col("e.node").alias("node"), F.col("e.deep").alias("deep"))
-    # most nodes have one text; a filter tells so before anything is shuffled
-    bits = repeat_filter(each, "node", TREES * reps.count(), numbers=of_long)
-    each = kept(each.where(maybe_repeated(reps.sparkSession, bits, of_long)("node")))
-    groups = each.groupBy("node").agg(F.count("*").alias("n"), (F.min("deep") != F.max("deep")).alias("more")).where("n > 1")
-    groups = kept((groups.where("more") if older else groups).select("node", "n"))
+def _met(seen: DataFrame) -> DataFrame:
+    """``block, with``: each pair of blocks once, and each block with itself, if they have two texts under one node.
+
+    ``seen`` has ``node, block, m``. A node in b blocks is dealt to b / SALT tasks, each of which pairs all of its blocks with a share of them.
+    """
+    many = kept(seen.groupBy("node").agg(F.count("*").alias("b")).where("b > 1"))
+    total = many.agg(F.sum("b")).first()[0] or 0
+    across = kept(join_counted(seen, many, "node", "b", total)).withColumn("salts", F.ceil(F.col("b") / SALT).cast("long"))
+    left = across.select("node", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    right = across.select("node", F.pmod(F.xxhash64("block"), F.col("salts")).alias("salt"), F.col("block").alias("with"))
+    pairs = left.join(right, ["node", "salt"]).where("block < with").select("block", "with").distinct()
+    return kept(pairs.unionByName(seen.where("m > 1").select("block", F.col("block").alias("with")).distinct()))
+
+
+def _links(reps: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """What ``verified`` gives for all pairs of texts that share a node."""
+    each = reps.select("_id", "weight", F.explode("nodes").alias("node"))
+    groups = kept(each.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
     total = groups.agg(F.sum("n")).first()[0]
     if not total:
-        return None
-    members = kept(join_counted(each.select("_id", "node"), groups, "node", "n", total))
-    home = members.groupBy("_id").agg(F.max(F.struct("n", "node")).alias("home"))
+        return reps.sparkSession.createDataFrame([], "a long, b long, n long")
+    members = kept(join_counted(each, groups, "node", "n", total))
+    home = members.groupBy("_id").agg(F.max(F.struct("n", "node")).alias("home"), F.first("weight").alias("weight"))
     for _ in range(GATHERINGS):  # texts that share any node move to the largest that one of them is in
-        best = members.join(home, "_id").groupBy("node").agg(F.max("home").alias("home"), F.count("*").alias("n"))
-        home = kept(join_counted(members.select("_id", "node"), best, "node", "n", total).groupBy("_id").agg(F.max("home").alias("home")))
-    sizes = home.groupBy("home").agg(F.count("*").alias("size"))
+        best = kept(members.join(home.select("_id", "home"), "_id").groupBy("node").agg(F.max("home").alias("home"), F.count("*").alias("n")))
+        home = join_counted(members.select("_id", "node", "weight"), best, "node", "n", total).groupBy("_id").agg(F.max("home").alias("home"), F.first("weight").alias("weight"))
+    home = kept(home)
+    sizes = kept(home.groupBy("home").agg(F.sum("weight").alias("size")))
     part = F.pmod(F.xxhash64("_id"), F.ceil(F.col("size") / BLOCK))
-    home = kept(join_counted(home, sizes, "home", "size", home.count()).select("_id", F.xxhash64("home", part).alias("block")))
-    seen = kept(members.join(home, "_id").groupBy("node", "block").agg(F.count("*").alias("m")))
-    left, right = seen.alias("l"), seen.alias("r")
-    pairs = left.join(right, F.col("l.node") == F.col("r.node")).where("l.block < r.block or (l.block = r.block and l.m > 1)")
-    pairs = kept(pairs.select(F.col("l.block").alias("block"), F.col("r.block").alias("with")).distinct())
-    held = reps.select("_id", "copies", F.col(f"d{depth}").alias("nodes"), deep.alias("older")).join(home, "_id").join(texts, "_id")
-    held = kept(held.select("block", F.col("_id").alias("id"), "copies", "nodes", "older", F.col("_text").alias("text")))
-    a = pairs.join(held, "block")
-    b = pairs.where("block <> with").withColumnRenamed("block", "first").join(held.withColumnRenamed("block", "with"), "with").withColumnRenamed("first", "block").select(*(F.col(c).alias(c) for c in a.columns))
-    return kept(a.groupBy("block", "with").cogroup(b.groupBy("block", "with")).applyInArrow(lambda x, y: verified(x, y, least), "a long, b long, n long"))
+    home = kept(join_counted(home, sizes, "home", "size", sizes.agg(F.sum("size")).first()[0]).select("_id", F.xxhash64("home", part).alias("block")))
+    pairs = _met(kept(members.join(home, "_id").groupBy("node", "block").agg(F.count("*").alias("m"))))
+    both = [F.col("block").alias("p"), F.col("with").alias("q")]
+    places = pairs.select("block", *both, F.lit(0).alias("side")).unionByName(pairs.where("block <> with").select(F.col("with").alias("block"), *both, F.lit(1).alias("side")))
+    # ids go to their pairs of blocks first, and then the texts once, to where they are needed
+    wanted = home.join(places, "block").select("_id", "p", "q", "side")
+    sent = reps.select("_id", "copies", "nodes").join(wanted, "_id").join(texts, "_id")
+    return kept(sent.groupBy("p", "q").applyInArrow(lambda own: verified(own, least), "a long, b long, n long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,21 +265,14 @@ def near_join(docs: DataFrame, text: str = "text", key: str = "doc_id", least: f
     linked with, copies too. Each link between different texts, whatever its similarity, is met with probability
     ``target`` or more.
     """
-    depths = prefixes(least, target)
+    depth = shortened(least, target)
     order = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_id").alias("id"))
     rows = kept(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_id")))
     rows = rows.select("_row", "_id", F.col("_row")[key].alias("_key"), F.coalesce(F.col("_row")[text].cast("string"), F.lit("")).alias("_text"))
-    signed = kept(_signed(rows, depths))
-    levels = [f"d{k}" for k in depths]
+    signed = kept(_signed(rows, depth))
     copies = kept(signed.groupBy("seq").agg(F.min(order).alias("first"), F.count("*").alias("copies")))
-    reps = kept(signed.join(copies.select(F.col("first.id").alias("_id"), "copies"), "_id").select("_id", "copies", *levels))
-    texts = rows.select("_id", "_text")
-
-    links = docs.sparkSession.createDataFrame([], "a long, b long, n long")
-    for older, depth in zip([None, *depths], depths):
-        part = _links(reps, texts, depth, older, least)
-        if part is not None:
-            links = links.unionByName(part)
+    reps = kept(signed.join(copies.select(F.col("first.id").alias("_id"), "copies"), "_id").select("_id", "copies", "weight", "nodes"))
+    links = _links(reps, rows.select("_id", "_text"), least)
     labels = components(links.where("b is not null"))
     counts = links.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     of = copies.select("seq", "first", "copies", F.col("first.id").alias("id")).join(labels, "id", "left").join(counts, "id", "left")

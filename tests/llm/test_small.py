@@ -100,10 +100,10 @@ def test_cut_texts():
 
 
 def test_shingles():
-    w = near_join.word_hashes("a b c d e f a b c d e")
+    w = near_join.word_hashes("a b c d e f a b c d e", near_join._Hashes())
     assert len(near_join.shingles(w)) == 6
-    assert len(near_join.shingles(near_join.word_hashes("a b"))) == 1
-    assert len(near_join.shingles(near_join.word_hashes(" \n"))) == 0
+    assert len(near_join.shingles(near_join.word_hashes("a b", near_join._Hashes()))) == 1
+    assert len(near_join.shingles(near_join.word_hashes(" \n", near_join._Hashes()))) == 0
 
 
 def test_common_counts_both_ways():
