@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_BITS = 8
-#: Pre-tokens that a worker remembers; then it starts afresh. About 200 bytes each.
-REMEMBERED = 250_000
+#: Pre-tokens that a task remembers, and the longest of them in characters: some 20 MB. When there are more, it starts afresh.
+REMEMBERED, LONGEST = 100_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,11 +39,14 @@ class Encoder(dict):
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
         self.words = [0] * ((max(ranks.values(), default=0) >> WORD_BITS) + 1)
+        self.pairs = [ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]
 
     def __missing__(self, token: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[token] = ids = array("i", self.merge(token.encode())).tobytes()
+        ids = array("i", self.merge(token.encode())).tobytes()
+        if len(token) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[token] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -53,18 +56,19 @@ class Encoder(dict):
         get = self.ranks.get
         if (whole := get(piece)) is not None:
             return [whole]
-        n, words, top, mask = len(piece), self.words, 0, (1 << WORD_BITS) - 1
-        after, before, noted = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
+        n, words, top, mask, pairs = len(piece), self.words, 0, (1 << WORD_BITS) - 1, self.pairs
         buckets: dict[int, list[int]] = {}
-        for at in range(n - 1):
-            if (rank := get(piece[at : at + 2])) is not None:
-                noted[at] = rank
-                if rank in buckets:
-                    buckets[rank].append(at)
-                else:
-                    buckets[rank] = [at]
-                    words[rank >> WORD_BITS] |= 1 << (rank & mask)
-                    top |= 1 << (rank >> WORD_BITS)
+        # the rank of the pair that starts at each place, or -1
+        noted = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]  # noqa: B905
+        for at, rank in enumerate(noted):
+            if rank in buckets:
+                buckets[rank].append(at)
+            elif rank >= 0:
+                buckets[rank] = [at]
+                words[rank >> WORD_BITS] |= 1 << (rank & mask)
+                top |= 1 << (rank >> WORD_BITS)
+        noted += [-1, -1]
+        after, before = list(range(1, n + 2)), list(range(-1, n + 1))
         while top:
             word = (top & -top).bit_length() - 1
             bits = words[word]
@@ -79,21 +83,15 @@ class Encoder(dict):
             if noted[at] != rank:
                 continue
             mid = after[at]
-            end = after[mid]
-            after[at] = end
+            end = after[at] = after[mid]
+            before[end] = at
             noted[mid] = noted[at] = -1
-            if end < n:
-                before[end] = at
             for left, right in ((before[at], end), (at, after[end] if end < n else 0)):
                 if left >= 0 and right:
-                    new = get(piece[left:right])
-                    if new is None:
-                        noted[left] = -1
-                        continue
-                    noted[left] = new
+                    noted[left] = new = get(piece[left:right], -1)
                     if new in buckets:
                         heappush(buckets[new], left)
-                    else:
+                    elif new >= 0:
                         buckets[new] = [left]
                         words[new >> WORD_BITS] |= 1 << (new & mask)
                         top |= 1 << (new >> WORD_BITS)
@@ -104,7 +102,18 @@ class Encoder(dict):
         return ids
 
 
-_ENCODERS: dict[int, Encoder] = {}
+def decoder(ranks: dict[bytes, int]) -> Callable[[np.ndarray], bytes]:
+    """From ids to bytes; an id outside the vocabulary is an error."""
+    known: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        known[rank] = token
+
+    def decode(ids: np.ndarray) -> bytes:
+        if len(ids) and ids.min() < 0:
+            raise IndexError("an id below zero")
+        return b"".join(map(known.__getitem__, ids.tolist()))
+
+    return decode
 
 
 def _lists(parts: list[bytes]) -> pa.Array:
@@ -127,11 +136,7 @@ class ByteBPE:
 
         @F.arrow_udf("array<int>")
         def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            key = id(ranks.value)
-            own = _ENCODERS.get(key)
-            if own is None:
-                _ENCODERS.clear()
-                own = _ENCODERS[key] = Encoder(ranks.value, pattern)
+            own = Encoder(ranks.value, pattern)
             for batch in batches:
                 yield _lists([own.encode(t.as_py() or "") for t in batch])
 
@@ -143,14 +148,26 @@ class ByteBPE:
 
         @F.arrow_udf("binary")
         def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            known: list[bytes | None] = [None] * (max(ranks.value.values(), default=-1) + 1)
-            for token, rank in ranks.value.items():
-                known[rank] = token
+            own = decoder(ranks.value)
             for batch in batches:
-                yield pa.array([b"".join(map(known.__getitem__, x.values.to_numpy().tolist() if x.is_valid else ())) for x in batch], pa.binary())
+                yield pa.array([own(x.values.to_numpy()) if x.is_valid else b"" for x in batch], pa.binary())
 
         return text(ids)
 
+    def round_trip(self, text: Column) -> Column:
+        """A struct of ``ids`` and of ``decoded``, the bytes that these ids stand for: both ways in one Python worker."""
+        ranks, pattern = self.ranks, self.pattern
+
+        @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+        def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            there, back = Encoder(ranks.value, pattern), decoder(ranks.value)
+            for batch in batches:
+                parts = [there.encode(t.as_py() or "") for t in batch]
+                decoded = pa.array([back(np.frombuffer(x, "<i4")) for x in parts], pa.binary())
+                yield pa.StructArray.from_arrays([_lists(parts), decoded], ["ids", "decoded"])
+
+        return both(text)
+
 
 def encode_documents(docs: DataFrame, bpe: ByteBPE, text: str = "text") -> DataFrame:
     """``docs`` with a column ``ids`` (an input column of that name is replaced)."""
@@ -160,3 +177,8 @@ def encode_documents(docs: DataFrame, bpe: ByteBPE, text: str = "text") -> DataF
 def decode_documents(docs: DataFrame, bpe: ByteBPE, ids: str = "ids") -> DataFrame:
     """``docs`` with a column ``decoded`` of bytes (an input column of that name is replaced)."""
     return docs.withColumn("decoded", bpe.decode(F.col(ids)))
+
+
+def round_trip_documents(docs: DataFrame, bpe: ByteBPE, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and ``decoded`` (input columns of these names are replaced)."""
+    return docs.withColumn("ids", bpe.round_trip(F.col(text))).withColumn("decoded", F.col("ids.decoded")).withColumn("ids", F.col("ids.ids"))

@@ -52,10 +52,10 @@ FROM g
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .bpe import ByteBPE, decode_documents, encode_documents
+    from .bpe import ByteBPE, round_trip_documents
 
     bpe = ByteBPE(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = decode_documents(encode_documents(documents(spark, sf_dir).select("doc_id", "text"), bpe), bpe)
+    coded = round_trip_documents(documents(spark, sf_dir).select("doc_id", "text"), bpe)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
