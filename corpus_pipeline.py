@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlight.llm.bpe import ByteBPE, decode_documents, encode_documents
+from meterlight.llm.bpe import ByteBPE, round_trip_documents
 from meterlight.llm.exact_dedup import exact_dedup
 from meterlight.llm.mixing import mixed_texts
 from meterlight.llm.near_join import near_join
@@ -43,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of each row, and whether they decode to its text."""
     bpe = ByteBPE(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = decode_documents(encode_documents(docs.select("doc_id", "source", "lang", "text"), bpe), bpe)
+    coded = round_trip_documents(docs.select("doc_id", "source", "lang", "text"), bpe)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
 
