@@ -3,9 +3,9 @@
 Words are packed, source by source, into blocks of fixed length. Each output shard draws how many of its slots
 go to which source, as a multinomial: slot by slot, a keyed hash falls into the sources' shares. A source's slots
 are numbered over all shards, and a pseudorandom permutation of its block numbers, another one for each pass,
-says which block a slot takes; slots and blocks meet by source and block number. A source's draws are then
-trimmed or topped up to its target, the last of its slots giving only what is still wanted, so that the words
-taken are the target, rounded down.
+says which block a slot takes; slots and blocks meet by source and block number. The draws decide: a source gives as many
+blocks as were drawn, which is near its target and not at it, but for slots that would take a block more often than
+``most`` allows; these stay empty.
 """
 
 from __future__ import annotations
@@ -106,49 +106,38 @@ def draws(sources: DataFrame, slots: int, total: float, shard_slots: int, seed:
     return drawn.withColumn("inside", inside).join(offsets, ["shard", "rank"]).select("shard", F.expr(f"id % {shard_slots}").alias("at"), "rank", (F.col("offset") + F.col("inside")).alias("slot"))
 
 
-def uses(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
-    """``shard, at, rank, block, pass, words``: how many words of which block each slot takes."""
-    own = sources.select("rank", "target", F.floor("target").alias("want"), "size", F.ceil(F.col("size") / block).alias("blocks"), F.expr(f"size div {block}").alias("full"))
-    need = F.expr("case when size > 0 then (want div size) * blocks else 0 end") + F.when(F.col("size") > 0, F.ceil(F.expr("want % size") / block)).otherwise(0)
-    own = kept(own.withColumn("need", need.cast("long")))
-    sums = own.agg(F.sum("need").alias("slots"), F.sum("target").alias("total")).first()
-    slots, total = sums["slots"] or 0, sums["total"] or 0.0
-    drawn = kept(draws(own, slots, total, shard_slots, seed))
-    got = own.join(drawn.groupBy("rank").agg(F.count("*").alias("got")), "rank", "left").where("need > coalesce(got, 0)")
-    short = got.select("rank", F.explode(F.sequence(F.coalesce("got", F.lit(0).cast("long")), F.col("need") - 1)).alias("slot"))
-    last = -(-slots // shard_slots)
-    short = short.select((F.pmod(F.xxhash64("rank", "slot"), F.lit(max(1, last // 16))) + last).alias("shard"), "rank", "slot")
-    short = short.select("shard", (F.row_number().over(W.partitionBy("shard").orderBy("rank", "slot")) - 1).cast("long").alias("at"), "rank", "slot")
-    every = drawn.unionByName(short).join(own, "rank").where("slot < need")
+def block_words(total: float, slots: int = 1 << 20, longest: int = 2048) -> int:
+    """The length of a block: so that the mix has ``slots`` slots or more, for the draws to come near the shares, but at most ``longest``."""
+    return max(1, min(longest, int(total) // slots))
+
+
+def uses(sources: DataFrame, drawn: DataFrame, block: int, most: float, seed: int) -> DataFrame:
+    """``shard, at, rank, block, pass, words``: the block that each drawn slot takes, and its words. Slots beyond ``most`` passes take none."""
+    own = sources.select("rank", "size", F.ceil(F.col("size") / block).alias("blocks"), F.expr(f"size div {block}").alias("full"))
+    every = drawn.join(own, "rank").where(F.col("slot") < F.floor(F.lit(most)) * F.col("blocks"))
     every = every.withColumn("pass", F.expr("slot div blocks")).withColumn("index", F.expr("slot % blocks"))
 
     @F.pandas_udf("long")
-    def place(index: pd.Series, full: pd.Series, key: pd.Series) -> pd.Series:
-        out = index.to_numpy().copy()
-        inner = np.flatnonzero(out < full.to_numpy())  # the short last block keeps its place
-        if len(inner):
-            out[inner] = permuted(out[inner], full.to_numpy()[inner], key.to_numpy()[inner].view(np.uint64))
-        return pd.Series(out)
+    def place(index: pd.Series, blocks: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series(permuted(index.to_numpy(), blocks.to_numpy(), key.to_numpy().view(np.uint64)) if len(index) else index)
 
-    every = every.withColumn("block", place("index", "full", F.xxhash64(F.lit(seed), "rank", "pass")))
-    long = F.least(F.lit(block), F.col("size") - F.col("block") * block)
-    before = F.col("pass") * F.col("size") + F.col("index") * block
-    return every.select("shard", "at", "rank", "block", "pass", F.least(long, F.col("want") - before).alias("words"))
+    every = every.withColumn("block", place("index", "blocks", F.xxhash64(F.lit(seed), "rank", "pass")))
+    return every.select("shard", "at", "rank", "block", "pass", F.least(F.lit(block), F.col("size") - F.col("block") * block).alias("words"))
 
 
-def mixed(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", block: int = 256, shard_slots: int = 4096, seed: int = 20240101, share: float = 1.5, most: float = 2.0) -> DataFrame:
+def mixed(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", block: int | None = None, shard_slots: int = 4096, seed: int = 20240101, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """``_row`` (of ``docs``), ``_size``, ``_source_size``, ``_target`` and ``_taken``: an array of ``pass, first, n, shard, at``, the words that the mix takes of the row, in runs.
 
-    A run lies in slot ``at`` of its output shard. Shards have the drawn slots of each source, but for what a source
-    has beyond its target, which is missing from its last ones; what it lacks is in shards of its own after them.
-
-    ``size`` is the row's number of words; null counts as 0. The order of packing is that of a keyed hash of the whole row,
-    repeated rows are documents of their own, and rows without words are taken never. Reruns agree for the same rows
-    and seed. A null source is a source, the last.
+    A run lies in slot ``at`` of its output shard; a shard's slots by source are the multinomial's counts. ``size`` is
+    the row's number of words; null counts as 0. Without ``block``, blocks are as long as ``block_words`` says. The order of
+    packing is that of a keyed hash of all columns of the row but maps; rows equal in all of them are documents of their
+    own in any order. Rows without words are taken never. Reruns agree for the same rows and seed, however these are
+    partitioned. A null source is a source, the last. Of an empty table the mix is empty.
     """
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     rows = kept(
-        docs.select(F.struct("*").alias("_row"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"), name.alias("_source"), F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in (key, source)], size).alias("_hash"), F.monotonically_increasing_id().alias("_id"))
+        docs.select(F.struct("*").alias("_row"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"), name.alias("_source"), F.xxhash64(F.lit(seed), F.lit(key), *hashed).alias("_hash"), F.monotonically_increasing_id().alias("_id"))
     )
     slim = rows.select("_id", "_size", "_source", "_hash")
     by_source = slim.groupBy("_source").agg(F.sum("_size").alias("size"), F.count("*").alias("docs"))
@@ -159,24 +148,35 @@ def mixed(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "sou
     ranked = ranked.withColumn("_chunk", F.pmod("_hash", F.lit(max(1, n // 2000))))
     packed = kept(running_sum(ranked, ["rank"], [F.col("_hash"), F.col("_id")], "_size", "_at").select("_id", "_size", "rank", "_at", "_source_size", "_target"))
 
+    if block is None:
+        block = block_words(sources.agg(F.sum("target")).first()[0] or 0.0)
+    # slots that give a source its target on average; its last block may be short
+    expected = sources.select("rank", "size", (F.col("target") * F.ceil(F.col("size") / block) / F.greatest("size", F.lit(1))).alias("target"))
+    total = expected.agg(F.sum("target")).first()[0] or 0.0
+    drawn = kept(draws(expected, round(total), total, shard_slots, seed))
     first = F.greatest(F.col("_at"), F.col("block") * block)
     pieces = packed.where("_size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"_at div {block}"), F.expr(f"(_at + _size - 1) div {block}"))))
-    pieces = pieces.select("_id", "rank", "block", (first - F.col("_at")).alias("first"), (first - F.col("block") * block).alias("from"), (F.least(F.col("_at") + F.col("_size"), (F.col("block") + 1) * block) - first).alias("n"))
-    taken = pieces.join(uses(sources, block, shard_slots, seed), ["rank", "block"]).select("_id", "pass", "first", F.least("n", F.col("words") - F.col("from")).alias("n"), "shard", "at").where("n > 0")
+    pieces = pieces.select("_id", "rank", "block", (first - F.col("_at")).alias("first"), (F.least(F.col("_at") + F.col("_size"), (F.col("block") + 1) * block) - first).alias("n"))
+    taken = pieces.join(uses(sources, drawn, block, most, seed), ["rank", "block"]).select("_id", "pass", "first", "n", "shard", "at")
     taken = taken.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("pass", "first", "n", "shard", "at"))).alias("_taken"))
     none = F.array().cast("array<struct<pass:long,first:long,n:long,shard:long,at:long>>")
     return rows.select("_row", "_id").join(packed, "_id").join(taken, "_id", "left").select("_row", "_size", "_source_size", "_target", F.coalesce("_taken", none).alias("_taken"))
 
 
-def mixed_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+def mixed_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", by_slot: bool = False, block: int | None = None, shard_slots: int = 4096) -> DataFrame:
     """The mix itself, in the columns of ``docs``: a row for each document and pass that takes words of it, with the text cut to these words.
 
     A text that a pass takes whole stays as it is; of others the runs of words, with the white space between
-    them, stand one after the other.
+    them, stand one after the other. With ``by_slot`` the mix is laid out as its shards: a row for each slot and each
+    document with words in it, and the columns ``shard`` and ``slot`` (which replace input columns of these names).
     """
-    rows = mixed(docs, words(text_of(text)), key, source)
-    by_pass = rows.select("_row", "_size", F.explode(F.array_distinct(F.transform("_taken", lambda t: t["pass"]))).alias("_pass"), "_taken")
-    runs = by_pass.withColumn("_runs", F.filter("_taken", lambda t: t["pass"] == F.col("_pass")))
+    rows = mixed(docs, words(text_of(text)), key, source, block, shard_slots)
+    if by_slot:
+        runs = rows.select("_row", "_size", F.explode("_taken").alias("_run"))
+        runs = runs.select("_row", "_size", F.col("_run.shard").alias("_shard"), F.col("_run.at").alias("_slot"), F.array("_run").alias("_runs"))
+    else:
+        by_pass = rows.select("_row", "_size", F.explode(F.array_distinct(F.transform("_taken", lambda t: t["pass"]))).alias("_pass"), "_taken")
+        runs = by_pass.withColumn("_runs", F.filter("_taken", lambda t: t["pass"] == F.col("_pass")))
     whole = F.aggregate("_runs", F.lit(0).cast("long"), lambda a, t: a + t["n"]) == F.col("_size")
 
     @F.arrow_udf("string")
@@ -185,7 +185,9 @@ def mixed_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", source
 
     parts = runs.withColumn("_cut", F.when(~whole, F.col("_row")[text]))
     new = F.coalesce(cut("_cut", "_runs"), F.col("_row")[text])
-    return add_columns(parts.withColumn("_new", new), "_row", {text: F.col("_new")}).select(*docs.columns)
+    outputs = {text: F.col("_new")} | ({"shard": F.col("_shard"), "slot": F.col("_slot")} if by_slot else {})
+    out = add_columns(parts.withColumn("_new", new), "_row", outputs)
+    return out if by_slot else out.select(*docs.columns)
 
 
 def _cut(text: str, runs: list[tuple[int, int]]) -> str:

@@ -106,7 +106,7 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed, words
     from .shared import text_of
 
-    docs = documents(spark, sf_dir).select("doc_id", "source", words(text_of()).alias("size"))
+    docs = documents(spark, sf_dir).select("doc_id", "source", words(text_of()).alias("size"), F.xxhash64("text").alias("content"))
     return mixed(docs, F.col("size")).select(
         "_row.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
         F.aggregate("_taken", F.lit(0).cast("long"), lambda a, t: a + t["n"]).alias("taken"),
