@@ -1,20 +1,30 @@
-"""Secret scans: rules for known forms, and two character Markov models for what has no form.
+"""Secret scans: rules for known forms, and character Markov models for what has no form.
 
-The labelled samples come from the corpus itself: values that the rules find are random strings, all other runs
-of identifier characters are ordinary. Bigram counts of both, over all documents, make the models; a run that no
-rule has found is or holds a secret if the log-likelihood ratio of some stretch of it is high.
+Two kinds of models, trained from labelled samples, look at each long run of identifier characters that no rule has
+touched. Random strings: a drawn sample for each alphabet that secrets are written in (``RANDOM``), first-order models.
+Ordinary identifiers: all runs of the corpus that no rule touches, whole corpus counted, second-order with the
+first order behind it. A run is, or holds, a secret if some stretch of it has a high log-likelihood ratio of one of the
+random models against the ordinary one. How high is set on held-out labelled strings: random ones drawn anew, and
+identifiers put together from words of the corpus.
 """
 
 from __future__ import annotations
 
+import hashlib
+import random
 import re
+import string
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 # The forms of the base rules, and the fewest characters of the group that is a secret.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 RULES = {"assign": (ASSIGN, 2, 6), "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20), "hex": (re.compile(r"[0-9a-f]+"), 0, 24)}
@@ -23,11 +33,27 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 #: As ``hex``, without the matches that are too short.
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
-N = len(ALPHABET) + 1  # the last code: any other character, and a run's edges
+#: Alphabets of random strings, each a model of its own. Numbers alone aren't taken for secrets.
+RANDOM = {
+    "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "lower": string.ascii_lowercase, "upper": string.ascii_uppercase, "letters": string.ascii_letters,
+    "lower and digits": string.ascii_lowercase + string.digits, "upper and digits": string.ascii_uppercase + string.digits,
+    "letters and digits": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "base64url": string.ascii_letters + string.digits + "-_",
+}
+#: Drawn strings of each alphabet, and words kept for identifiers: the sizes of the labelled samples that aren't corpus counts.
+DRAWN, WORDS = 400, 2000
+#: Words of programs and addresses, added to those of the corpus when identifiers are made.
+COMMON = (
+    "read write file buffer user name config data test path index page list map item node value type get set key table column row query index cache count "
+    "time date start end first last next parent child root left right height width size length error warning message event handler listener manager factory "
+    "service client server request response session cookie header body content text string number integer boolean array object class method function module "
+    "package import export default static public private version build release branch commit merge input output stream socket thread process worker task queue "
+    "www com org net http https html json xml csv static images assets blog news article archive category product example some and more with from into"
+).split()
+N = len(ALPHABET) + 1  # the last code: any other character
 CODES = np.full(256, N - 1, np.uint8)
 CODES[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(N - 1)
 SPANS = "array<struct<kind:string,start:int,end:int>>"
+PLAIN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][a-z]{2,11}(?![A-Za-z0-9+/_=-])")
 
 
 def by_rules(text: str) -> list[tuple[int, int, int, int]]:
@@ -45,81 +71,192 @@ def by_rules(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(found)
 
 
-def _pairs(text: str) -> np.ndarray:
-    code = CODES[np.frombuffer(b" " + text.encode() + b" ", np.uint8)].astype(np.int32)
-    return np.bincount(code[:-1] * N + code[1:], minlength=N * N)
+def _codes(text: str) -> np.ndarray:
+    return CODES[np.frombuffer(text.encode(), np.uint8)].astype(np.int32)
+
+
+def _triples(text: str) -> np.ndarray:
+    """The number of each three characters in a row, by code."""
+    c = _codes(text)
+    return np.bincount((c[:-2] * N + c[1:-1]) * N + c[2:], minlength=N**3) if len(c) > 2 else np.zeros(N**3, np.int64)
+
+
+def drawn(seed: int, n: int = DRAWN) -> dict[str, list[str]]:
+    """``n`` random strings of 16 to 64 characters of each alphabet."""
+    rng = random.Random(seed)
+    return {kind: ["".join(rng.choices(letters, k=rng.randint(16, 64))) for _ in range(n)] for kind, letters in RANDOM.items()}
+
+
+def identifiers(words: list[str], n: int = 2 * WORDS, seed: int = 3) -> list[str]:
+    """``n`` identifiers of 16 and more characters put together from ``words`` and ``COMMON``: snake, kebab, camel and constant case, and paths, some with a number."""
+    rng, words = random.Random(seed), [*words, *COMMON * max(1, len(words) // len(COMMON))]
+    forms = ["_".join, "-".join, "/".join, lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), lambda w: "".join(x.capitalize() for x in w), lambda w: "_".join(w).upper()]
+    out = []
+    while len(out) < n:
+        own = [rng.choice(words).lower()]
+        while sum(map(len, own)) < rng.randint(16, 40):
+            own.append(rng.choice(words).lower())
+        if rng.random() < 0.4:
+            at = rng.randrange(len(own))
+            own[at] += str(rng.randrange(2000) if rng.random() < 0.3 else rng.randrange(10))
+        out.append(rng.choice(forms)(own))
+    return out
+
+
+def best_stretch(llr: np.ndarray, least: int) -> float:
+    """The largest sum of ``least`` or more neighbours in some row; of fewer, none is."""
+    if llr.shape[1] < least:
+        return -np.inf
+    sums = np.concatenate([np.zeros((len(llr), 1)), np.cumsum(llr, axis=1)], axis=1)
+    low = np.minimum.accumulate(sums[:, : sums.shape[1] - least], axis=1)
+    return float((sums[:, least:] - low).max())
+
+
+@dataclass
+class Models:
+    """Log-likelihood ratios of a character after two others, by random model; the least that makes a secret; what held-out samples said."""
+
+    ratio: np.ndarray
+    least: float = 0.0
+    recall: float = 0.0
+    false_alarms: float = 0.0
+
+    def score(self, run: str, least_length: int) -> float:
+        c = _codes(run)
+        return best_stretch(self.ratio[:, (c[:-2] * N + c[1:-1]) * N + c[2:]], max(1, least_length - 2))
+
 
+def _ordinary(triples: np.ndarray) -> np.ndarray:
+    """Log probabilities of a character after two others, smoothed by those after one, and these by those of all."""
+    n = triples.reshape(N, N, N)[: N - 1, : N - 1, : N - 1].astype(float)
+    pairs = n.sum(axis=0)
+    singles = pairs.sum(axis=0)
+    first = (singles + 1) / (singles + 1).sum()
+    second = (pairs + 4 * first) / (pairs.sum(axis=1, keepdims=True) + 4)
+    return np.log((n + 4 * second[None]) / (n.sum(axis=2, keepdims=True) + 4))
 
-def train(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Log-likelihood ratios, random against ordinary, of each pair of characters; from all documents. ``N * N`` numbers."""
+
+def fit(triples: np.ndarray, words: list[str], least_length: int = 16, false_alarms: float = 0.001, margin: float = 6.0) -> Models:
+    """Models of the corpus' counts of three characters in a row, in runs that no rule has touched, and of drawn strings.
+
+    The least ratio is ``margin`` above what all but ``false_alarms`` of the held-out identifiers have.
+    """
+    # two ordinary models in even shares: runs of the corpus, and identifiers made of its words, as the corpus may have few
+    own = sum((_triples(x) for x in identifiers(words, seed=4)), np.zeros(N**3, np.int64))
+    ordinary = np.logaddexp(_ordinary(triples), _ordinary(own)) - np.log(2)
+    ratio = np.full((len(RANDOM), N, N, N), -50.0, np.float32)  # with another character, it is no such string
+    for k, (kind, own) in enumerate(drawn(1).items()):
+        letters = _codes(RANDOM[kind])
+        m = np.zeros((N - 1, N - 1))
+        for text in own:
+            c = _codes(text)
+            np.add.at(m, (c[:-1], c[1:]), 1)
+        m = m[np.ix_(letters, letters)]
+        # as first-order models with a prior towards the alphabet's own letters, all alike
+        p = np.log((m + 50 / len(letters)) / (m.sum(axis=1, keepdims=True) + 50))
+        at = np.ix_(letters, letters, letters)
+        ratio[k][at] = p[None] - ordinary[at]
+    models = Models(ratio.reshape(len(RANDOM), -1))
+    names = sorted(models.score(x, least_length) for x in identifiers(words))
+    models.least = max(0.0, names[min(len(names) - 1, int(len(names) * (1 - false_alarms)))]) + margin
+    found = [models.score(x, least_length) >= models.least for own in drawn(2).values() for x in own]
+    models.recall, models.false_alarms = sum(found) / len(found), sum(x >= models.least for x in names) / max(1, len(names))
+    return models
+
+
+def train(docs: DataFrame, text: str = "text") -> Models:
+    """Models from all documents: a task counts its texts, and the counts, at most N ** 3 of them, are summed by Spark."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, N * N), np.int64)
+        n = np.zeros(N**3, np.int64)
+        words: dict[int, str] = {}
+
+        def take(part: list[str]) -> None:
+            nonlocal n
+            joined = "\n".join(part)
+            n += _triples(joined)
+            for w in set(PLAIN.findall(joined)):
+                words[int.from_bytes(hashlib.blake2b(w.encode(), digest_size=7).digest())] = w
+            if len(words) > 20 * WORDS:
+                for h in sorted(words)[WORDS:]:
+                    del words[h]
+
+        part: list[str] = []
+        size = 0
         for batch in batches:
             for t in batch.column(0):
                 t = t.as_py() or ""
-                n[0] += _pairs(t)
-                for _, _, end, start in by_rules(t):
-                    n[1] += _pairs(t[start:end])
-        kinds, pairs = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(pairs, pa.int32()), pa.array(n[kinds, pairs], pa.int64())], ["kind", "pair", "n"])
-
-    sums = docs.select(F.col(text)).mapInArrow(counts, "kind int, pair int, n long").groupBy("kind", "pair").agg(F.sum("n").alias("n"))
-    n = np.zeros((2, N * N))
-    for r in sums.collect():  # at most 2 * N * N rows
-        n[r.kind, r.pair] = r.n
-    n[0] = np.maximum(n[0] - n[1], 0)
-    n = n.reshape(2, N, N)
-    n[:, -1, -1] = 0  # between runs
-    p = (n + 0.5) / (n + 0.5).sum(axis=2, keepdims=True)
-    return np.log(p[1] / p[0]).ravel()
-
-
-def best_stretch(llr: np.ndarray, least: int) -> tuple[float, float]:
-    """The largest sum of ``least`` or more neighbours, and their mean."""
-    sums = np.concatenate([[0.0], np.cumsum(llr)])
-    before = sums[: len(sums) - least]
-    low = np.minimum.accumulate(before)
-    gain = sums[least:] - low
-    end = int(gain.argmax())
-    start = int(before[: end + 1].argmin())
-    return float(gain[end]), float(gain[end]) / (end + least - start)
-
-
-def by_model(text: str, ratio: np.ndarray, base: list[tuple[int, int, int, int]], least_length: int, least_ratio: float, least_mean: float) -> list[tuple[int, int]]:
+                for _, _, end, value in by_rules(t):
+                    n -= _triples(t[value:end])
+                part.append(t)
+                size += len(t)
+                if size > 1 << 20:
+                    take(part)
+                    part, size = [], 0
+        take(part)
+        at = np.flatnonzero(n)
+        own = sorted(words)[:WORDS]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*at.tolist(), *own], pa.int64()), pa.array([*n[at].tolist(), *[0] * len(own)], pa.int64()), pa.array([*[None] * len(at), *(words[h] for h in own)], pa.string())],
+            ["code", "n", "word"],
+        )
+
+    sums = docs.select(F.col(text).cast("string")).mapInArrow(counts, "code long, n long, word string").groupBy("code", "word").agg(F.sum("n").alias("n"))
+    sums = kept(sums)
+    n = np.zeros(N**3)
+    for r in sums.where("word is null").select("code", "n").collect():  # at most N ** 3 rows
+        n[r.code] = max(0, r.n)
+    # the words of the least hashes, which don't depend on how the corpus is dealt to tasks
+    return fit(n, [r.word for r in sums.where("word is not null").orderBy("code", "word").limit(WORDS).collect()])
+
+
+def _spans_of(base: list[tuple[int, int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of the base spans."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, _, e, _ in base:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def by_model(text: str, models: Models, base: list[tuple[int, int, int, int]], least_length: int) -> list[tuple[int, int]]:
     found = []
-    for m in RUN.finditer(text):
+    starts, ends = _spans_of(base)
+    for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{least_length},}}", text):
         start, end = m.span()
-        if end - start < least_length or any(s < end and start < e for s, _, e, _ in base):
+        k = bisect_left(ends, start + 1)  # the first that ends behind the start
+        if k < len(starts) and starts[k] < end:
             continue
         run = m.group()
-        if run.isdigit():
-            continue
-        code = CODES[np.frombuffer(f" {run} ".encode(), np.uint8)].astype(np.int32)
-        # as many pairs as lie between the characters of the shortest secret
-        total, mean = best_stretch(ratio[code[:-1] * N + code[1:]], max(1, least_length - 1))
-        if total >= least_ratio and mean >= least_mean:
+        if not run.isdigit() and models.score(run, least_length) >= models.least:
             found.append((start, end))
     return found
 
 
-def secrets(text: Column, ratio: np.ndarray, least_length: int = 16, least_ratio: float = 14.0, least_mean: float = 0.5) -> Column:
+def secrets(text: Column, models: Models, least_length: int = 16) -> Column:
     """All spans of the whole text by start and then kind, in code points, the end not included; null is empty.
 
-    The model looks at all runs of ``least_length`` and more identifier characters that no rule has touched and that
-    aren't numbers. A run is found, as a whole, if a stretch of it that is no shorter reaches ``least_ratio``, so ordinary
-    names joined to a secret don't hide it. ``least_ratio`` 14 is odds of a million to one.
+    The models look at all runs of ``least_length`` and more identifier characters that no rule has touched and that
+    aren't numbers. A run is found, as a whole, if a stretch of it that is no shorter reaches ``models.least``, so ordinary
+    names joined to a secret don't hide it.
     """
+    spark = SparkSession.getActiveSession()
+    sent = spark.sparkContext.broadcast(models)
 
     @F.arrow_udf(SPANS)
     def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = sent.value
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             out = []
             for t in batch:
                 t = t.as_py() or ""
                 base = by_rules(t)
-                every = [(s, k, e) for s, k, e, _ in base] + [(s, len(RULES), e) for s, e in by_model(t, ratio, base, least_length, least_ratio, least_mean)]
+                every = [(s, k, e) for s, k, e, _ in base] + [(s, len(RULES), e) for s, e in by_model(t, own, base, least_length)]
                 out.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(every)])
             yield pa.array(out, kind)
 
