@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .shared import add_columns, kept
 
 # Forms of entities, honorifics by gender, and names by script and gender.
-EMAIL = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ._%+-]+@[A-Za-z0-9À-ÖØ-öø-ÿ-]+(?:\.[A-Za-z0-9À-ÖØ-öø-ÿ-]+)+")
+LOCAL = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ._%+-]+")
+DOMAIN = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ-]+(?:\.[A-Za-z0-9À-ÖØ-öø-ÿ-]+)+")
 IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)", re.ASCII)
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", re.ASCII)
 CARD = re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})(?![\w-])", re.ASCII)
@@ -52,7 +53,10 @@ SYLLABLES = {
     "greek": ("βα", "γορ", "δη", "θε", "κα", "λα", "μαν", "νικ", "παπ", "ρο", "σαρ", "τσι", "φω", "χα", "ψα", "ζε"),
 }
 
-NAME = r"[^\W\d_a-zа-яёα-ωά-ώß-öø-ÿ][^\W\d_]+(?:-[^\W\d_]+)*"
+#: A name has up to this many hyphens.
+HYPHENS = 3
+NAME = rf"[^\W\d_a-zа-яёα-ωά-ώß-öø-ÿ][^\W\d_]+(?:-[^\W\d_]+){{0,{HYPHENS}}}"
+WORDS = re.compile(r"(?<!\w)[^\W\d_]+(?:-[^\W\d_]+)*(?!\w)")
 _GENDER = {word: g for g, words in HONORIFICS.items() for word in words}
 PERSON = re.compile(rf"\b({'|'.join(sorted(_GENDER, key=len, reverse=True))})\.?\x20+({NAME})(?:\x20+({NAME}))?")
 _TITLES = tuple(_GENDER)
@@ -77,30 +81,52 @@ def _names(text: str) -> list[Found]:
             people[first] = "surname"
     if not people:
         return []
-    again = re.compile(rf"(?<!\w)({'|'.join(map(re.escape, sorted(people, key=len, reverse=True)))})(?!\w)")
-    return [(m.start(), m.end(), f"{people[m.group()]}:{script(m.group())}", m.group()) for m in again.finditer(text)]
+    found = []
+    for m in WORDS.finditer(text):
+        at, parts, k = m.start(), m.group().split("-"), 0
+        while k < len(parts):
+            # the longest name that begins with this part
+            n = next((n for n in range(min(HYPHENS + 1, len(parts) - k), 0, -1) if "-".join(parts[k : k + n]) in people), 0)
+            name = "-".join(parts[k : k + max(n, 1)])
+            if n:
+                found.append((at, at + len(name), f"{people[name]}:{script(name)}", name))
+            at, k = at + len(name) + 1, k + max(n, 1)
+    return found
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses that don't overlap: from each @ back and on, never over what lies before the last @ or address, so that a long run of letters is read once."""
+    low, at = 0, text.find("@")
+    while at >= 0:
+        before = LOCAL.match(text[low:at][::-1])
+        domain = DOMAIN.match(text, at + 1) if before else None
+        if domain:
+            yield at - before.end(), domain.end()
+        low = domain.end() if domain else at + 1
+        at = text.find("@", low)
 
 
 def find(text: str) -> list[Found]:
     """Entities by start. Kinds are sought one after the other, in what the kinds before have left."""
     found: list[Found] = []
 
-    def take(kind: str, pattern: re.Pattern, left: str) -> str:
+    def take(kind: str, spans: Iterator[tuple[int, int]], left: str) -> str:
         own = []
-        for m in pattern.finditer(left):
-            value = m.group().lower() if kind == "email" else m.group() if kind == "ip" else "".join(c for c in m.group() if c.isalnum())
+        for start, end in spans:
+            surface = left[start:end]
+            value = surface.lower() if kind == "email" else surface if kind == "ip" else "".join(c for c in surface if c.isalnum())
             if kind == "phone":
                 if len(value) < 7:
                     continue
-                value = "+" * (m.group()[0] == "+") + value
-            own.append((m.start(), m.end(), kind, value))
+                value = "+" * (surface[0] == "+") + value
+            own.append((start, end, kind, value))
         found.extend(own)
         return _without(left, own)
 
-    left = take("email", EMAIL, text) if "@" in text else text
+    left = take("email", _emails(text), text) if "@" in text else text
     if re.search(r"\d", text):
         for kind, pattern in NUMERIC:
-            left = take(kind, pattern, left)
+            left = take(kind, (m.span() for m in pattern.finditer(left)), left)
     if any(t in text for t in _TITLES):
         found += _names(left)
     return sorted(found)
