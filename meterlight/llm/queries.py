@@ -42,9 +42,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH t AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-     g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM t)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN first <> page_id THEN first END AS refers_to
+     g AS (SELECT *, payload_bytes < 1000 OR row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST) = 1 AS alone,
+                  max(page_id) OVER (PARTITION BY payload_digest) AS first FROM t)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN alone THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT alone THEN first END AS refers_to
 FROM g
 """
 

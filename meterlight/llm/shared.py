@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,22 +19,51 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Work tables of this process that ``dropped`` hasn't deleted yet.
+_WRITTEN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; only where that is unset (tests), one of our own."""
+    """A new place in ``spark.checkpoint.dir``, the folder that driver and executors share.
+
+    Where that is unset, a local session gets a folder of its own; any other master is an error, as its machines
+    would each write to their own disk.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="meterlight-")
-        spark.conf.set("spark.checkpoint.dir", at) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = _own_folder()
     return f"{at.rstrip('/')}/meterlight-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="meterlight-")
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and not lost with an executor."""
     at = shared_folder(df.sparkSession)
     df.write.parquet(at)
+    _WRITTEN.append(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def work_tables() -> list[str]:
+    """The work tables that are there, the oldest first."""
+    return list(_WRITTEN)
+
+
+def dropped(spark: SparkSession, tables: list[str]) -> None:
+    """Deletes work tables that no DataFrame reads any more."""
+    for at in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if at in _WRITTEN:
+            _WRITTEN.remove(at)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

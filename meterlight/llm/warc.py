@@ -174,8 +174,8 @@ def _file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def train_dictionary(pages: DataFrame, payload: str = "html", rows: int = 400, size: int = 32 << 10, longest: int = 16 << 10) -> bytes:
-    """A dictionary fitted on at most ``rows`` payloads, each cut at ``longest`` bytes; empty if these are too few or too short."""
-    some = pages.select(F.col(payload).alias("p")).where(F.octet_length("p") > 0).limit(rows).collect()
+    """A dictionary fitted on at most ``rows`` payloads, each cut at ``longest`` bytes before they are sent; empty if these are too few or too short."""
+    some = pages.select(F.substring(payload, 1, longest).alias("p")).where("p <> ''").limit(rows).collect()
     samples = [r.p.encode()[:longest] for r in some]
     if len(samples) < 16 or sum(map(len, samples)) < 8 * size:
         return b""
@@ -186,22 +186,26 @@ def train_dictionary(pages: DataFrame, payload: str = "html", rows: int = 400, s
 
 
 def decided(pages: DataFrame, payload: str = "html", key: str = "page_id", url: str = "url", least: int = 1000) -> DataFrame:
-    """``key, url, payload, bytes, sha1, of``: ``of`` is the key of the response that the row revisits, or null.
+    """``id, url, payload, sha1, of``: ``id`` names the row's record, ``of`` that of the response that the row revisits, or is null.
 
-    Among equal payloads of ``least`` bytes and more, rows with the largest key are responses and all others revisit
-    it; null keys are smaller than all, and revisit nothing among themselves. Null payloads are empty.
+    Among equal payloads of ``least`` bytes and more, one row with the largest key is the response and all others revisit
+    it; null keys are smaller than all. Repeated keys have records of their own, as an id holds the row's number too:
+    ``pages`` must read its rows in the same partitions again, as files do. Null payloads are empty.
     """
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), body.alias("payload"), F.octet_length(body).cast("long").alias("bytes"), F.sha1(body).alias("sha1"))
-    groups = kept(rows.where(F.col("bytes") >= least).groupBy("sha1").agg(F.max("key").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    name = F.concat(F.lit(ID), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.monotonically_increasing_id().cast("string"))
+    rows = pages.select(name.alias("id"), F.col(key).alias("key"), F.col(url).alias("url"), body.alias("payload"), F.octet_length(body).alias("bytes"), F.sha1(body).alias("sha1"))
+    long = F.col("bytes") >= least
+    groups = kept(rows.where(long).groupBy("sha1").agg(F.max(F.struct("key", "id")).alias("first"), F.count("*").alias("n")).where("n > 1"))
     total = groups.agg(F.sum("n")).first()[0]
+    out = ["id", "url", "payload", "sha1"]
+    none = F.lit(None).cast("string").alias("of")
     if not total:
-        return rows.withColumn("of", F.lit(None).cast(rows.schema["key"].dataType))
+        return rows.select(*out, none)
     # other rows don't meet the groups: they are alone
-    many = join_counted(rows.where(F.col("bytes") >= least), groups, "sha1", "n", total)
-    many = many.select(*rows.columns, F.when(~F.col("key").eqNullSafe(F.col("first")), F.col("first")).alias("of"))
-    few = rows.where(F.col("bytes") < least).unionByName(rows.where(F.col("bytes") >= least).join(groups.select("sha1"), "sha1", "left_anti").select(*rows.columns))
-    return many.unionByName(few.withColumn("of", F.lit(None).cast(rows.schema["key"].dataType)))
+    many = join_counted(rows.where(long), groups, "sha1", "n", total).select(*out, F.when(F.col("id") != F.col("first.id"), F.col("first.id")).alias("of"))
+    few = rows.where(~long).unionByName(rows.where(long).join(groups.select("sha1"), "sha1", "left_anti").select(*rows.columns))
+    return many.unionByName(few.select(*out, none))
 
 
 def write_archives(rows: DataFrame, folder: str, dictionary: bytes, level: int = 3, archive_bytes: int = 1 << 30, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -224,7 +228,7 @@ def write_archives(rows: DataFrame, folder: str, dictionary: bytes, level: int =
                 out = None
 
         for batch in batches:
-            for key, url, payload, digest, of in zip(*(batch.column(k) for k in range(5)), strict=True):
+            for own_id, url, payload, digest, of in zip(*(batch.column(k) for k in range(5)), strict=True):
                 if out is None:
                     paths.append(f"part-{part:05d}-{len(paths):04d}.warc.zst")
                     counts.append(0)
@@ -234,11 +238,11 @@ def write_archives(rows: DataFrame, folder: str, dictionary: bytes, level: int =
                 body = payload.as_py().encode()
                 label = sha1_label(bytes.fromhex(digest.as_py()))
                 headers = [
-                    ("WARC-Type", "revisit" if of.is_valid else "response"), ("WARC-Record-ID", f"<{ID}{key.as_py()}>"), ("WARC-Date", date),
+                    ("WARC-Type", "revisit" if of.is_valid else "response"), ("WARC-Record-ID", f"<{own_id.as_py()}>"), ("WARC-Date", date),
                     ("WARC-Target-URI", (url.as_py() or "").replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", label), ("Content-Type", "text/html; charset=utf-8"),
                 ]
                 if of.is_valid:
-                    headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{ID}{of.as_py()}>"), ("WARC-Payload-Length", str(len(body)))]
+                    headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{of.as_py()}>"), ("WARC-Payload-Length", str(len(body)))]
                     body = b""
                 out.write(own.compress(write_record(headers, body)))
                 counts[-1] += 1
@@ -249,7 +253,7 @@ def write_archives(rows: DataFrame, folder: str, dictionary: bytes, level: int =
 
     fs, root = _file_system(folder)
     fs.create_dir(root, recursive=True)
-    return kept(rows.select("key", "url", "payload", "sha1", "of").mapInArrow(write, "path string, records long"))
+    return kept(rows.select("id", "url", "payload", "sha1", "of").mapInArrow(write, "path string, records long"))
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -294,4 +298,4 @@ def archived(spark: SparkSession, pages: DataFrame, folder: str | None = None) -
 
 def page_key(name: str) -> Column:
     """The page's key in a record's id; null if the page had none."""
-    return F.expr(f"try_cast(substring({name}, {len(ID) + 1}) as bigint)")
+    return F.expr(f"try_cast(split_part(substring({name}, {len(ID) + 1}), ':', 1) as bigint)")

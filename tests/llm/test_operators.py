@@ -196,12 +196,14 @@ def test_bpe(spark, docs, none):
 
 def test_warc(spark):
     big = "<html>" + "x" * 2000
-    rows = [(1, "http://a", big), (2, "http://b\n", big), (3, None, big), (4, "u", None), (5, "u", ""), (6, "u", "small"), (7, "u", "small"), (None, "u", big), (8, "u", "é" * 1000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows = [(1, "http://a", big), (2, "http://b\n", big), (3, None, big), (3, "again", big), (4, "u", None), (5, "u", ""), (6, "u", "small"), (7, "u", "small"), (None, "u", big), (None, "u", big), (8, "u", "é" * 1000)]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, id string, of int")
     read = warc.archived(spark, pages).withColumn("page_id", warc.page_key("id")).withColumn("of", warc.page_key("refers_to")).collect()
-    assert len(read) == len(rows)
+    assert len(read) == len(rows) == len({r.id for r in read})
+    assert sum(r.type == "response" for r in read if r.payload_bytes == len(big)) == 1
     for r in read:
         html = next(h for p, _, h in rows if p == r.page_id) or ""
         assert r.digest == hashlib.sha1(html.encode()).hexdigest() and r.payload_bytes == len(html.encode())
-        assert (r.type, r.of) == (("revisit", 3) if html == big and r.page_id != 3 else ("response", None))
+        assert r.of == (3 if r.type == "revisit" else None) and (r.type == "response" or html == big)
+        assert r.page_id == 3 or (r.type == "revisit") == (html == big)
     assert warc.archived(spark, pages.where("false")).count() == 0
