@@ -1,6 +1,9 @@
 """The corpus pipeline: toxic documents go, then exact and near copies; what stays is mixed to target weights and encoded.
 
-Each stage takes what the one before kept, as a table, and decides on all of it.
+Each stage takes what the one before kept, as a table, and decides on all of it. Null texts are empty texts: they aren't
+toxic, are copies of each other, take no share of the mix and so leave it there. Repeated rows are copies. A null source is a
+source. Columns of ``documents`` beyond the usual ones go through all stages but the last, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from meterlight.llm.bpe import ByteBPE, round_trip_documents
 from meterlight.llm.exact_dedup import exact_dedup
 from meterlight.llm.mixing import mixed_texts
 from meterlight.llm.near_join import near_join
-from meterlight.llm.shared import documents, kept
+from meterlight.llm.shared import documents, dropped, kept, work_tables
 from meterlight.llm.toxicity import score_documents
 
 
@@ -60,9 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's result is a work table; what the stage needed on the way goes when it is written."""
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
+        before = work_tables()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = kept(docs)
+            dropped(spark, [t for t in work_tables()[:-1] if t not in before])
     return docs
