@@ -20,9 +20,11 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import tidied
+
 WORD_BITS = 8
-#: Pre-tokens that a task remembers, and the longest of them in characters: some 20 MB. When there are more, it starts afresh.
-REMEMBERED, LONGEST = 100_000, 64
+#: Pre-tokens that a task remembers, and the longest of them in characters: some 12 MB. When there are more, it starts afresh.
+REMEMBERED, LONGEST = 60_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -137,7 +139,7 @@ class ByteBPE:
         @F.arrow_udf("array<int>")
         def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = Encoder(ranks.value, pattern)
-            for batch in batches:
+            for batch in tidied(batches):
                 yield _lists([own.encode(t.as_py() or "") for t in batch])
 
         return ids(text)
@@ -161,7 +163,7 @@ class ByteBPE:
         @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
         def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             there, back = Encoder(ranks.value, pattern), decoder(ranks.value)
-            for batch in batches:
+            for batch in tidied(batches):
                 parts = [there.encode(t.as_py() or "") for t in batch]
                 decoded = pa.array([back(np.frombuffer(x, "<i4")) for x in parts], pa.binary())
                 yield pa.StructArray.from_arrays([_lists(parts), decoded], ["ids", "decoded"])

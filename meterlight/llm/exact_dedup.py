@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,33 +26,25 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACE, " ")
 
 
-def of_hex(hashes: pd.Series) -> np.ndarray:
-    """Two 64-bit numbers of each hash."""
-    return np.frombuffer(b"".join(bytes.fromhex(x[:32]) for x in hashes), dtype=">u8").reshape(-1, HALVES).astype(np.uint64)
-
-
-def of_long(hashes: pd.Series) -> np.ndarray:
-    x = hashes.to_numpy().astype(np.int64).view(np.uint64)
-    return np.stack([x, (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(8)], axis=1)
-
-
-def _cells(raw: np.ndarray, half: int) -> np.ndarray:
+def _cells(hashes: pa.Array, half: int) -> np.ndarray:
+    """Of each hash two 64-bit numbers, as a cell in each half."""
+    raw = np.frombuffer(b"".join(bytes.fromhex(x[: 16 * HALVES]) for x in hashes.to_pylist()), dtype=">u8").reshape(-1, HALVES)
     return (raw % np.uint64(half)).astype(np.int64) + np.arange(HALVES) * half
 
 
-def maybe_repeated(spark: SparkSession, bits: np.ndarray, numbers: Callable[[pd.Series], np.ndarray] = of_hex) -> Callable[[str], Column]:
+def maybe_repeated(spark: SparkSession, bits: np.ndarray) -> Callable[[str], Column]:
     """The second pass: whether all cells of a row were set at least twice."""
     sent, half = spark.sparkContext.broadcast(bits), len(bits) * 8 // HALVES
 
-    @F.pandas_udf("boolean")
-    def repeated(h: pd.Series) -> pd.Series:
-        cells = _cells(numbers(h), half)
-        return pd.Series(((sent.value[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1).all(axis=1))
+    @F.arrow_udf("boolean")
+    def repeated(h: pa.Array) -> pa.Array:
+        cells = _cells(h, half)
+        return pa.array(((sent.value[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1).all(axis=1))
 
     return repeated
 
 
-def repeat_filter(hashes: DataFrame, column: str, rows: int, max_bits: int = 1 << 30, numbers: Callable[[pd.Series], np.ndarray] = of_hex) -> np.ndarray:
+def repeat_filter(hashes: DataFrame, column: str, rows: int, max_bits: int = 1 << 30) -> np.ndarray:
     """The first pass, as packed bits: set where at least two rows have set the cell. Of 16 to 32 cells a row, but at most ``max_bits`` (128 MB).
 
     Beyond ``max_bits / 16`` rows the filter stays as large and lets more rows through to the shuffle.
@@ -62,7 +53,7 @@ def repeat_filter(hashes: DataFrame, column: str, rows: int, max_bits: int = 1 <
     half = bits // HALVES
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [_cells(numbers(b.column(0).to_pandas()), half).ravel() for b in batches if b.num_rows]
+        seen = [_cells(b.column(0), half).ravel() for b in batches if b.num_rows]
         cells, n = np.unique(np.concatenate(seen or [np.empty(0, np.int64)]), return_counts=True)
         cuts = np.flatnonzero(np.diff(cells // SEGMENT)) + 1
         rows = []
@@ -75,17 +66,17 @@ def repeat_filter(hashes: DataFrame, column: str, rows: int, max_bits: int = 1 <
             ["segment", "once", "more"],
         )
 
-    def merged(group: pd.DataFrame) -> pd.DataFrame:
+    def merged(group: pa.Table) -> pa.Table:
         n = np.zeros(SEGMENT, np.uint8)
-        for once, more in zip(group.once, group.more, strict=True):
+        for once, more in zip(group["once"].to_pylist(), group["more"].to_pylist(), strict=True):
             n[np.frombuffer(more, "<u2")] = 2
             at = np.frombuffer(once, "<u2")
             n[at] = np.minimum(n[at] + 1, 2)
-        return pd.DataFrame({"segment": [group.segment.iloc[0]], "bits": [np.packbits(n > 1).tobytes()]})
+        return pa.table({"segment": group["segment"][:1], "bits": pa.array([np.packbits(n > 1).tobytes()], pa.binary())})
 
     sparse = hashes.select(column).mapInArrow(parts, "segment int, once binary, more binary")
     out = np.zeros(bits // 8, np.uint8)
-    for r in sparse.groupBy("segment").applyInPandas(merged, "segment int, bits binary").toLocalIterator():
+    for r in sparse.groupBy("segment").applyInArrow(merged, "segment int, bits binary").toLocalIterator():
         out[r.segment * SEGMENT // 8 : (r.segment + 1) * SEGMENT // 8] = np.frombuffer(r.bits, np.uint8)
     return out
 

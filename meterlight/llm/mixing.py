@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -117,9 +116,9 @@ def uses(sources: DataFrame, drawn: DataFrame, block: int, most: float, seed: in
     every = drawn.join(own, "rank").where(F.col("slot") < F.floor(F.lit(most)) * F.col("blocks"))
     every = every.withColumn("pass", F.expr("slot div blocks")).withColumn("index", F.expr("slot % blocks"))
 
-    @F.pandas_udf("long")
-    def place(index: pd.Series, blocks: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series(permuted(index.to_numpy(), blocks.to_numpy(), key.to_numpy().view(np.uint64)) if len(index) else index)
+    @F.arrow_udf("long")
+    def place(index: pa.Array, blocks: pa.Array, key: pa.Array) -> pa.Array:
+        return pa.array(permuted(*(x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for x in (index, blocks, key))), pa.int64())
 
     every = every.withColumn("block", place("index", "blocks", F.xxhash64(F.lit(seed), "rank", "pass")))
     return every.select("shard", "at", "rank", "block", "pass", F.least(F.lit(block), F.col("size") - F.col("block") * block).alias("words"))

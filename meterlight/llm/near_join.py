@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import add_columns, join_counted, kept
+from .shared import add_columns, join_counted, kept, tidied
 
 SHINGLE = 5
 TREES, DEPTH = 16, 8
@@ -100,7 +100,7 @@ def _signed(rows: DataFrame, depth: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for batch in batches:
+        for batch in tidied(batches):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 seq, weight, own_nodes = [], [], []

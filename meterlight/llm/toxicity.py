@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import add_columns, fold
+from .shared import add_columns, fold, tidied
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Words whose emission a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 40_000
 FLOOR = 1e-9
 SPANS = "array<struct<start:int,end:int,p:double>>"
 
@@ -105,7 +105,7 @@ class _Odds(dict):
         return x
 
 
-def tag(model: Field, texts: list[str], odds: dict[str, float] | None = None, cells: int = 1 << 20) -> list[np.ndarray]:
+def tag(model: Field, texts: list[str], odds: dict[str, float] | None = None, cells: int = 1 << 18) -> list[np.ndarray]:
     """The toxic state's probability of each token of each text. Texts of like length are worked on together."""
     odds = _Odds(model) if odds is None else odds
     rows = [np.fromiter(map(odds.__getitem__, TOKEN.findall(t)), float) for t in texts]
@@ -277,10 +277,10 @@ def toxicity(docs: DataFrame, model: Field, text: Column) -> Column:
     def tagged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, odds = sent.value, _Odds(sent.value)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
-        for batch in batches:
+        for batch in tidied(batches):
             scores, found = [], []
-            for at in range(0, len(batch), 1000):
-                texts = [t or "" for t in batch.slice(at, 1000).to_pylist()]
+            for at in range(0, len(batch), 250):
+                texts = [t or "" for t in batch.slice(at, 250).to_pylist()]
                 for t, p in zip(texts, tag(own, texts, odds), strict=True):
                     scores.append(own.score(float(p.max()) if len(p) else 0.0, float(p.sum())))
                     found.append(spans(t, p))
