@@ -18,33 +18,38 @@ from meterlight.llm.bpe import ByteBPE, round_trip_documents
 from meterlight.llm.exact_dedup import exact_dedup
 from meterlight.llm.mixing import mixed_texts
 from meterlight.llm.near_join import near_join
-from meterlight.llm.shared import documents, dropped, kept, work_tables
+from meterlight.llm.shared import documents, dropped, kept, small_batches, work_tables
 from meterlight.llm.toxicity import score_documents
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the field doesn't call toxic."""
+    small_batches(spark)
     return score_documents(docs, documents(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the least id."""
+    small_batches(spark)
     return exact_dedup(docs).where("kept").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies, the row with the least id."""
+    small_batches(spark)
     return near_join(docs).where("kept").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each document and pass of the mix, with the words that this pass takes; ``n_chars`` follows the text."""
+    small_batches(spark)
     rows = mixed_texts(docs)
     return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of each row, and whether they decode to its text."""
+    small_batches(spark)
     bpe = ByteBPE(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     coded = round_trip_documents(docs.select("doc_id", "source", "lang", "text"), bpe)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
