@@ -2,8 +2,8 @@
 
 Two kinds of models, trained from labelled samples, look at each long run of identifier characters that no rule has
 touched. Random strings: a drawn sample for each alphabet that secrets are written in (``RANDOM``), first-order models.
-Ordinary identifiers: all runs of the corpus that no rule touches, whole corpus counted, second-order with the
-first order behind it. A run is, or holds, a secret if some stretch of it has a high log-likelihood ratio of one of the
+Ordinary identifiers: all runs of the whole corpus that are too short for a secret and that no rule
+touches, and identifiers put together from its words; second-order with the first order behind it. A run is, or holds, a secret if some stretch of it has a high log-likelihood ratio of one of the
 random models against the ordinary one. How high is set on held-out labelled strings: random ones drawn anew, and
 identifiers put together from words of the corpus.
 """
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import kept
+from .shared import kept, tidied
 
 # The forms of the base rules, and the fewest characters of the group that is a secret.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -71,6 +71,19 @@ def by_rules(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(found)
 
 
+def _union(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in sorted(spans):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def _codes(text: str) -> np.ndarray:
     return CODES[np.frombuffer(text.encode(), np.uint8)].astype(np.int32)
 
@@ -164,8 +177,12 @@ def fit(triples: np.ndarray, words: list[str], least_length: int = 16, false_ala
     return models
 
 
-def train(docs: DataFrame, text: str = "text") -> Models:
-    """Models from all documents: a task counts its texts, and the counts, at most N ** 3 of them, are summed by Spark."""
+def train(docs: DataFrame, text: str = "text", least_length: int = 16) -> Models:
+    """Models from all documents: a task counts its texts, and the counts, at most N ** 3 of them, are summed by Spark.
+
+    Values that rules find and runs of ``least_length`` and more, which the models are to judge, aren't counted as ordinary.
+    """
+    long = re.compile(rf"[A-Za-z0-9+/_=-]{{{least_length},}}")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(N**3, np.int64)
@@ -173,7 +190,7 @@ def train(docs: DataFrame, text: str = "text") -> Models:
 
         def take(part: list[str]) -> None:
             nonlocal n
-            joined = "\n".join(part)
+            joined = long.sub("\n", "\n".join(part))
             n += _triples(joined)
             for w in set(PLAIN.findall(joined)):
                 words[int.from_bytes(hashlib.blake2b(w.encode(), digest_size=7).digest())] = w
@@ -183,12 +200,14 @@ def train(docs: DataFrame, text: str = "text") -> Models:
 
         part: list[str] = []
         size = 0
-        for batch in batches:
+        for batch in tidied(batches):
             for t in batch.column(0):
                 t = t.as_py() or ""
-                for _, _, end, value in by_rules(t):
-                    n -= _triples(t[value:end])
-                part.append(t)
+                at = 0
+                for start, end in zip(*_union([(value, end) for _, _, end, value in by_rules(t)]), strict=True):
+                    part.append(t[at:start])
+                    at = end
+                part.append(t[at:])
                 size += len(t)
                 if size > 1 << 20:
                     take(part)
@@ -205,27 +224,14 @@ def train(docs: DataFrame, text: str = "text") -> Models:
     sums = kept(sums)
     n = np.zeros(N**3)
     for r in sums.where("word is null").select("code", "n").collect():  # at most N ** 3 rows
-        n[r.code] = max(0, r.n)
+        n[r.code] = r.n
     # the words of the least hashes, which don't depend on how the corpus is dealt to tasks
-    return fit(n, [r.word for r in sums.where("word is not null").orderBy("code", "word").limit(WORDS).collect()])
-
-
-def _spans_of(base: list[tuple[int, int, int, int]]) -> tuple[list[int], list[int]]:
-    """Starts and ends of the union of the base spans."""
-    starts: list[int] = []
-    ends: list[int] = []
-    for s, _, e, _ in base:
-        if ends and s <= ends[-1]:
-            ends[-1] = max(ends[-1], e)
-        else:
-            starts.append(s)
-            ends.append(e)
-    return starts, ends
+    return fit(n, [r.word for r in sums.where("word is not null").orderBy("code", "word").limit(WORDS).collect()], least_length)
 
 
 def by_model(text: str, models: Models, base: list[tuple[int, int, int, int]], least_length: int) -> list[tuple[int, int]]:
     found = []
-    starts, ends = _spans_of(base)
+    starts, ends = _union([(s, e) for s, _, e, _ in base])
     for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{least_length},}}", text):
         start, end = m.span()
         k = bisect_left(ends, start + 1)  # the first that ends behind the start
@@ -251,7 +257,7 @@ def secrets(text: Column, models: Models, least_length: int = 16) -> Column:
     def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = sent.value
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
+        for batch in tidied(batches):
             out = []
             for t in batch:
                 t = t.as_py() or ""

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -144,20 +145,30 @@ def test_rules_for_secrets():
 
 
 def test_model_for_secrets():
-    ratio = np.full((secret_scan.N, secret_scan.N), -1.0)
+    ratio = np.full((1, secret_scan.N, secret_scan.N, secret_scan.N), -1.0)
     digits = [secret_scan.ALPHABET.index(c) for c in "0123456789"]
-    ratio[digits] = 2.0
-    found = secret_scan.by_model("plain words x1234567890123456789y 12345678901234567890", ratio.ravel(), [], 16, 14.0, 0.5)
-    assert found == [(12, 33)]
+    ratio[np.ix_([0], digits, digits, digits)] = 2.0
+    models = secret_scan.Models(ratio.reshape(1, -1), 14.0)
+    text = "plain words x1234567890123456789y 12345678901234567890 and x1234567890123456789z"
+    assert secret_scan.by_model(text, models, [(60, 0, 61, 60)], 16) == [(12, 33)]
+    assert secret_scan._union([(5, 9), (1, 3), (3, 4), (6, 7)]) == ([1, 5], [4, 9])
 
 
 def test_best_stretch_is_that_of_all():
     rng = np.random.default_rng(9)
     for n in (3, 4, 20):
-        llr = rng.normal(size=n)
-        every = {(a, b): llr[a:b].sum() for a in range(n) for b in range(a + 3, n + 1)}
-        (a, b), want = max(every.items(), key=lambda e: e[1])
-        assert secret_scan.best_stretch(llr, 3) == pytest.approx((want, want / (b - a)))
+        llr = rng.normal(size=(2, n))
+        want = max(row[a:b].sum() for row in llr for a in range(n) for b in range(a + 3, n + 1))
+        assert secret_scan.best_stretch(llr, 3) == pytest.approx(want)
+    assert secret_scan.best_stretch(llr[:, :2], 3) == -np.inf
+
+
+def test_entities_of_very_long_texts():
+    for text in ("a" * 1_000_000 + "@", "Dr " + "x" * 1_000_000 + "@b.example.com", "Mr " + "a-" * 200_000 + "B", "12-" * 300_000):
+        began = time.process_time()
+        surrogates.find(text)
+        assert time.process_time() - began < 10
+    assert [x[2:] for x in surrogates.find("to a@b a.b@c.d@e.fr, x@y.z.")] == [("email", "a.b@c.d"), ("email", "x@y.z")]
 
 
 def test_surrogates_keep_form():
