@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .shared import tidied
 
 WORD_BITS = 8
-#: Pre-tokens that a task remembers, and the longest of them in characters: some 12 MB. When there are more, it starts afresh.
-REMEMBERED, LONGEST = 60_000, 64
+#: Pre-tokens of a generation, and the longest of them in characters. A task remembers the present and the last generation, some 40 MB.
+REMEMBERED, LONGEST = 100_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,14 +39,18 @@ class Encoder(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.ranks = ranks
+        self.last: dict[str, bytes] = {}
         self.find = regex.compile(pattern).findall
         self.words = [0] * ((max(ranks.values(), default=0) >> WORD_BITS) + 1)
         self.pairs = [ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]
 
     def __missing__(self, token: str) -> bytes:
-        ids = array("i", self.merge(token.encode())).tobytes()
+        ids = self.last.get(token)
+        if ids is None:
+            ids = array("i", self.merge(token.encode())).tobytes()
         if len(token) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.last = dict(self)
                 self.clear()
             self[token] = ids
         return ids

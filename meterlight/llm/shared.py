@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Rows of texts that go to a Python worker at once, where the session doesn't say it.
-BATCH_ROWS = 500
+BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .shared import add_columns, fold, tidied
 
 TOKEN = re.compile(r"[^\W\d_]+")
-#: Words whose emission a worker remembers.
-REMEMBERED = 40_000
+#: Words of a generation whose emission a task remembers; the last generation stays beside it.
+REMEMBERED = 75_000
 FLOOR = 1e-9
 SPANS = "array<struct<start:int,end:int,p:double>>"
 
@@ -97,15 +97,20 @@ class _Odds(dict):
     def __init__(self, model: Field):
         super().__init__()
         self.model = model
+        self.last: dict[str, float] = {}
 
     def __missing__(self, word: str) -> float:
+        x = self.last.get(word)
+        if x is None:
+            x = math.exp(min(30.0, max(-30.0, self.model.emission(word))))
         if len(self) >= REMEMBERED:
+            self.last = dict(self)
             self.clear()
-        self[word] = x = math.exp(min(30.0, max(-30.0, self.model.emission(word))))
+        self[word] = x
         return x
 
 
-def tag(model: Field, texts: list[str], odds: dict[str, float] | None = None, cells: int = 1 << 18) -> list[np.ndarray]:
+def tag(model: Field, texts: list[str], odds: dict[str, float] | None = None, cells: int = 1 << 20) -> list[np.ndarray]:
     """The toxic state's probability of each token of each text. Texts of like length are worked on together."""
     odds = _Odds(model) if odds is None else odds
     rows = [np.fromiter(map(odds.__getitem__, TOKEN.findall(t)), float) for t in texts]
@@ -279,8 +284,8 @@ def toxicity(docs: DataFrame, model: Field, text: Column) -> Column:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         for batch in tidied(batches):
             scores, found = [], []
-            for at in range(0, len(batch), 250):
-                texts = [t or "" for t in batch.slice(at, 250).to_pylist()]
+            for at in range(0, len(batch), 1000):
+                texts = [t or "" for t in batch.slice(at, 1000).to_pylist()]
                 for t, p in zip(texts, tag(own, texts, odds), strict=True):
                     scores.append(own.score(float(p.max()) if len(p) else 0.0, float(p.sum())))
                     found.append(spans(t, p))
