@@ -102,6 +102,20 @@ def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_top_k(docs, docs.where("doc_id % 100 = 0"), k=10)
 
 
+#: Words are split at ASCII white space and A-Z is put in lower case; k1 = 1.2, b = 0.75; a query's words count as often as they come.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+     tf AS (SELECT doc_id, len(words) AS length, word, count(*) AS n FROM (SELECT doc_id, words, unnest(words) AS word FROM d) GROUP BY ALL),
+     t AS (SELECT doc_id, length, word, n FROM tf),
+     df AS (SELECT word, ln(1 + ((SELECT count(*) FROM d) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM t GROUP BY word),
+     mean AS (SELECT sum(len(words)) / count(*) AS length FROM d),
+     s AS (SELECT q.doc_id AS query_id, t.doc_id, round(sum(q.n * df.idf * t.n * 2.2 / (t.n + 1.2 * (0.25 + 0.75 * t.length / mean.length))), 9) AS score
+           FROM t AS q JOIN df ON q.word = df.word JOIN t ON t.word = q.word, mean WHERE q.doc_id % 100 = 0 GROUP BY ALL),
+     r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed, words
     from .shared import text_of
@@ -138,5 +152,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": OP1_SQL,
+    "op3_search": OP3_SQL,
     "op8_exact_dedup": OP8_SQL,
 }

@@ -28,7 +28,7 @@ SHARD_BYTES = 16 << 20
 #: Words of the queries that go through the index at once, about; 16 bytes each.
 QUERY_TERMS = 1 << 20
 BLOCK = 32
-FILTER_BITS = 1 << 26
+FILTER_BITS, FILTER_PART = 1 << 26, 1 << 18
 
 
 class _Hashes(dict):
@@ -185,9 +185,8 @@ class Queries:
     least: np.ndarray
 
 
-def _answers(index: DataFrame, asked: Queries, k: int, mean: float, result: str) -> DataFrame:
+def _answers(index: DataFrame, sent: Broadcast, k: int, mean: float, result: str) -> DataFrame:
     """``query, key, score`` of what may be among the k best: of each task's shards the k best, which raise the bar from shard to shard."""
-    sent = index.sparkSession.sparkContext.broadcast(asked)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
@@ -219,19 +218,20 @@ def _answers(index: DataFrame, asked: Queries, k: int, mean: float, result: str)
     return index.select("keys", *STORED).mapInArrow(answer, result)
 
 
-def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text", key: str = "doc_id", query_text: str = "text", query_key: str = "doc_id") -> DataFrame:
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text", key: str = "doc_id", query_text: str = "text", query_key: str = "doc_id", shard_bytes: int = SHARD_BYTES, query_terms: int = QUERY_TERMS) -> DataFrame:
     """``query_id, rank, key, score`` of the k best rows of ``docs`` for each row of ``queries``, whole texts both.
 
     A word counts in a query as often as it comes. Equal scores (to 9 digits after the point) go by key, null last. Rows
     that share no word with a query aren't found; queries without words, null or empty, find nothing. Repeated rows are
-    found each, and of queries with the same key the one with the least text is answered.
+    found each, and of queries with the same key the one with the least text is answered. Queries with a null key are left out, as
+    their answers couldn't be told apart. Other columns don't matter and don't come back.
 
-    Texts shuffle once, to make the index. Queries go to the index in blocks of about ``QUERY_TERMS`` words, each broadcast.
+    Texts shuffle once, to make the index. Queries go to the index in blocks of about ``query_terms`` words, each broadcast.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
-    shards = max(1, -(-(size["bytes"] or 0) // SHARD_BYTES))
+    shards = max(1, -(-(size["bytes"] or 0) // shard_bytes))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -244,17 +244,27 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "te
     asked_terms = asked.select("query", F.inline(F.arrays_zip("terms", "tf"))).withColumnRenamed("terms", "term")
 
     # which words any query has, as bits: the index has only these. The filter's size is fixed; what it lets through finds no query.
+    def packed(own: pa.Table) -> pa.Table:
+        bits = np.zeros(FILTER_PART // 8, np.uint8)
+        at = own["bit"].to_numpy() % FILTER_PART
+        np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        return pa.table({"part": own["part"][:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    bit = F.col("term").bitwiseAND(FILTER_BITS - 1)
+    parts = asked_terms.select(bit.alias("bit")).distinct().withColumn("part", F.expr(f"bit div {FILTER_PART}")).groupBy("part").applyInArrow(packed, "part long, bits binary")
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in asked_terms.select((F.col("term").bitwiseAND(FILTER_BITS - 1)).alias("bit")).distinct().toLocalIterator():
-        bits[r.bit >> 3] |= 1 << (r.bit & 7)
-    index = _indexed(rows, shards, spark.sparkContext.broadcast(bits))
+    for r in parts.collect():  # 8 MB in all
+        bits[r.part * FILTER_PART // 8 : (r.part + 1) * FILTER_PART // 8] = np.frombuffer(r.bits, np.uint8)
+    sent_bits = spark.sparkContext.broadcast(bits)
+    index = _indexed(rows, shards, sent_bits)
+    sent_bits.destroy()
     counts = _counted(index)
     mean = (counts.agg(F.sum("length")).first()[0] or 0) / max(1, size["n"])
     idf = F.log1p((F.lit(float(size["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked_terms.join(counts.where("df > 0").select("term", idf.alias("idf")), "term")
     weighted = weighted.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("w")))).alias("q"))
     n_terms = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
-    blocks = max(1, -(-n_terms // QUERY_TERMS))
+    blocks = max(1, -(-n_terms // query_terms))
     weighted = kept(weighted.select("query", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("part"), F.col("q.term").alias("terms"), F.col("q.w").alias("weights")))
 
     result = f"query {kind}, key {rows.schema['key'].dataType.simpleString()}, score double"
@@ -268,9 +278,13 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "te
             lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), got["weights"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float), np.zeros(got.num_rows),
         )
         # what one shard has k times is a bar for the others
-        first = _answers(index.where("shard = 0"), block, k, mean, result)
+        alone = spark.sparkContext.broadcast(block)
+        first = _answers(index.where("shard = 0"), alone, k, mean, result)
         bar = {r.query: r.score for r in first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query", "score").collect()}
         block.least = np.array([bar.get(i, 0.0) for i in block.ids], float)
-        ranked = _answers(index, block, k, mean, result).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        alone.destroy()
+        sent = spark.sparkContext.broadcast(block)
+        ranked = _answers(index, sent, k, mean, result).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         ranked.select(F.col("query").alias("query_id"), "rank", F.col("key").alias(key), "score").write.mode("append").parquet(at)
+        sent.destroy()
     return spark.read.parquet(at)
