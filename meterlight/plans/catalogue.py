@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meterlight.functions import text as T
+from meterlight.operators import rankings as K
 from meterlight.operators import reports as R
 from meterlight.operators import sessions as S
 from meterlight.operators import usage as U
@@ -526,3 +527,80 @@ def bucket_labels(spark, d):
 @query
 def short_project(spark, d):
     return A.table(spark, d, "customer").select("c_custkey", T.short_project(F.concat(F.lit("-Users-x-src-"), F.concat_ws("-", (F.col("c_custkey") % 7).cast("string"), "c_name"))).alias("short"))
+
+
+# Orders and limits of reports, and delivery.
+
+
+@query
+def waste_projects(spark, d):
+    return K.projects_by_waste(S.corpus(_reports(spark, d))).select("place", "project", "waste_usd")
+
+
+@query
+def safety_order(spark, d):
+    return K.safety_order(R.safety(A.prompts(spark, d))).select("place", "project", "bypass_pct", "turns")
+
+
+@query
+def phase_order(spark, d):
+    return K.in_display_order(_phases("phase")(spark, d), "phase", K.PHASE_ORDER)
+
+
+@query
+def language_order(spark, d):
+    return K.in_display_order(_phases("lang")(spark, d), "lang", K.LANGUAGE_ORDER)
+
+
+@query
+def phase_keys_top25(spark, d):
+    return K.phase_keys(_phases("phase", "lang", "tier")(spark, d))
+
+
+@query
+def roi_repositories(spark, d):
+    return K.repositories(QUERIES["roi_week"](spark, d))
+
+
+@query
+def top_tools(spark, d):
+    return K.top_tools(A.tool_calls(spark, d))
+
+
+@query
+def top_reads(spark, d):
+    return K.top_reads(A.tool_calls(spark, d))
+
+
+@query
+def active_top8(spark, d):
+    return K.active_by_cost(QUERIES["active_sessions"](spark, d)).select("place", "session_id", "usd_5m")
+
+
+@query
+def flagged_top10(spark, d):
+    return K.flagged(_reports(spark, d)).select("place", "session_id", "score", "findings")
+
+
+@query
+def session_prefix(spark, d):
+    return K.of_session(U.dedupe(A.usage_events(spark, d)), "1").groupBy("session_id").agg(F.count("*").alias("turns"))
+
+
+def _delivered(spark: SparkSession, d: str) -> DataFrame:
+    spent = S.turns(A.usage_events(spark, d)).groupBy("session_id").agg(U.usd(F.sum("usd")).alias("usd"))
+    rows = spent.join(S.bounds(A.usage_events(spark, d)).select("session_id", "start", "end"), "session_id")
+    rows = rows.withColumn("repo", F.col("session_id") % 40).withColumn("has_pr", F.col("session_id") % 7 == 0)
+    commits = A.commits(spark, d)
+    return K.delivered(rows, commits, commits.select("repo"))
+
+
+@query
+def delivery_window(spark, d):
+    return _delivered(spark, d).select("session_id", "repo", "usd", "commits")
+
+
+@query
+def delivery_scores(spark, d):
+    """Session scores with the delivery finding in them."""
+    return K.with_delivery(_reports(spark, d), K.delivery_findings(_delivered(spark, d))).select("session_id", "findings", "score")

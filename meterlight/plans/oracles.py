@@ -310,4 +310,37 @@ _BODIES: dict[str, str] = {
     "short_project": "SELECT c_custkey, array_to_string(string_split('-Users-x-src-' || (c_custkey % 7) || '-' || c_name, '-')[5:], '-') AS short FROM customer",
 }
 
+
+
+def _placed(rows: str, order: str, columns: str, most: int | None = None) -> str:
+    return f"SELECT {columns} FROM (SELECT *, cast(row_number() OVER (ORDER BY {order}) AS int) AS place FROM ({rows})) {f'WHERE place <= {most}' if most else ''}"
+
+
+def _shown(rows: str, most: int) -> str:
+    return f"""SELECT session_id, name, "count", place, greatest(0, n - {most}) AS more FROM (SELECT *, cast(row_number() OVER (PARTITION BY session_id ORDER BY "count" DESC, name) AS int) AS place, count(*) OVER (PARTITION BY session_id) AS n FROM ({rows})) WHERE place <= {most}"""
+
+
+_DISPLAY = {
+    "phase": "['build', 'review', 'research', 'test', 'plan', 'writing', 'other', 'orchestration']",
+    "lang": "['go', 'rust', 'python', 'typescript', 'javascript', 'ruby', 'java', 'csharp', 'swift', 'terraform', 'unknown']",
+}
+_DELIVERED = f"""(SELECT s.session_id, s.repo, s.usd, CASE WHEN s.repo IN (SELECT o_custkey % 20 FROM orders) THEN (SELECT count(*) FROM (SELECT o_custkey % 20 AS repo, timestamp '2024-01-01' + to_days(cast(o_orderkey % 30 AS int)) + to_seconds(o_orderkey * 37 % 86400) AS at FROM orders) c
+  WHERE c.repo = s.repo AND c.at BETWEEN s.start AND s.upto) END AS commits FROM (SELECT t.session_id, t.session_id % 40 AS repo, t.usd, b.start, b."end" + interval 1 minute AS upto FROM (SELECT session_id, round(sum(usd), 8) AS usd FROM tn GROUP BY 1) t JOIN {_BOUNDS} b USING (session_id)) s)"""
+_BODIES |= {
+    "waste_projects": _placed(_BODIES["corpus_projects"], "waste_usd DESC, project", "place, project, waste_usd"),
+    "safety_order": _placed(_BODIES["safety_rows"], "bypass_pct DESC, turns DESC, project", "place, project, bypass_pct, turns"),
+    "phase_order": _placed(_BODIES["phases_by_phase"], f"coalesce(list_position({_DISPLAY['phase']}, phase), 99), phase", "*"),
+    "language_order": _placed(_BODIES["phases_by_lang"], f"coalesce(list_position({_DISPLAY['lang']}, lang), 99), lang", "*"),
+    "phase_keys_top25": _placed(_BODIES["phases_by_key"], "usd DESC, phase, lang, tier", "*", 25),
+    "roi_repositories": _placed(f"SELECT repo, round(sum(usd), 8) AS usd, cast(sum(my_commits) AS bigint) AS my_commits, cast(sum(my_lines) AS bigint) AS my_lines FROM ({_BODIES['roi_week']}) GROUP BY 1", "usd DESC, repo", "*"),
+    "top_tools": _shown('SELECT session_id, name, count(*) AS "count" FROM tc GROUP BY 1, 2', 8),
+    "top_reads": _shown(f'SELECT session_id, target AS name, reads AS "count" FROM {_DUP_READS}', 5),
+    "active_top8": _placed(_BODIES["active_sessions"], "usd_5m DESC, session_id", "place, session_id, usd_5m", 8),
+    "flagged_top10": _placed(f"SELECT * FROM {_REPORTS} WHERE findings > 0", "score DESC, usd DESC, session_id", "place, session_id, score, findings", 10),
+    "session_prefix": "SELECT session_id, count(*) AS turns FROM dd WHERE cast(session_id AS varchar) LIKE '1%' GROUP BY 1",
+    "delivery_window": f"SELECT * FROM {_DELIVERED}",
+    "delivery_scores": f"""SELECT session_id, findings + more AS findings, round(score + more, 8) AS score FROM (SELECT r.*, CASE WHEN x.session_id IS NULL THEN 0 ELSE 1 END AS more FROM {_REPORTS} r
+      LEFT JOIN (SELECT session_id FROM {_DELIVERED} WHERE usd >= 20 AND session_id % 7 <> 0 AND commits = 0) x USING (session_id))""",
+}
+
 ORACLE_SQL: dict[str, str] = {name: BASE + (", " + body.removeprefix("WITH ") if body.startswith("WITH ") else body) for name, body in _BODIES.items()}

@@ -76,6 +76,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
         (F.col("o_custkey") % 20).alias("repo"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 30).cast("int")).alias("day"),
+        F.timestamp_add("SECOND", (k * 37 % 86400).cast("int"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 30).cast("int")).cast("timestamp_ntz")).alias("at"),
         F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("mine"), (k % 97).alias("added"), (k % 41).alias("deleted"),
     )
 
