@@ -3,8 +3,8 @@
 Documents lie in shards of bounded size. A task builds a shard's inverted index: postings by term and document,
 documents of like vocabulary side by side, and for each term and block of documents the largest impact. A query
 is weighted by statistics of all documents before it goes to the shards. In a shard, the bounds of the query's terms are
-summed for each block, blocks are taken from the highest bound down, and the search ends when no bound reaches
-the k-th best score; that score starts from what one shard alone has found, which can't be above the final one.
+summed for each block; the blocks of the highest bounds are scored first, then those whose bound reaches the k-th best
+score so far, and no others. That score starts from what one shard alone has found, which can't be above the final one.
 So the merged lists are exactly those of scoring everything.
 """
 
@@ -28,6 +28,11 @@ SHARD_BYTES = 16 << 20
 #: Words of the queries that go through the index at once, about; 16 bytes each.
 QUERY_TERMS = 1 << 20
 BLOCK = 32
+#: Blocks of a shard that a query looks at first.
+FIRST_BLOCKS = 4
+#: Words of at least one in ``OFTEN`` of a shard's documents, and of ``OFTEN_LEAST``, lie as matrices too.
+OFTEN, OFTEN_LEAST = 32, 8
+BATCH_CELLS = 1 << 21
 FILTER_BITS, FILTER_PART = 1 << 26, 1 << 18
 
 
@@ -71,7 +76,12 @@ def postings(docs: list[tuple[np.ndarray, np.ndarray]], keep: Callable[[np.ndarr
 
 
 class Index:
-    """A shard's postings, with a bound for each run of a term in a block of documents."""
+    """A shard's postings by term, with a bound for each run of a term in a block of documents, and by document.
+
+    Words of many of the shard's documents also lie as a matrix for each block, so that a whole batch of queries
+    gets their part of bounds and scores by one product. That part is in single precision: ``slack`` covers its error,
+    and what may be among the best is scored again from the postings of its document.
+    """
 
     def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, mean_length: float):
         self.build(mean_length, **postings(docs, lambda term: np.isin(term, wanted)))
@@ -98,40 +108,80 @@ class Index:
         self.first = np.searchsorted(code[self.start], np.arange(len(term) + 1))
         self.blocks = -(-len(lengths) // BLOCK)
 
+        frequent = np.flatnonzero(n >= max(OFTEN_LEAST, len(lengths) / OFTEN))
+        self.column = np.full(len(term), -1)
+        self.column[frequent] = np.arange(len(frequent))
+        own = self.column[code] >= 0
+        at = self.doc[own]
+        self.often = np.zeros((self.blocks, len(frequent), BLOCK), np.float32)
+        self.often[at // BLOCK, self.column[code[own]], at % BLOCK] = self.impact[own]
+        self.often_bound = self.often.max(axis=2)
+        self.slack = 1 + 2.0**-22 * (len(frequent) + 8)
+
+        by = np.argsort(self.doc, kind="stable")
+        self.by_doc = np.searchsorted(self.doc[by], np.arange(len(lengths) + 1))
+        self.doc_term, self.doc_impact = code[by], self.impact[by]
+
     def search(self, query: np.ndarray, weight: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Documents (numbers in the shard's order) that may be among the k best with ``least`` or more, and their scores."""
-        at = np.searchsorted(self.terms, query)
-        at[at == len(self.terms)] = 0
-        hit = self.terms[at] == query if len(self.terms) else np.zeros(len(query), bool)
-        at, weight = at[hit], weight[hit]
-        lo, n = self.first[at], self.first[at + 1] - self.first[at]
-        run = _ranges(lo, n)
-        w = np.repeat(weight, n)
-        block = self.block[run]
-        bounds = np.bincount(block, w * self.bound[run], self.blocks)
-        ranked = np.argsort(-bounds, kind="stable")
-        docs, scores = np.empty(0, np.int64), np.empty(0)
-        done, step = 0, 4
-        while done < self.blocks and bounds[ranked[done]] > 0 and bounds[ranked[done]] >= least - 1e-9:
-            now = ranked[done : done + step]
-            now = now[(bounds[now] >= least - 1e-9) & (bounds[now] > 0)]
-            done, step = done + step, step * 2
-            # runs of these blocks in the order of terms, so that a document's sum doesn't depend on its shard
-            local = np.full(self.blocks, -1)
-            local[now] = np.arange(len(now))
-            own = np.flatnonzero(local[block] >= 0)
-            length = self.stop[run[own]] - self.start[run[own]]
-            post = _ranges(self.start[run[own]], length)
-            cell = local[self.doc[post] // BLOCK] * BLOCK + self.doc[post] % BLOCK
-            total = np.bincount(cell, np.repeat(w[own], length) * self.impact[post], len(now) * BLOCK)
-            got = np.flatnonzero(total > 0)
-            docs = np.concatenate([docs, now[got // BLOCK] * BLOCK + got % BLOCK])
-            scores = np.concatenate([scores, total[got]])
-            if len(scores) > k:
-                least = max(least, np.partition(scores, -k)[-k])
-                keep = scores >= least - 1e-9
-                docs, scores = docs[keep], scores[keep]
-        return self.order[docs], scores
+        return next(self.search_all([(query, weight)], k, np.array([least])))
+
+    def search_all(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``search`` for each query, in batches that keep a batch's weights and scores at ``BATCH_CELLS`` numbers each."""
+        step = max(1, min(256, BATCH_CELLS // max(1, self.often.shape[1], self.blocks * BLOCK)))
+        for at in range(0, len(asked), step):
+            yield from self._batch(asked[at : at + step], k, least[at : at + step].copy())
+
+    def _batch(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        weights = np.zeros((len(asked), self.often.shape[1]), np.float32)
+        bounds = np.zeros((len(asked), self.blocks))
+        hits, rare = [], []
+        for j, (query, weight) in enumerate(asked):
+            at = np.searchsorted(self.terms, query)
+            at[at == len(self.terms)] = 0
+            hit = self.terms[at] == query if len(self.terms) else np.zeros(len(query), bool)
+            at, w = at[hit], weight[hit]
+            hits.append((at, w))
+            column = self.column[at]
+            weights[j, column[column >= 0]] = w[column >= 0]
+            at, w = at[column < 0], w[column < 0]
+            n = self.first[at + 1] - self.first[at]
+            run, w = _ranges(self.first[at], n), np.repeat(w, n)
+            rare.append((run, w))
+            bounds[j] = np.bincount(self.block[run], w * self.bound[run], self.blocks)
+        bounds = (bounds + weights @ self.often_bound.T) * self.slack
+        scores = np.zeros((len(asked), self.blocks, BLOCK))
+
+        # the blocks of the highest bounds raise the bar; then all others whose bound still reaches it
+        best = np.zeros(bounds.shape, bool)
+        np.put_along_axis(best, np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
+        for part in (best, ~best):
+            live = part & (bounds > 0) & (bounds >= least[:, None] - 1e-9)
+            for b in np.flatnonzero(live.any(axis=0)):
+                own = np.flatnonzero(live[:, b])
+                scores[own, b] = weights[own] @ self.often[b]
+            for j, (run, w) in enumerate(rare):
+                own = live[j][self.block[run]]
+                run, w = run[own], w[own]
+                n = self.stop[run] - self.start[run]
+                post = _ranges(self.start[run], n)
+                np.add.at(scores[j].reshape(-1), self.doc[post], np.repeat(w, n) * self.impact[post])
+            if k <= self.blocks * BLOCK:
+                least = np.maximum(least, np.partition(scores.reshape(len(asked), -1), -k, axis=1)[:, -k] / self.slack)
+
+        full = np.zeros(len(self.terms))
+        for j, (at, w) in enumerate(hits):
+            near = scores[j].reshape(-1)
+            docs = np.flatnonzero((near > 0) & (near * self.slack >= least[j] - 1e-9))
+            # term by term in the order of terms, so that a document's sum doesn't depend on its shard
+            full[at] = w
+            n = self.by_doc[docs + 1] - self.by_doc[docs]
+            post = _ranges(self.by_doc[docs], n)
+            total = np.bincount(np.repeat(np.arange(len(docs)), n), full[self.doc_term[post]] * self.doc_impact[post], len(docs))
+            full[at] = 0
+            bar = max(least[j], np.partition(total, -k)[-k]) if len(total) > k else least[j]
+            keep = total >= bar - 1e-9
+            yield self.order[docs[keep]], total[keep]
 
 
 def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -202,8 +252,7 @@ def _answers(index: DataFrame, sent: Broadcast, k: int, mean: float, result: str
                 (row,) = b.slice(at, 1).to_pylist()
                 keys, stored = row["keys"], {c: np.frombuffer(row[c], t) for c, t in STORED.items()}
                 shard = Index.of(mean, order=np.arange(len(keys)), **stored)
-                for j, (t, w) in enumerate(own):
-                    found, score = shard.search(t, w, k, least[j])
+                for j, (found, score) in enumerate(shard.search_all(own, k, least)):
                     if not len(found):
                         continue
                     new = [(-s, keys[d] is None, keys[d]) for s, d in zip(np.round(score, 9).tolist(), found.tolist(), strict=True)]
