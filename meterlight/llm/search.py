@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import kept, shared_folder, text_of
+from .shared import kept, shared_folder, text_of, tidied
 
 K1, B = 1.2, 0.75
 SHARD_BYTES = 16 << 20
@@ -31,8 +31,8 @@ BLOCK = 32
 #: Blocks of a shard that a query looks at first.
 FIRST_BLOCKS = 4
 #: Words of at least one in ``OFTEN`` of a shard's documents, and of ``OFTEN_LEAST``, lie as matrices too.
-OFTEN, OFTEN_LEAST = 32, 8
-BATCH_CELLS = 1 << 21
+OFTEN, OFTEN_LEAST = 16, 8
+BATCH_CELLS = 1 << 19
 FILTER_BITS, FILTER_PART = 1 << 26, 1 << 18
 
 
@@ -94,9 +94,9 @@ class Index:
 
     def build(self, mean_length: float, order: np.ndarray, lengths: np.ndarray, term: np.ndarray, n: np.ndarray, doc: np.ndarray, tf: np.ndarray) -> None:
         norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
-        self.order, self.doc = order, doc.astype(np.int64)
+        self.order, self.doc = order, doc.astype(np.int32)
         self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
-        code = np.repeat(np.arange(len(term)), n)
+        code = np.repeat(np.arange(len(term), dtype=np.int32), n)
         block = self.doc // BLOCK
         edge = np.ones(len(code), bool)
         edge[1:] = (code[1:] != code[:-1]) | (block[1:] != block[:-1])
@@ -120,7 +120,7 @@ class Index:
 
         by = np.argsort(self.doc, kind="stable")
         self.by_doc = np.searchsorted(self.doc[by], np.arange(len(lengths) + 1))
-        self.doc_term, self.doc_impact = code[by], self.impact[by]
+        self.doc_term, self.doc_post = code[by], by.astype(np.int32)
 
     def search(self, query: np.ndarray, weight: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Documents (numbers in the shard's order) that may be among the k best with ``least`` or more, and their scores."""
@@ -177,7 +177,7 @@ class Index:
             full[at] = w
             n = self.by_doc[docs + 1] - self.by_doc[docs]
             post = _ranges(self.by_doc[docs], n)
-            total = np.bincount(np.repeat(np.arange(len(docs)), n), full[self.doc_term[post]] * self.doc_impact[post], len(docs))
+            total = np.bincount(np.repeat(np.arange(len(docs)), n), full[self.doc_term[post]] * self.impact[self.doc_post[post]], len(docs))
             full[at] = 0
             bar = max(least[j], np.partition(total, -k)[-k]) if len(total) > k else least[j]
             keep = total >= bar - 1e-9
@@ -239,6 +239,7 @@ def _answers(index: DataFrame, sent: Broadcast, k: int, mean: float, result: str
     """``query, key, score`` of what may be among the k best: of each task's shards the k best, which raise the bar from shard to shard."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _HASHES.clear()
         q = sent.value
         least, best = q.least.copy(), [[] for _ in q.ids]
         own = []
@@ -259,12 +260,13 @@ def _answers(index: DataFrame, sent: Broadcast, k: int, mean: float, result: str
                     best[j] = sorted(best[j] + new, key=lambda x: (x[0], x[1], 0 if x[1] else x[2]))[:k]
                     if len(best[j]) == k:
                         least[j] = max(least[j], -best[j][-1][0])
+                row = stored = shard = None  # before the next one is built
         if kinds is not None:
             n = [len(x) for x in best]
             ids = [i for i, m in zip(q.ids, n, strict=True) for _ in range(m)]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x[2] for y in best for x in y], kinds), pa.array([-x[0] for y in best for x in y], pa.float64())], ["query", "key", "score"])
 
-    return index.select("keys", *STORED).mapInArrow(answer, result)
+    return index.select("keys", *STORED).mapInArrow(lambda batches: tidied(answer(batches)), result)
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text", key: str = "doc_id", query_text: str = "text", query_key: str = "doc_id", shard_bytes: int = SHARD_BYTES, query_terms: int = QUERY_TERMS) -> DataFrame:
