@@ -94,14 +94,14 @@ class Index:
 
     def build(self, mean_length: float, order: np.ndarray, lengths: np.ndarray, term: np.ndarray, n: np.ndarray, doc: np.ndarray, tf: np.ndarray) -> None:
         norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
-        self.order, self.doc = order, doc.astype(np.int32)
+        self.order, self.doc = order, doc.astype(np.int64)
         self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
         code = np.repeat(np.arange(len(term), dtype=np.int32), n)
         block = self.doc // BLOCK
         edge = np.ones(len(code), bool)
         edge[1:] = (code[1:] != code[:-1]) | (block[1:] != block[:-1])
         self.start = np.flatnonzero(edge)  # of each run of a term in a block
-        self.stop = np.append(self.start[1:], len(code))
+        self.span = np.diff(np.append(self.start, len(code)))
         self.block = block[self.start]
         self.bound = np.maximum.reduceat(self.impact, self.start) if len(code) else self.impact
         self.terms = term
@@ -123,66 +123,81 @@ class Index:
         self.doc_term, self.doc_post = code[by], by.astype(np.int32)
 
     def search(self, query: np.ndarray, weight: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Documents (numbers in the shard's order) that may be among the k best with ``least`` or more, and their scores."""
-        return next(self.search_all([(query, weight)], k, np.array([least])))
-
-    def search_all(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """``search`` for each query, in batches that keep a batch's weights and scores at ``BATCH_CELLS`` numbers each."""
+        """Documents (numbers in the shard's order) that may be among the k best with ``least`` or more, and their scores. Words ascend."""
+        return next(self.search_all(query, [(np.arange(len(query)), weight)], k, np.array([least])))
+
+    def search_all(self, every: np.ndarray, asked: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``search`` for each query, whose words are places in ``every``, in batches that keep a batch's weights and scores at ``BATCH_CELLS`` numbers each."""
+        places = np.searchsorted(self.terms, every)
+        places[places == len(self.terms)] = 0
+        places[self.terms[places] != every if len(self.terms) else slice(None)] = -1
         step = max(1, min(256, BATCH_CELLS // max(1, self.often.shape[1], self.blocks * BLOCK)))
         for at in range(0, len(asked), step):
-            yield from self._batch(asked[at : at + step], k, least[at : at + step].copy())
+            yield from self._batch(places, asked[at : at + step], k, least[at : at + step].copy())
 
-    def _batch(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _batch(self, places: np.ndarray, asked: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         weights = np.zeros((len(asked), self.often.shape[1]), np.float32)
         bounds = np.zeros((len(asked), self.blocks))
         hits, rare = [], []
         for j, (query, weight) in enumerate(asked):
-            at = np.searchsorted(self.terms, query)
-            at[at == len(self.terms)] = 0
-            hit = self.terms[at] == query if len(self.terms) else np.zeros(len(query), bool)
+            at = places[query]
+            hit = at >= 0
             at, w = at[hit], weight[hit]
             hits.append((at, w))
             column = self.column[at]
-            weights[j, column[column >= 0]] = w[column >= 0]
-            at, w = at[column < 0], w[column < 0]
+            often = column >= 0
+            weights[j, column[often]] = w[often]
+            at, w = at[~often], w[~often]
             n = self.first[at + 1] - self.first[at]
             run, w = _ranges(self.first[at], n), np.repeat(w, n)
-            rare.append((run, w))
-            bounds[j] = np.bincount(self.block[run], w * self.bound[run], self.blocks)
+            block = self.block[run]
+            rare.append((run, w, block))
+            bounds[j] = np.bincount(block, w * self.bound[run], self.blocks)
         bounds = (bounds + weights @ self.often_bound.T) * self.slack
         scores = np.zeros((len(asked), self.blocks, BLOCK))
 
-        # the blocks of the highest bounds raise the bar; then all others whose bound still reaches it
+        # without a bar from another shard, the blocks of the highest bounds make one; then all others whose bound reaches it
+        top = np.argpartition(-bounds, FIRST_BLOCKS, axis=1)[:, :FIRST_BLOCKS] if self.blocks > FIRST_BLOCKS else np.tile(np.arange(self.blocks), (len(asked), 1))
         best = np.zeros(bounds.shape, bool)
-        np.put_along_axis(best, np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
+        np.put_along_axis(best, top, True, axis=1)
+        best[least > 0] = False
         for part in (best, ~best):
             live = part & (bounds > 0) & (bounds >= least[:, None] - 1e-9)
             for b in np.flatnonzero(live.any(axis=0)):
                 own = np.flatnonzero(live[:, b])
                 scores[own, b] = weights[own] @ self.often[b]
-            for j, (run, w) in enumerate(rare):
-                own = live[j][self.block[run]]
-                run, w = run[own], w[own]
-                n = self.stop[run] - self.start[run]
+            for j in np.flatnonzero(live.any(axis=1)):
+                run, w, block = rare[j]
+                own = np.flatnonzero(live[j][block])
+                run = run[own]
+                n = self.span[run]
                 post = _ranges(self.start[run], n)
-                np.add.at(scores[j].reshape(-1), self.doc[post], np.repeat(w, n) * self.impact[post])
-            if k <= self.blocks * BLOCK:
-                least = np.maximum(least, np.partition(scores.reshape(len(asked), -1), -k, axis=1)[:, -k] / self.slack)
+                scores[j] += np.bincount(self.doc[post], np.repeat(w[own], n) * self.impact[post], self.blocks * BLOCK).reshape(-1, BLOCK)
+            if part is best and k <= top.shape[1] * BLOCK:
+                seen = np.take_along_axis(scores, top[:, :, None], axis=1).reshape(len(asked), -1)
+                least = np.maximum(least, np.partition(seen, -k, axis=1)[:, -k] / self.slack)
 
-        full = np.zeros(len(self.terms))
         for j, (at, w) in enumerate(hits):
             near = scores[j].reshape(-1)
             docs = np.flatnonzero((near > 0) & (near * self.slack >= least[j] - 1e-9))
-            # term by term in the order of terms, so that a document's sum doesn't depend on its shard
-            full[at] = w
-            n = self.by_doc[docs + 1] - self.by_doc[docs]
-            post = _ranges(self.by_doc[docs], n)
-            total = np.bincount(np.repeat(np.arange(len(docs)), n), full[self.doc_term[post]] * self.impact[self.doc_post[post]], len(docs))
-            full[at] = 0
+            if len(docs) > k:
+                docs = docs[near[docs] * self.slack >= np.partition(near[docs], -k)[-k] / self.slack - 1e-9]
+            total = self._full(docs, at, w)
             bar = max(least[j], np.partition(total, -k)[-k]) if len(total) > k else least[j]
             keep = total >= bar - 1e-9
             yield self.order[docs[keep]], total[keep]
 
+    def _full(self, docs: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Scores added up word by word in the order of words, so that a document's sum doesn't depend on its shard."""
+        parts, n = [np.empty(0)], []
+        for lo, hi in zip(self.by_doc[docs].tolist(), self.by_doc[docs + 1].tolist(), strict=True):
+            own = self.doc_term[lo:hi]
+            place = np.searchsorted(own[:-1], at)
+            hit = np.flatnonzero(own[place] == at)
+            parts.append(w[hit] * self.impact[self.doc_post[lo + place[hit]]])
+            n.append(len(hit))
+        return np.bincount(np.repeat(np.arange(len(docs)), n), np.concatenate(parts), len(docs))
+
 
 def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     """lo .. lo + n - 1 of each, one after the other."""
@@ -242,10 +257,12 @@ def _answers(index: DataFrame, sent: Broadcast, k: int, mean: float, result: str
         _HASHES.clear()
         q = sent.value
         least, best = q.least.copy(), [[] for _ in q.ids]
+        every, places = np.unique(q.terms, return_inverse=True)
+        places = places.astype(np.int32)
         own = []
         for lo, hi in zip(q.edges[:-1], q.edges[1:], strict=True):
-            by = np.argsort(q.terms[lo:hi])
-            own.append((q.terms[lo:hi][by], q.weights[lo:hi][by]))
+            by = np.argsort(places[lo:hi])
+            own.append((places[lo:hi][by], q.weights[lo:hi][by]))
         kinds = None
         for b in batches:
             kinds = b.schema.field("keys").type.value_type
@@ -253,7 +270,7 @@ def _answers(index: DataFrame, sent: Broadcast, k: int, mean: float, result: str
                 (row,) = b.slice(at, 1).to_pylist()
                 keys, stored = row["keys"], {c: np.frombuffer(row[c], t) for c, t in STORED.items()}
                 shard = Index.of(mean, order=np.arange(len(keys)), **stored)
-                for j, (found, score) in enumerate(shard.search_all(own, k, least)):
+                for j, (found, score) in enumerate(shard.search_all(every, own, k, least)):
                     if not len(found):
                         continue
                     new = [(-s, keys[d] is None, keys[d]) for s, d in zip(np.round(score, 9).tolist(), found.tolist(), strict=True)]
