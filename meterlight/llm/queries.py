@@ -138,6 +138,13 @@ def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_documents
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return score_documents(docs, documents(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .manifest import folded, leaf, manifest, proof_digest
 
@@ -231,6 +238,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_search": op3_search,
     "op4_source_mix": op4_source_mix,
     "op5_lattice_lm": op5_lattice_lm,
+    "op11_quality_cnn": op11_quality_cnn,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_target_resampling": op13_target_resampling,
 }
