@@ -1,0 +1,150 @@
+"""Growing files on streams: the change index, the second vendor's parser state, sessions with timers, and what several consumers get."""
+
+import json
+import os
+
+import pyarrow.fs
+import pytest
+from pyspark.sql import functions as F
+
+from meterlight.sources import jsonl
+from meterlight.sources.growing import changed, last_line_end, line_start, listed, read_ranges, split_lines, with_ends
+from meterlight.streaming import live
+from meterlight.streaming.codex import Parser
+from meterlight.streaming.tail import Index
+
+SPENT = ("session_id", "project", "model", "is_sub", "tok_in", "tok_out", "tok_cr", "ts")
+
+
+def meta(session, cwd, parent=""):
+    return {"type": "session_meta", "payload": {"session_id": session, "cwd": cwd, "parent_thread_id": parent}}
+
+
+def totals(i, c, o, at="2024-01-02T03:04:05Z"):
+    return {"timestamp": at, "type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"input_tokens": i, "cached_input_tokens": c, "output_tokens": o, "total_tokens": i + o}}}}
+
+
+def model(name):
+    return {"type": "event_msg", "payload": {"type": "thread_settings_applied", "thread_settings": {"model": name}}}
+
+
+def line(x):
+    return ((x if isinstance(x, str) else json.dumps(x)) + "\n").encode()
+
+
+def append(path, *rows, tail=b""):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with path.open("ab") as f:
+        f.write(b"".join(map(line, rows)) + tail)
+
+
+def run_once(df, checkpoint, sink):
+    df.writeStream.option("checkpointLocation", str(checkpoint)).trigger(once=True).foreachBatch(sink).start().awaitTermination()
+
+
+def test_codex_on_a_stream_is_the_batch(spark, tmp_path):
+    """Across restarts, half lines, a file that is cut, and one that is replaced by a shorter one without a reading at first."""
+    root, whole = tmp_path / "in", tmp_path / "whole"
+    a, b, c = (root / "2024" / f"rollout-{x}.jsonl" for x in "abc")
+    out: list[tuple] = []
+
+    def run():
+        with live.state_store(spark):
+            run_once(live.live_events(spark, [jsonl.Source("codex", "y", str(root))]), tmp_path / "cp", lambda rows, _: out.extend(rows.select(*SPENT).collect()))
+
+    first = [meta("a", "/Users/me/src.x"), totals(1000, 400, 100), model("gpt-x")]
+    append(a, *first, tail=line(totals(3000, 1400, 300))[:20])
+    append(b, meta("b", "/w", parent="a"), {"type": "turn_context"}, totals(10, 0, 1), totals(10, 0, 1))
+    append(c, meta("c", "/c"), model("old"), totals(500, 0, 50), "x" * 400)
+    lives = {"a": [*first, totals(3000, 1400, 300), totals(3000, 1400, 300), totals(10, 0, 1), totals(60, 50, 11)], "b": [meta("b", "/w", parent="a"), totals(10, 0, 1), totals(40, 30, 2)]}
+    lives["c1"], lives["c2"] = [meta("c", "/c"), model("old"), totals(500, 0, 50)], ["{", "y" * 300, totals(70, 0, 7)]
+    run()
+    append(a, tail=line(totals(3000, 1400, 300))[20:])
+    append(b, totals(40, 30, 2))
+    c.write_bytes(b"")
+    append(c, "{", "y" * 300)  # its first line says nothing, yet what was known is dropped
+    run()
+    run()
+    append(a, totals(3000, 1400, 300), "{", totals(10, 0, 1), totals(60, 50, 11))
+    append(c, totals(70, 0, 7))
+    run()
+    for name, rows in lives.items():
+        append(whole / f"rollout-{name}.jsonl", *rows)
+    want = jsonl.events(spark, [jsonl.Source("codex", "y", str(whole))]).select(*SPENT).collect()
+    assert sorted(out, key=repr) == sorted(want, key=repr) and len(out) == 7
+    assert {(r.session_id, r.model) for r in out} >= {(None, "gpt-5.6-sol"), ("a", "gpt-x"), ("b", "codex-auto-review"), ("c", "old")}
+
+
+def test_parser_state():
+    p = Parser()
+    assert p.step(0, ("s", "/c", None), None, None) is None
+    assert p.step(9, None, None, (5, 2, 1, 6)) == (5, 2, 1)
+    assert p.step(20, None, "m", None) is None and p.step(30, None, None, (5, 2, 1, 6)) is None
+    assert p.step(40, None, None, (1, 1, 1, 2)) is None and p.step(50, None, None, (4, 1, 1, 5)) == (3, 0, 0)
+    assert (p.declared, p.id) == ("m", "s")
+    assert p.step(0, None, None, (7, 0, 0, 7)) == (7, 0, 0) and (p.declared, p.id) == (None, None)
+
+
+def test_index_opens_only_what_changed(tmp_path, monkeypatch):
+    monkeypatch.setattr("meterlight.streaming.tail.TICK", -1.0)
+    root = tmp_path / "in"
+    for k in range(5):
+        append(root / f"p{k}" / "s.jsonl", {"k": k}, tail=b"half")
+    (root / "p0" / "s.txt").write_text("no\n")
+    index = Index(pyarrow.fs.LocalFileSystem(), str(root), "*.jsonl")
+    assert set(index.refresh().values()) == {9} and (index.opened, index.listings) == (5, 6)
+    again = index.refresh()
+    assert (index.opened, index.listings) == (5, 6) and len(again) == 5
+    append(root / "p1" / "s.jsonl", "more")
+    assert index.refresh()[str(root / "p1" / "s.jsonl")] == 18 and (index.opened, index.listings) == (6, 6)
+    append(root / "p1" / "deep" / "er" / "t.jsonl", "x")
+    (root / "p2" / "s.jsonl").unlink()
+    found = index.refresh()
+    assert index.opened == 7 and str(root / "p2" / "s.jsonl") not in found and found[str(root / "p1" / "deep" / "er" / "t.jsonl")] == 2
+    (root / "p3" / "s.jsonl").write_bytes(b"ab\n")
+    assert index.refresh()[str(root / "p3" / "s.jsonl")] == 3
+    (root / "p3" / "s.jsonl").unlink()
+    (root / "p3").rmdir()
+    assert len(index.refresh()) == 4
+
+
+def test_pieces_of_a_range(spark, tmp_path, monkeypatch):
+    path = tmp_path / "a b%.jsonl"
+    rows = [f"line {k} " + "é" * (k % 37) for k in range(500)] + [""] * 3
+    path.write_bytes("".join(r + "\n" for r in rows).encode() + b"no newline")
+    files = listed(spark, str(tmp_path), "*.jsonl")
+    known = spark.createDataFrame([], "path string, size long, end long")
+    ranges = with_ends(changed(files, known)).withColumn("vendor", F.lit("v"))
+    size = path.stat().st_size
+    (r,) = ranges.collect()
+    assert (r.start, r.end, r.size) == (0, size - 10, size) and r.path.endswith("/a b%.jsonl")
+    for piece in (7, 100, 1 << 20):
+        monkeypatch.setattr("meterlight.sources.growing.PIECE", piece)
+        got = read_ranges(ranges, ["path", "vendor"]).orderBy("start").collect()
+        assert [x.value for x in got] == rows and got[1].start == len(rows[0].encode()) + 1 and {x.vendor for x in got} == {"v"}
+    # what is known of a file isn't read again, and one that got shorter is
+    old = ranges.select("path", (F.col("size") - 5).alias("size"), (F.col("end") - 3).alias("end"))
+    assert [x.value for x in read_ranges(with_ends(changed(files, old)), []).collect()] == ["", "", ""]
+    assert changed(files, ranges.select("path", "size", "end")).count() == 0
+    shorter = ranges.select("path", (F.col("size") + 1).alias("size"), (F.col("size") + 1).alias("end"))
+    assert [x.start for x in changed(files, shorter).collect()] == [0]
+
+
+def test_a_file_that_cannot_be_opened(spark, tmp_path):
+    append(tmp_path / "x.jsonl", "a")
+    rows = listed(spark, str(tmp_path), "*.jsonl").withColumn("start", F.lit(0).cast("long")).collect()
+    gone = spark.createDataFrame([(rows[0].uri + ".gone", 0, 2)], "uri string, start long, size long")
+    assert with_ends(gone).first().end is None
+    assert read_ranges(with_ends(gone), []).count() == 0
+
+
+def test_lines_are_bounded(tmp_path):
+    path = tmp_path / "x"
+    path.write_bytes(b"one\ntwo\n" + b"x" * (3 << 20) + b"\nfour\n")
+    with pyarrow.fs.LocalFileSystem().open_input_file(str(path)) as f:
+        size = path.stat().st_size
+        assert [(a, x) for a, x in split_lines(f, 0, size, 1 << 20)] == [(0, b"one"), (4, b"two")]
+        assert [len(x) for _, x in split_lines(f, 0, size)] == [3, 3, 3 << 20, 4]
+        assert [a for a, _ in split_lines(f, 4, 8)] == [4]
+        assert last_line_end(f, 0, size) == size and last_line_end(f, 8, size - 6, chunk=100) == 8
+        assert line_start(f, 1, size) == 4 and line_start(f, 4, size) == 4 and line_start(f, 9, size) == size - 5 and line_start(f, size - 2, size) == size
