@@ -150,7 +150,7 @@ def _part(text: bytes, rng: np.random.Generator, blocks: int) -> bytes:
     return text[at : at + n]
 
 
-def fit(texts: list[str], labels: list[int], share: float, epochs: int = 8, batch: int = 32, rate: float = 0.01, l2: float = 1e-4, blocks: int = 24, seed: int = 11) -> Net:
+def fit(texts: list[str], labels: list[int], share: float, steps: int = 500, batch: int = 32, rate: float = 0.01, l2: float = 1e-4, blocks: int = 24, seed: int = 11) -> Net:
     """The network of the sample, as if ``share`` of all rows were labelled 1. A step sees at most ``blocks`` blocks of a text, drawn anew each time. Without labels of both kinds, ``share`` is every text's score."""
     rng = np.random.default_rng(seed)
     net = Net.new(rng)
@@ -165,10 +165,9 @@ def fit(texts: list[str], labels: list[int], share: float, epochs: int = 8, batc
     names = [f.name for f in fields(net)]
     first = [np.zeros_like(getattr(net, n)) for n in names]
     second = [np.zeros_like(getattr(net, n)) for n in names]
-    steps = max(1, epochs * len(raw) // batch)
     done, order = 0, np.empty(0, int)
     for k in range(1, steps + 1):
-        if done + batch > len(order):
+        if done >= len(order):
             done, order = 0, rng.permutation(len(raw))
         own = order[done : done + batch]
         done += batch
