@@ -29,13 +29,18 @@ def dupes(events: DataFrame) -> DataFrame:
     return keyed.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("dupes"))
 
 
-def cells(events: DataFrame) -> DataFrame:
-    """Sums by day, project, source, vendor, model and side; tokens of rows with a cost of their own are apart from those to price."""
+def summed(rows: DataFrame, keys: list[str], money: str = "double") -> DataFrame:
+    """Token sums, vendors' own costs and rows by ``keys``; tokens of rows with a cost of their own are apart from those to price."""
     costed = F.col("costed")
     sums = [F.sum(t).alias(t) for t in TOKENS]
     sums += [F.sum(F.when(costed, 0).otherwise(F.col(t))).alias(f"p_{t}") for t in TOKENS]
-    sums.append(F.coalesce(F.sum(F.when(costed, F.col("cost_usd"))), F.lit(0)).cast("double").alias("costed_usd"))
-    return dedupe(events).withColumn("day", F.to_date("ts")).groupBy(*CELL).agg(*sums, F.count("*").alias("events"))
+    sums.append(F.coalesce(F.sum(F.when(costed, F.col("cost_usd"))), F.lit(0)).cast(money).alias("costed_usd"))
+    return rows.groupBy(*keys).agg(*sums, F.count("*").alias("events"))
+
+
+def cells(events: DataFrame) -> DataFrame:
+    """Sums by day, project, source, vendor, model and side."""
+    return summed(dedupe(events).withColumn("day", F.to_date("ts")), list(CELL))
 
 
 def priced_sums(cells: DataFrame, keys: list[str], table: PriceTable | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from meterlight.functions.text import decoded_path
 from meterlight.operators.sessions import prose
-from meterlight.sources.jsonl import USAGE, Source, lines
+from meterlight.sources.jsonl import LONGEST, USAGE, Source, lines
 
 LINE = (
     "type string, timestamp string, cwd string, entrypoint string, permissionMode string, requestId string, isMeta boolean, isSidechain boolean, isCompactSummary boolean, "
@@ -21,10 +21,19 @@ SUBAGENTS = "/subagents/"
 
 
 def session_lines(spark: SparkSession, source: Source) -> DataFrame:
-    """Lines of main transcripts ``root/project/session.jsonl`` and of the subagents beside them, with ``session_id``, ``project``, ``is_sub``, and ``ord``: the main file first."""
-    below = F.substring_index("path", source.root.split("://")[-1].rstrip("/") + "/", -1)
-    main = F.regexp_replace(F.regexp_replace(below, r"/subagents/[^/]*\.jsonl\z", ""), r"\.jsonl\z", "")
-    rows = lines(spark, source).withColumn("is_sub", F.col("path").contains(SUBAGENTS)).withColumn("_at", F.split(main, "/")).where("size(_at) = 2")
+    """``lines_of_sessions`` of all files of the source."""
+    return lines_of_sessions(lines(spark, source, longest=LONGEST), source.root)
+
+
+def session_of(path: Column, root: str) -> Column:
+    """Project and session of a main transcript ``root/project/session.jsonl`` or of a subagent's beside it, as a list of two; other paths have another number of parts."""
+    below = F.substring_index(path, root.split("://")[-1].rstrip("/") + "/", -1)
+    return F.split(F.regexp_replace(F.regexp_replace(below, r"/subagents/[^/]*\.jsonl\z", ""), r"\.jsonl\z", ""), "/")
+
+
+def lines_of_sessions(rows: DataFrame, root: str) -> DataFrame:
+    """Lines of main transcripts and of the subagents beside them, with ``session_id``, ``project``, ``is_sub``, and ``ord``: the main file first."""
+    rows = rows.withColumn("is_sub", F.col("path").contains(SUBAGENTS)).withColumn("_at", session_of(F.col("path"), root)).where("size(_at) = 2")
     m = F.from_json("value", LINE)
     rows = rows.select(
         "path", F.struct("is_sub", "ord").alias("ord"), "is_sub", F.col("_at")[0].alias("project"), F.col("_at")[1].alias("session_id"), "vendor", "source", m.alias("m")
