@@ -16,11 +16,11 @@ class Store:
     """Tables are written to a folder of their generation and named by its manifest, which is put in place by a rename.
 
     What a run that broke off has written is named by no manifest. A manifest of another ``version`` counts as none, so
-    that the next run starts anew.
+    that the next run starts anew. ``keep`` manifests before the newest stay with what they name, for those who still read it.
     """
 
-    def __init__(self, spark: SparkSession, at: str, version: int):
-        self.spark, self.at, self.version = spark, at.rstrip("/"), version
+    def __init__(self, spark: SparkSession, at: str, version: int, keep: int = 1):
+        self.spark, self.at, self.version, self.keep = spark, at.rstrip("/"), version, keep
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.at).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, name: str = ""):
@@ -58,9 +58,9 @@ class Store:
         return part
 
     def commit(self, generation: str, manifest: dict) -> None:
-        """Puts the manifest in place; an error if another run was first. Folders that neither it nor the one before names go."""
+        """Puts the manifest in place; an error if another run was first. Folders that neither it nor those before it name go."""
         number = generation.split("-")[1]
-        before = [n for n in self._names() if MANIFEST.fullmatch(n)][-1:]
+        before = [n for n in self._names() if MANIFEST.fullmatch(n)][-self.keep :]
         new, final = self._path(f".{generation}.json"), f"manifest-{number}.json"
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(manifest | {"version": self.version}).encode()))

@@ -1,16 +1,21 @@
 """Growing files on streams: the change index, the second vendor's parser state, sessions with timers, and what several consumers get."""
 
+import datetime as dt
 import json
-import os
+import time
+from decimal import Decimal
 
 import pyarrow.fs
-import pytest
 from pyspark.sql import functions as F
 
+from meterlight.operators import reports as R
+from meterlight.operators import usage as U
 from meterlight.sources import jsonl
 from meterlight.sources.growing import changed, last_line_end, line_start, listed, read_ranges, split_lines, with_ends
 from meterlight.streaming import live
 from meterlight.streaming.codex import Parser
+from meterlight.streaming.serve import Served, serve
+from meterlight.streaming.sessions import VIEW, Limits, Session, session_views
 from meterlight.streaming.tail import Index
 
 SPENT = ("session_id", "project", "model", "is_sub", "tok_in", "tok_out", "tok_cr", "ts")
@@ -148,3 +153,136 @@ def test_lines_are_bounded(tmp_path):
         assert [a for a, _ in split_lines(f, 4, 8)] == [4]
         assert last_line_end(f, 0, size) == size and last_line_end(f, 8, size - 6, chunk=100) == 8
         assert line_start(f, 1, size) == 4 and line_start(f, 4, size) == 4 and line_start(f, 9, size) == size - 5 and line_start(f, size - 2, size) == size
+
+
+LIMITS = Limits(recent=300, active=1800, forget=6 * 3600, turns=2, context_pct=0.8, cache_usd=1.0)
+
+
+def shown(s, now):
+    return dict(zip([c.split()[0] for c in VIEW.split(", ")], s.view("k", now, LIMITS), strict=True))
+
+
+def test_session_by_the_clock():
+    s = Session()
+    s.add(1000.0, "1", "", "sub-model", True, 1.0, 0.0, 999_999, LIMITS)
+    s.add(1100.0, "2", "p", "m1", False, 2.0, 0.5, 100_000, LIMITS)
+    s.add(1050.0, "3", "p", "m0", False, 4.0, 0.2, 150_000, LIMITS)
+    v = shown(s, 1100.0)
+    assert (v["model"], v["context"], v["turns"], v["subs"], v["usd"], v["usd_5m"], v["age"], v["warnings"], v["notify"]) == ("m1", 100_000, 2, 1, 7.0, 7.0, 100, [], [])
+    assert s.due(1100.0, LIMITS) == 1300.0 and shown(s, 1301.0)["usd_5m"] == 6.0
+    s.add(1200.0, "4", "p", "m1", False, 0.0, 0.6, 170_000, LIMITS)
+    v = shown(s, 1200.0)
+    assert v["warnings"] == ["turns", "context", "cache"] and v["notify"] == ["context", "cache"]
+    assert shown(s, 1201.0)["notify"] == []  # told once
+    assert shown(s, 1200.0 + 301)["warnings"] == ["turns", "context"]
+    assert s.due(1600.0, LIMITS) == 3000.0 and shown(s, 3000.0)["active"]
+    v = shown(s, 3001.0)
+    assert not v["active"] and v["warnings"] == v["notify"] == []
+    s.add(3100.0, "5", "p", "m1", False, 0.0, 0.0, 170_000, LIMITS)
+    assert shown(s, 3100.0)["notify"] == ["context"]  # it came back: news again
+    assert not s.over(3100.0 + 6 * 3600, LIMITS) and s.over(3101.0 + 6 * 3600, LIMITS)
+    s.add(3200.0, "6", "p", "m2", False, 0.0, 0.0, 210_000, LIMITS)
+    v = shown(s, 3200.0)
+    assert (v["window"], v["pct"], v["warnings"]) == (1_000_000, 0.21, ["turns"])
+
+
+EVENTS = "ord long, ts timestamp, session_id string, project string, source string, vendor string, model string, message_id string, request_id string, is_sub boolean, tok_in long, tok_out long, tok_cw long, tok_cr long, costed boolean, cost_usd decimal(18,9), coverage_only boolean"
+
+
+def event(n, ts, session="s1", message="", tok=1000, sub=False, only=False, costed=None):
+    message = message or f"m{n}"
+    return (n, ts, session, "p", "a/x", "a", "claude-opus-4-7", message, "r", sub, tok, 10, 100, 0, costed is not None, None if costed is None else Decimal(costed), only)
+
+
+def test_timers_on_a_stream(spark, tmp_path):
+    """A session is shown, stops being active and is forgotten without any further row; when it comes back its warning is news again."""
+    folder, out = tmp_path / "e", []
+    limits = Limits(recent=1, active=3, forget=600, context_pct=0.5)
+
+    def put(n):
+        now = dt.datetime.now(dt.UTC)
+        spark.createDataFrame([event(n, now, tok=150_000)], EVENTS).coalesce(1).write.mode("append").parquet(str(folder))
+
+    put(1)
+    rows = spark.readStream.schema(EVENTS).parquet(str(folder))
+    with live.state_store(spark):
+        views = session_views(live.deduped(rows), limits)
+        query = views.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="300 milliseconds").foreachBatch(lambda b, _: out.extend(b.collect())).start()
+    try:
+
+        def wait(until, seconds=60):
+            end = time.time() + seconds
+            while time.time() < end and not (out and until(out[-1])):
+                assert query.isActive, query.exception()
+                time.sleep(0.2)
+            return out and until(out[-1])
+
+        assert wait(lambda r: not r.active)
+        n = len(out)
+        put(2)
+        assert wait(lambda r: r.turns == 2 and not r.active)
+    finally:
+        query.stop()
+    told = [r.notify for r in out if r.notify]
+    assert [r.active for r in out[n:]][-1:] == [False] and all(t == ["context"] for t in told)
+    # a batch that starts late may find the session idle at once; where it was seen active, it was told
+    assert len(told) == sum(any(r.active for r in part) for part in (out[:n], out[n:]))
+
+
+def test_one_stream_for_cells_and_sessions(spark, tmp_path):
+    folder, at = tmp_path / "e", str(tmp_path / "served")
+    base = dt.datetime(2024, 1, 2, 12)
+    first = [event(1, base), event(2, base, message="m1"), event(3, base, only=True, message="cov"), event(4, base + dt.timedelta(seconds=60), sub=True), event(5, base, session="s2", costed="1.5")]
+    later = [event(6, base + dt.timedelta(minutes=7), tok=5000), event(7, base, message="m1"), event(8, base - dt.timedelta(days=1)), event(9, base + dt.timedelta(minutes=7), session="s3")]
+    for k, rows in enumerate([first[:2], first[2:]]):
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    served = Served(spark, at)
+    seen = []
+    plain = served.add
+    served.add = lambda batch, epoch: (plain(batch, epoch), seen.append((served.cells(), served.sessions(base))))
+    assert served.cells() is None
+    serve(stream, served, str(tmp_path / "c"), live=False)
+    assert len(seen) == 2 and all(c is None and s is None for c, s in seen)  # no total of half the history was shown
+    now = base + dt.timedelta(minutes=8)
+
+    def equal(rows):
+        events = spark.createDataFrame(rows, EVENTS)
+        once = U.dedupe(events).where("not coverage_only")
+        want = U.cells(once)
+        got = served.cells()
+        assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
+        live_now = R.active_sessions(once.withColumn("ts", F.col("ts").cast("timestamp_ntz")), now).collect()
+        mine = {r.session_id: r for r in served.sessions(now).collect()}
+        assert {r.session_id: (r.turns, r.usd, r.usd_5m, r.context) for r in live_now} == {k: (r.turns, r.usd, r.usd_5m, r.context) for k, r in mine.items()}
+        return mine
+
+    assert set(equal(first)) == {"s1", "s2"}
+    spark.createDataFrame(later, EVENTS).coalesce(1).write.mode("append").parquet(str(folder))
+    query = serve(stream, served, str(tmp_path / "c"))
+    end = time.time() + 60
+    while len(seen) < 3 and time.time() < end:
+        time.sleep(0.2)
+    query.processAllAvailable()
+    query.stop()
+    assert seen[-1][0] is not None
+    mine = equal(first + later)
+    assert mine["s1"].subs == 1 and mine["s1"].age == 24 * 3600 + 7 * 60
+    before = served.store.manifest()
+    plain(spark.createDataFrame(later, EVENTS), before["epoch"])  # repeated after a failure
+    assert served.store.manifest() == before
+
+
+def test_parts_are_summed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("meterlight.streaming.serve.PARTS", 2)
+    served = Served(spark, str(tmp_path / "s"))
+    base = dt.datetime(2024, 1, 2, 12)
+    rows = [event(k, base + dt.timedelta(minutes=k)) for k in range(5)]
+    for k, r in enumerate(rows):
+        served.add(spark.createDataFrame([r], EVENTS), k)
+    served.publish()
+    assert {len(v) for v in served.published["tables"].values()} == {1}
+    want = U.cells(spark.createDataFrame(rows, EVENTS))
+    assert served.cells().select(want.columns).collect() == want.collect()
+    (one,) = served.sessions(base + dt.timedelta(minutes=5)).collect()
+    assert (one.turns, one.usd_5m) == (5, one.usd)
