@@ -53,6 +53,11 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, 0.0).otherwise(100.0 * part / whole)
 
 
+def fixed(v: Column, digits: int) -> Column:
+    """So many digits, by the exact value of the double, a half to the even one."""
+    return F.replace(F.format_number(v, digits), F.lit(","), F.lit(""))
+
+
 def ratio_text(v: Column) -> Column:
     """Four digits, and nothing if there is no ratio."""
     return F.when(v > 0, F.format_string("%.4f", v)).otherwise("")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterlight.functions.text import cells_of_ten, ratio_text, truncated
+from meterlight.functions.text import cells_of_ten, fixed, ratio_text, truncated
 from meterlight.operators.reports import bucket, safety
 from meterlight.operators.sessions import findings, reports
 from meterlight.plans.pricing import PriceTable
@@ -16,6 +16,10 @@ def two_digits(v: Column) -> Column:
     return F.format_string("%.2f", v)
 
 
+def four_digits(v: Column) -> Column:
+    return fixed(v, 4)
+
+
 def report_rows(costs: DataFrame, commits: DataFrame, kind: str = "week") -> DataFrame:
     """Spend against commits by repository and bucket, ready for CSV. Ratios go by one's own commits and lines; a ratio without a divisor is empty."""
     label = bucket(F.col("day"), kind).alias("bucket")
@@ -41,11 +45,14 @@ def safety_rows(prompts: DataFrame) -> DataFrame:
     )
 
 
-def finding_rows(events: DataFrame, calls: DataFrame, prompts: DataFrame, table: PriceTable | None = None) -> DataFrame:
-    """A row for each finding, and one without a finding for each session that has none, ready for CSV."""
-    found = findings(events, calls, prompts, table).select("session_id", "category", "count", two_digits(F.col("usd")).alias("finding_usd"))
-    rows = reports(events, calls, prompts, table).join(found, "session_id", "left")
-    return rows.select("session_id", "project", two_digits(F.col("usd")).alias("usd"), two_digits(F.col("waste_usd")).alias("waste_usd"), F.coalesce("category", F.lit("")).alias("category"), "count", F.coalesce("finding_usd", F.lit("")).alias("finding_usd"))
+def finding_rows(events: DataFrame, calls: DataFrame, prompts: DataFrame, table: PriceTable | None = None, delivery: DataFrame | None = None) -> DataFrame:
+    """A row for each finding, and one without a finding for each session that has none, ready for CSV: money with four digits."""
+    found = findings(events, calls, prompts, table, delivery=delivery)
+    kind = F.split("category", "_")[0]
+    found = found.select("session_id", kind.alias("category"), "detail", F.col("count").cast("string").alias("count"), four_digits(F.col("usd")).alias("finding_usd"))
+    rows = reports(events, calls, prompts, table, delivery=delivery).join(found, "session_id", "left")
+    texts = (F.coalesce(c, F.lit("")).alias(c) for c in ("category", "detail", "count", "finding_usd"))
+    return rows.select(F.col("session_id").cast("string").alias("session"), "project", four_digits(F.col("usd")).alias("usd"), four_digits(F.col("waste_usd")).alias("waste_usd"), *texts)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

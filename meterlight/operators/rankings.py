@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meterlight.functions.text import fmt_tokens_short
+from meterlight.functions.text import fixed
 from meterlight.operators.sessions import duplicate_reads, finding
 from meterlight.operators.usage import usd
 
@@ -116,7 +117,15 @@ def delivered(sessions: DataFrame, commits: DataFrame, repos: DataFrame) -> Data
 
 def delivery_findings(rows: DataFrame, least_usd: float = 20.0) -> DataFrame:
     """Costly sessions of ``delivered`` that have no link to a request (``has_pr``) and surely no commit: one finding that costs nothing."""
-    return finding(rows.where((F.col("usd") >= least_usd) & ~F.col("has_pr") & (F.col("commits") == 0)), "delivery", F.lit(1))
+    detail = F.concat(F.lit("$"), fixed(F.col("usd"), 2), F.lit(" session with no commit and no PR — did the work land?"))
+    return finding(rows.where((F.col("usd") >= least_usd) & ~F.col("has_pr") & (F.col("commits") == 0)), "delivery", F.lit(1), detail=detail)
+
+
+def project_prompts(prompts: DataFrame, reports: DataFrame, most: int = 80) -> DataFrame:
+    """What was typed in a project's sessions, at most ``most`` texts each: the worst session's first, in their order."""
+    order = [F.desc("score"), F.desc("usd"), F.col("session_id"), F.col("ord")]
+    rows = prompts.where("text is not null").select("session_id", "ord", "text").join(reports.select("session_id", "project", "score", "usd"), "session_id")
+    return placed(rows, order, ("project",), most).select("project", "place", "session_id", "ord", "text")
 
 
 def with_delivery(reports: DataFrame, findings: DataFrame) -> DataFrame:

@@ -127,6 +127,30 @@ def by(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(usd(F.sum("usd")).alias("usd"), F.count("*").alias("count"))
 
 
+def main_cells(events: DataFrame, table: PriceTable | None = None) -> DataFrame:
+    """Main sessions' cost by project, session and tier, of deduplicated events. Sessions that cost nothing are left out, whole."""
+    rows = priced(events.where("not is_sub"), table)
+    sums = rows.groupBy("project", "session_id", tier(F.col("model")).alias("tier")).agg(F.sum(cost()).alias("usd"), F.count("*").alias("responses"))
+    return sums.withColumn("_all", F.sum("usd").over(W.partitionBy("project", "session_id"))).where("_all <> 0").drop("_all")
+
+
+def main_by_project(cells: DataFrame) -> DataFrame:
+    """Of ``main_cells``: cost and sessions."""
+    return cells.groupBy("project").agg(usd(F.sum("usd")).alias("usd"), F.count_distinct("session_id").alias("sessions"))
+
+
+def main_by_project_tier(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("project", "tier").agg(usd(F.sum("usd")).alias("usd"))
+
+
+def session_tiers(cells: DataFrame, most: int = 20) -> DataFrame:
+    """The costliest sessions of ``main_cells``, with what each tier costs in them."""
+    per = cells.groupBy("project", "session_id").agg(usd(F.sum("usd")).alias("usd"), F.sum("responses").alias("responses"))
+    order = [F.desc("usd"), "session_id", "project"]
+    top = per.orderBy(*order).limit(most).withColumn("place", F.row_number().over(W.orderBy(*order)))
+    return top.join(cells.select("project", "session_id", "tier", usd(F.col("usd")).alias("tier_usd")), ["project", "session_id"])
+
+
 def main_costs(events: DataFrame, table: PriceTable | None = None) -> DataFrame:
     """Main sessions' cost by component, their responses and span."""
     rows = priced(events.where("not is_sub"), table)
@@ -178,7 +202,10 @@ def latest_plans(readings: DataFrame, as_of: dt.datetime) -> DataFrame:
     return rows.select("vendor", "window_minutes", window_label(F.col("window_minutes")).alias("label"), "pct", "observed", "resets_at", (F.col("resets_at") < F.lit(as_of).cast("timestamp_ntz")).alias("stale"))
 
 
-def gauges(plans: DataFrame, vendors: tuple[str, ...] = ("claude", "codex", "grok")) -> DataFrame:
+VENDORS = ("claude", "codex", "grok")
+
+
+def gauges(plans: DataFrame, vendors: tuple[str, ...] = VENDORS) -> DataFrame:
     """Gauges in display order: short windows first, then vendors in their order, then shorter windows; with cells of ten and a tint."""
     place = F.array_position(F.array(*map(F.lit, vendors)), F.col("vendor")).cast("int")
     band = F.when(F.col("label").endswith("h"), 0).otherwise(1)
@@ -188,8 +215,9 @@ def gauges(plans: DataFrame, vendors: tuple[str, ...] = ("claude", "codex", "gro
     return rows.withColumn("place", F.row_number().over(W.orderBy("band", "_p", "window_minutes"))).drop("_p", "window_minutes")
 
 
-def worst(plans: DataFrame) -> DataFrame:
-    return plans.where("not stale").agg(F.coalesce(F.max("pct"), F.lit(0.0)).alias("worst_pct"))
+def worst(plans: DataFrame, vendors: tuple[str, ...] = VENDORS) -> DataFrame:
+    """The fullest window that isn't stale, of the vendors that ``gauges`` shows."""
+    return plans.where(~F.col("stale") & F.col("vendor").isin(*vendors)).agg(F.coalesce(F.max("pct"), F.lit(0.0)).alias("worst_pct"))
 
 
 def active_sessions(events: DataFrame, as_of: dt.datetime, idle_minutes: int = 30, table: PriceTable | None = None) -> DataFrame:

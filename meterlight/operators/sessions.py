@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meterlight.functions.text import fixed, joined_cycle, truncated
 from meterlight.operators.usage import dedupe, usd
 from meterlight.plans.pricing import PriceTable, context_window, cost, priced
 
@@ -115,9 +116,9 @@ def timeline(calls: DataFrame, changes: DataFrame, turns: DataFrame) -> DataFram
 # Findings: session_id, category, count, usd.
 
 
-def finding(rows: DataFrame, category: str, count: Column, dollars: Column | None = None) -> DataFrame:
+def finding(rows: DataFrame, category: str, count: Column, dollars: Column | None = None, detail: Column | None = None) -> DataFrame:
     value = F.lit(0.0) if dollars is None else usd(dollars)
-    return rows.select("session_id", F.lit(category).alias("category"), count.cast("long").alias("count"), value.cast("double").alias("usd"))
+    return rows.select("session_id", F.lit(category).alias("category"), count.cast("long").alias("count"), value.cast("double").alias("usd"), *([] if detail is None else [detail.alias("detail")]))
 
 
 def waste_failed(calls: DataFrame, turns: DataFrame) -> DataFrame:
@@ -139,13 +140,17 @@ def waste_big_context(turns: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
 
 
 def abuse(calls: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
-    """The most repeated calls of each session, and a row for the rest: session_id, place, name, target, count."""
-    rows = calls.where("target <> ''").groupBy("session_id", "name", "target").agg(F.count("*").alias("count")).where(F.col("count") >= th.repeat_tool)
+    """The most repeated calls of each session, and a row for the rest: session_id, place, name, target, count (of the rest: how many), and how many calls that is."""
+    return _abused(calls.groupBy("session_id", "name", "target").agg(F.count("*").alias("n")), th)
+
+
+def _abused(by_call: DataFrame, th: Thresholds) -> DataFrame:
+    rows = by_call.where((F.col("target") != "") & (F.col("n") >= th.repeat_tool)).select("session_id", "name", "target", F.col("n").alias("count"))
     w = W.partitionBy("session_id").orderBy(F.desc("count"), F.concat("name", "target"), "name")
-    rows = rows.withColumn("place", F.row_number().over(w))
+    rows = rows.withColumn("place", F.row_number().over(w)).withColumn("calls", F.col("count"))
     shown = rows.where(F.col("place") <= th.abuse_rows)
-    rest = rows.where(F.col("place") > th.abuse_rows).groupBy("session_id").agg(F.count("*").alias("count"))
-    rest = rest.select("session_id", F.lit("").alias("name"), F.lit("").alias("target"), "count", F.lit(th.abuse_rows + 1).alias("place"))
+    rest = rows.where(F.col("place") > th.abuse_rows).groupBy("session_id").agg(F.count("*").alias("count"), F.sum("calls").alias("calls"))
+    rest = rest.select("session_id", F.lit("").alias("name"), F.lit("").alias("target"), "count", F.lit(th.abuse_rows + 1).alias("place"), "calls")
     return shown.unionByName(rest)
 
 
@@ -163,14 +168,15 @@ def loops(calls: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
     stream = ["session_id", "is_sub"]
     order = W.partitionBy(*stream).orderBy("ts", "ord")
     seq = calls.select(*stream, "ts", "ord", F.concat_ws(":", "name", "target").alias("tok")).withColumn("i", F.row_number().over(order) - 1)
+    cycle = F.array("tok", *(F.lead("tok", k).over(order) for k in range(1, LOOP_WINDOW)))
     ahead = F.array(*(F.struct(F.lit(w).alias("w"), F.coalesce(F.col("tok") == F.lead("tok", w).over(order), F.lit(False)).alias("same")) for w in range(1, LOOP_WINDOW + 1)))
-    rows = seq.withColumn("a", ahead).select(*stream, "i", F.explode("a").alias("a")).select(*stream, "i", "a.w", "a.same")
+    rows = seq.withColumn("a", ahead).withColumn("cycle", cycle).select(*stream, "i", "cycle", F.explode("a").alias("a")).select(*stream, "i", "cycle", "a.w", "a.same")
     # the next position at which the run of equal calls ends
     later = W.partitionBy(*stream, "w").orderBy("i").rowsBetween(W.currentRow, W.unboundedFollowing)
     rows = rows.withColumn("stop", F.min(F.when(~F.col("same"), F.col("i"))).over(later))
     rows = rows.withColumn("reps", F.expr("cast(1 + (stop - i) div w as int)")).where(F.col("reps") >= th.loop_min)
-    best = F.max_by(F.struct("reps", "w", "i"), F.struct((F.col("reps") * F.col("w")).alias("cover"), -F.col("w"), -F.col("i")))
-    return rows.groupBy(*stream).agg(best.alias("b")).select(*stream, F.col("b.reps").alias("reps"), F.col("b.w").alias("w"), F.col("b.i").cast("int").alias("start"))
+    best = F.max_by(F.struct("reps", "w", "i", F.slice("cycle", 1, F.col("w")).alias("cycle")), F.struct((F.col("reps") * F.col("w")).alias("cover"), -F.col("w"), -F.col("i")))
+    return rows.groupBy(*stream).agg(best.alias("b")).select(*stream, F.col("b.reps").alias("reps"), F.col("b.w").alias("w"), F.col("b.i").cast("int").alias("start"), F.col("b.cycle").alias("cycle"))
 
 
 def dominant_model(turns: DataFrame) -> DataFrame:
@@ -206,34 +212,128 @@ def context_overload(events: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
     return finding(context_use(events).where(F.col("context_pct") >= th.context_pct), "context", F.lit(1))
 
 
-def findings(events: DataFrame, calls: DataFrame, prompts: DataFrame, table: PriceTable | None = None, th: Thresholds = DEFAULT) -> DataFrame:
-    t = turns(events, table)
-    parts = [
-        waste_failed(calls, t), waste_reads(calls, th), waste_big_context(t, th), finding(abuse(calls, th), "abuse", F.col("count")), skill_overload(calls, th),
-        finding(loops(calls, th), "loop", F.col("reps")), sprawl(events, prompts, th), routing(events, calls, th), context_overload(events, th),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def first_seen(events: DataFrame) -> DataFrame:
+    """All events, with ``_first``: whether ``dedupe`` keeps it. Rows without a key are parted by their place, so that they aren't one group."""
+    keyed = F.col("message_id").isNotNull() & F.col("request_id").isNotNull()
+    own = W.partitionBy("message_id", "request_id", F.when(~keyed, F.col("ord"))).orderBy("ord")
+    return events.withColumn("_first", ~keyed | (F.row_number().over(own) == 1))
+
+
+def per_session(events: DataFrame, table: PriceTable | None = None, th: Thresholds = DEFAULT) -> DataFrame:
+    """Of each session, in one pass over the events: what its turns sum to, their largest context, model and price, and its bounds."""
+    rows = priced(first_seen(events), table)
+    first = F.col("_first")
+    big = first & (F.col("tok_in") + F.col("tok_cw") >= th.big_context) & (F.col("tok_out") <= th.tiny_output)
+    new = cost(cached=False)
+    total = lambda c, yes: F.coalesce(F.sum(F.when(yes, c)), F.lit(0))
+    by_model = rows.groupBy("session_id", "model").agg(
+        F.count_if(first).alias("turns"), F.count_if(first & F.col("priced_as").isNull()).alias("unpriced"), total(F.col("tok_in"), first).alias("tok_in"), total(F.col("tok_out"), first).alias("tok_out"),
+        F.max(F.when(first, F.col("tok_in") + F.col("tok_cw") + F.col("tok_cr"))).alias("peak"), total(cost(), first).alias("usd"), total(new, first).alias("new_usd"),
+        F.count_if(big).alias("big"), total(new, big).alias("big_usd"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.min(F.when(~F.col("is_sub"), F.struct("ord", "project"))).alias("_main"),
+    )
+    sums = ("turns", "unpriced", "tok_in", "tok_out", "usd", "new_usd", "big", "big_usd")
+    most = F.when(F.col("turns") > 0, F.struct(-F.col("turns"), F.col("model")))
+    out = by_model.groupBy("session_id").agg(
+        *(F.sum(c).alias(c) for c in sums), F.max("peak").alias("peak"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("_main").alias("_main"), F.min_by("model", most).alias("model")
+    )
+    return out.withColumn("project", F.col("_main.project")).drop("_main")
+
+
+def session_cost(events: DataFrame, table: PriceTable | None = None) -> DataFrame:
+    """What a session's priced turns cost, and how many turns have a model without a price: their cost isn't known, which isn't zero."""
+    return per_session(events, table).where("turns > 0").select("session_id", usd(F.col("usd")).alias("usd"), "turns", "unpriced")
+
+
+# How findings are worded.
+def _worded(hours: Column) -> dict[str, Column]:
+    return {
+        "waste_failed": F.format_string("%d failed tool call(s) — each burns a round-trip", "failed"),
+        "waste_reads": F.format_string("%d redundant Read(s) across %d file(s)", "extra", "files"),
+        "waste_context": F.format_string("%d turn(s) injected big new context but produced tiny output", "big"),
+        "skill": F.format_string("%d distinct skills invoked in one session", "skills"),
+        "sprawl": F.format_string("long session: %d prompts over %sh — consider splitting or delegating to subagents", "prompts", fixed(hours, 1)),
+        "routing": F.lit("light session ran on Opus — Sonnet/Haiku or Fast mode may suffice"),
+        "context": F.format_string("peak context %s%% of %s window", fixed(F.col("context_pct"), 0), "model"),
+    }
+
+
+def quoted(s: Column) -> Column:
+    """In double quotes, with these, backslashes, tabs and line ends escaped."""
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        s = F.replace(s, F.lit(plain), F.lit(escaped))
+    return F.concat(F.lit('"'), s, F.lit('"'))
+
+
+FOUND = "array<struct<category:string,count:bigint,usd:double,detail:string>>"
+
+
+def _sessions_with_findings(events: DataFrame, by_call: DataFrame, prompts: DataFrame, table: PriceTable | None, th: Thresholds) -> DataFrame:
+    """``per_session`` of all sessions that have events or calls, with the findings of each as a list, ``_found``, in their order."""
+    dup = (F.col("name") == "Read") & (F.col("target") != "") & (F.col("n") >= th.read_dup)
+    called = by_call.groupBy("session_id").agg(
+        F.sum("n").alias("calls"), F.sum("failed").alias("failed"), F.coalesce(F.sum(F.when(dup, F.col("n") - 1)), F.lit(0)).alias("extra"), F.count_if(dup).alias("files"),
+        F.count_if((F.col("name") == "Skill") & (F.col("target") != "")).alias("skills"),
+    )
+    said = prompts.groupBy("session_id").agg(F.count("*").alias("prompts"))
+    rows = per_session(events, table, th).join(called, "session_id", "full_outer").join(said, "session_id", "left").na.fill(0, ["calls", "failed", "extra", "files", "skills", "prompts", "turns", "big"])
+    hours = (F.unix_timestamp(F.col("end").cast("timestamp")) - F.unix_timestamp(F.col("start").cast("timestamp"))) / 3600.0
+    window = context_window(F.col("model"), F.col("peak"))
+    rows = rows.withColumn("context_pct", F.round(F.least(F.lit(100.0), 100.0 * F.col("peak") / window), 8))
+    mean = F.when(F.col("turns") > 0, F.col("new_usd") / F.col("turns")).otherwise(0.0)
+    text = _worded(hours)
+
+    def one(category: str, yes: Column, count: Column, dollars: Column | None = None) -> Column:
+        value = F.lit(0.0) if dollars is None else usd(dollars).cast("double")
+        return F.when(yes, F.struct(F.lit(category).alias("category"), count.cast("long").alias("count"), value.alias("usd"), text[category].alias("detail")))
+
+    light = (F.col("tok_in") + F.col("tok_out") < th.routing_tokens) & (F.col("calls") <= th.routing_tools)
+    found = F.array(
+        one("waste_failed", F.col("failed") > 0, F.col("failed"), mean * F.col("failed")), one("waste_reads", F.col("extra") > 0, F.col("extra")), one("waste_context", F.col("big") > 0, F.col("big"), F.col("big_usd")),
+        one("skill", F.col("skills") > th.skills, F.col("skills")), one("sprawl", F.col("start").isNotNull() & ((F.col("prompts") >= th.sprawl_prompts) | (hours >= th.sprawl_hours)), F.col("prompts")),
+        one("routing", F.col("model").contains("opus") & light, F.lit(1)), one("context", F.col("context_pct") >= th.context_pct, F.lit(1)),
+    )
+    return rows.withColumn("_found", F.filter(found, lambda f: f.isNotNull()).cast(FOUND))
+
+
+def _by_call(calls: DataFrame) -> DataFrame:
+    return calls.groupBy("session_id", "name", "target").agg(F.count("*").alias("n"), F.count_if("is_err").alias("failed"))
+
+
+def _others(by_call: DataFrame, calls: DataFrame, th: Thresholds, delivery: DataFrame | None) -> DataFrame:
+    """Findings of which a session can have several, and those that come from elsewhere."""
+    abused, looped = _abused(by_call, th), loops(calls, th)
+    more = F.format_string("…and %d more repeated-call pattern(s) (%d calls)", "count", "calls")
+    said = F.when(F.col("place") > th.abuse_rows, more).otherwise(F.format_string("%s %s called %d×", "name", quoted(truncated(F.col("target"), 60)), "count"))
+    stream = F.when(F.col("is_sub"), "subagent").otherwise("main")
+    out = finding(abused, "abuse", F.col("count"), detail=said)
+    out = out.unionByName(finding(looped, "loop", F.col("reps"), detail=F.format_string("%s stream: cycle [%s] repeated %d×", stream, joined_cycle(F.col("cycle")), "reps")))
+    return out if delivery is None else out.unionByName(delivery)
 
 
-def reports(events: DataFrame, calls: DataFrame, prompts: DataFrame, table: PriceTable | None = None, th: Thresholds = DEFAULT) -> DataFrame:
+def findings(events: DataFrame, calls: DataFrame, prompts: DataFrame, table: PriceTable | None = None, th: Thresholds = DEFAULT, delivery: DataFrame | None = None) -> DataFrame:
+    """``session_id, category, count, usd, detail``. ``delivery``: findings about what landed, which need commits (``rankings.delivery_findings``)."""
+    by_call = _by_call(calls)
+    rows = _sessions_with_findings(events, by_call, prompts, table, th)
+    own = rows.select("session_id", F.explode("_found").alias("f")).select("session_id", "f.*")
+    return own.unionByName(_others(by_call, calls, th, delivery))
+
+
+def reports(events: DataFrame, calls: DataFrame, prompts: DataFrame, table: PriceTable | None = None, th: Thresholds = DEFAULT, delivery: DataFrame | None = None) -> DataFrame:
     """A row for each session: what it cost, what of it was waste, how many findings, and the score that both make."""
-    spent = turns(events, table).groupBy("session_id").agg(F.sum("usd").alias("usd"))
-    found = findings(events, calls, prompts, table, th).groupBy("session_id").agg(F.sum("usd").alias("waste_usd"), F.count("*").alias("findings"))
-    rows = spent.join(found, "session_id", "left").na.fill(0, ["waste_usd", "findings"])
-    rows = rows.join(bounds(events).select("session_id", "project"), "session_id")
+    by_call = _by_call(calls)
+    rows = _sessions_with_findings(events, by_call, prompts, table, th).where("turns > 0")
+    more = _others(by_call, calls, th, delivery).groupBy("session_id").agg(F.count("*").alias("_more"), F.sum("usd").alias("_more_usd"))
+    rows = rows.join(more, "session_id", "left").na.fill(0, ["_more", "_more_usd"])
+    waste = F.aggregate("_found", F.lit(0.0), lambda a, f: a + f["usd"]) + F.col("_more_usd")
+    rows = rows.withColumn("waste_usd", waste).withColumn("findings", F.size("_found") + F.col("_more"))
     return rows.select("session_id", "project", usd(F.col("usd")).alias("usd"), usd(F.col("waste_usd")).alias("waste_usd"), "findings", usd(F.col("waste_usd") + F.col("findings")).alias("score"))
 
 
+def corpus_totals(reports: DataFrame) -> DataFrame:
+    """Spend and waste of all sessions; zero without any."""
+    return reports.agg(usd(F.coalesce(F.sum("usd"), F.lit(0.0))).alias("total_usd"), usd(F.coalesce(F.sum("waste_usd"), F.lit(0.0))).alias("total_waste_usd"))
+
+
 def corpus(reports: DataFrame) -> DataFrame:
     """Sessions, spend, waste and findings by project."""
     return reports.groupBy("project").agg(F.count("*").alias("sessions"), usd(F.sum("usd")).alias("usd"), usd(F.sum("waste_usd")).alias("waste_usd"), F.sum("findings").alias("findings"))
-
-
-def delivery(sessions: DataFrame, commits: DataFrame, least_usd: float = 20.0) -> DataFrame:
-    """Costly sessions (session_id, repo, day_from, day_to, usd) in whose days their repository has no commit."""
-    rows = sessions.where(F.col("usd") >= least_usd).alias("s")
-    hit = (F.col("s.repo") == F.col("c.repo")) & F.col("c.day").between(F.col("s.day_from"), F.col("s.day_to"))
-    return rows.join(commits.alias("c"), hit, "left_anti").select("session_id", "repo", "usd")

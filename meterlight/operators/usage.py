@@ -125,6 +125,36 @@ def with_share(rows: DataFrame, value: str = "usd") -> DataFrame:
     return rows.join(total, how="cross").withColumn("share", F.round(F.when(F.col("_total") == 0, 0.0).otherwise(F.col(value) / F.col("_total")), 8)).drop("_total")
 
 
+def ranked_share(rows: DataFrame, value: str = "usd", name: tuple[str, ...] = ("source", "vendor", "model")) -> DataFrame:
+    """``with_share``, with each row's place: the largest first, of equals by name."""
+    return with_share(rows, value).withColumn("place", F.row_number().over(W.orderBy(F.desc(value), *name)))
+
+
+def once(events: DataFrame, as_of: dt.date, table: PriceTable | None = None) -> DataFrame:
+    """The summary of a run: ``section, place, name`` with spend and tokens. Today and the month, the month by model and by project (with the sides of main sessions and subagents), and how many repeats and unknown responses there were.
+
+    Models and projects stand by spend, of equals by name.
+    """
+    month = cells(events).where(month_of(as_of))
+    none = {"usd": 0.0, **dict.fromkeys(TOKENS, 0), "main_usd": 0.0, "sub_usd": 0.0, "count": 0}
+
+    def rows(df: DataFrame, section: str, place: Column, name: Column) -> DataFrame:
+        kinds = {c: "double" if c.endswith("usd") else "long" for c in none}
+        held = (F.coalesce(F.col(c), F.lit(v)).cast(kinds[c]).alias(c) if c in df.columns else F.lit(v).cast(kinds[c]).alias(c) for c, v in none.items())
+        return df.select(F.lit(section).alias("section"), place.cast("int").alias("place"), name.alias("name"), *held)
+
+    # over a report's models and projects
+    first = lambda order: F.row_number().over(W.orderBy(*order))
+    models = priced_sums(month, ["model"], table)
+    projects = main_sub(month, ["project"]).withColumn("usd", usd(F.col("main_usd") + F.col("sub_usd")))
+    today = priced_sums(month.where(day_of(as_of)), ["vendor"], table).agg(F.sum("usd").alias("usd"), *(F.sum(t).alias(t) for t in TOKENS))
+    all_month = models.agg(F.sum("usd").alias("usd"), *(F.sum(t).alias(t) for t in TOKENS))
+    out = rows(today.withColumn("usd", usd(F.col("usd"))), "total", F.lit(1), F.lit("Today")).unionByName(rows(all_month.withColumn("usd", usd(F.col("usd"))), "total", F.lit(2), F.lit("Month")))
+    out = out.unionByName(rows(models, "model", first([F.desc("usd"), "model"]), F.col("model"))).unionByName(rows(projects, "project", first([F.desc("usd"), "project"]), F.col("project")))
+    counts = dupes(events).withColumnRenamed("dupes", "count"), unknown(events, table).withColumnRenamed("unknown", "count")
+    return out.unionByName(rows(counts[0], "count", F.lit(1), F.lit("dupes"))).unionByName(rows(counts[1], "count", F.lit(2), F.lit("unknown_model_events")))
+
+
 def top_k(rows: DataFrame, k: int, value: str = "usd", name: str = "name") -> DataFrame:
     """The k largest positive values, and how many more there are."""
     some = rows.where(F.col(value) > 0)

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meterlight.functions import text as T
+from meterlight.operators import exports as E
 from meterlight.operators import rankings as K
 from meterlight.operators import reports as R
 from meterlight.operators import sessions as S
@@ -17,6 +18,7 @@ from meterlight.operators import usage as U
 from meterlight.plans.pricing import RATES, TOKENS, component, context_window, priced, tier
 from meterlight.plans.work import work_folder
 from meterlight.sources import jsonl
+from meterlight.sources import repositories as G
 from meterlight.sources import tables as A
 from meterlight.streaming import live
 
@@ -340,7 +342,7 @@ def skill_overload(spark, d):
 
 @query
 def loops_best(spark, d):
-    return S.loops(A.tool_calls(spark, d))
+    return S.loops(A.tool_calls(spark, d)).select("session_id", "is_sub", "reps", "w", "start")
 
 
 @query
@@ -388,11 +390,13 @@ def corpus_worst(spark, d):
 
 
 @query
-def delivery_flag(spark, d):
-    spent = S.turns(A.usage_events(spark, d)).groupBy("session_id").agg(U.usd(F.sum("usd")).alias("usd"))
-    b = S.bounds(A.usage_events(spark, d)).select("session_id", F.to_date("start").alias("day_from"), F.date_add(F.to_date("start"), 1).alias("day_to"))
-    rows = spent.join(b, "session_id").withColumn("repo", F.col("session_id") % 40)
-    return S.delivery(rows, A.commits(spark, d).where("mine"))
+def corpus_totals(spark, d):
+    return S.corpus_totals(_reports(spark, d))
+
+
+@query
+def session_cost_unpriced(spark, d):
+    return S.session_cost(A.usage_events(spark, d))
 
 
 # Reports.
@@ -587,12 +591,17 @@ def session_prefix(spark, d):
     return K.of_session(U.dedupe(A.usage_events(spark, d)), "1").groupBy("session_id").agg(F.count("*").alias("turns"))
 
 
+#: Of the repositories that are known, those whose number this divides have no commits.
+BARE = 4
+DELIVERY_USD = 2.0
+
+
 def _delivered(spark: SparkSession, d: str) -> DataFrame:
     spent = S.turns(A.usage_events(spark, d)).groupBy("session_id").agg(U.usd(F.sum("usd")).alias("usd"))
     rows = spent.join(S.bounds(A.usage_events(spark, d)).select("session_id", "start", "end"), "session_id")
     rows = rows.withColumn("repo", F.col("session_id") % 40).withColumn("has_pr", F.col("session_id") % 7 == 0)
     commits = A.commits(spark, d)
-    return K.delivered(rows, commits, commits.select("repo"))
+    return K.delivered(rows, commits.where(F.col("repo") % BARE != 0), commits.select("repo"))
 
 
 @query
@@ -600,7 +609,102 @@ def delivery_window(spark, d):
     return _delivered(spark, d).select("session_id", "repo", "usd", "commits")
 
 
+def _landed(spark: SparkSession, d: str) -> DataFrame:
+    return K.delivery_findings(_delivered(spark, d), DELIVERY_USD)
+
+
+@query
+def delivery_flag(spark, d):
+    """Costly sessions that are known to have landed nothing."""
+    return _landed(spark, d)
+
+
 @query
 def delivery_scores(spark, d):
-    """Session scores with the delivery finding in them."""
-    return K.with_delivery(_reports(spark, d), K.delivery_findings(_delivered(spark, d))).select("session_id", "findings", "score")
+    """Session scores with the delivery finding among the others."""
+    return S.reports(A.usage_events(spark, d), A.tool_calls(spark, d), A.prompts(spark, d), delivery=_landed(spark, d)).select("session_id", "findings", "score")
+
+
+@query
+def finding_rows(spark, d):
+    return E.finding_rows(A.usage_events(spark, d), A.tool_calls(spark, d), A.prompts(spark, d), delivery=_landed(spark, d))
+
+
+@query
+def project_prompts(spark, d):
+    said = A.prompts(spark, d).select("session_id", "ord", "text")
+    return K.project_prompts(said, _reports(spark, d)).select("project", "place", "session_id", "ord", F.md5("text").alias("md5"))
+
+
+@query
+def costliest_agents(spark, d):
+    return K.costliest(R.agent_costs(A.agents(spark, d)), "agent_id").select("place", "agent_id", "phase", "lang", "tier", U.usd(F.col("usd")).alias("usd"))
+
+
+# Main sessions by project and tier, the summary of a run, and a plan's billing line.
+
+
+def _main_cells(spark: SparkSession, d: str) -> DataFrame:
+    return R.main_cells(U.dedupe(A.usage_events(spark, d)))
+
+
+@query
+def main_by_project(spark, d):
+    return R.main_by_project(_main_cells(spark, d))
+
+
+@query
+def main_by_project_tier(spark, d):
+    return R.main_by_project_tier(_main_cells(spark, d))
+
+
+@query
+def session_tiers_top20(spark, d):
+    return R.session_tiers(_main_cells(spark, d)).select("place", "project", "session_id", "usd", "responses", "tier", "tier_usd")
+
+
+@query
+def series_ranked(spark, d):
+    return U.ranked_share(U.priced_sums(_scope(spark, d, U.month_of(AS_OF)), SERIES)).select("place", *SERIES, "usd", "share")
+
+
+@query
+def once_summary(spark, d):
+    return U.once(A.usage_events(spark, d), AS_OF)
+
+
+@query
+def billing_latest(spark, d):
+    """Log lines made of events: a third are billing lines, a third only mention them."""
+    e = A.table(spark, d, "events")
+    end = F.date_format(F.col("ts") + F.expr("interval 7 days"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    msg = F.when(F.col("event_id") % 3 == 0, jsonl.BILLING).otherwise("other")
+    ctx = F.struct(F.struct(F.col("value").alias("creditUsagePercent"), F.struct(end.alias("end")).alias("currentPeriod")).alias("config"), F.col("event_type").alias("subscriptionTier"))
+    about = F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("no "), F.lit(jsonl.BILLING)))
+    line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), msg.alias("msg"), about.alias("about"), ctx.alias("ctx")))
+    found = jsonl.latest_billing(jsonl.billing_lines(e.select(F.col("event_id").alias("ord"), line.alias("value"))), NOW)
+    return found.select("vendor", "label", "pct", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("observed", "resets_at")), "stale", "plan")
+
+
+# Repositories of projects: of each project's first directory, the nearest folder above it that is a work tree's root.
+
+
+def _project_days(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Spend by project and day, and the roots of two thirds of the projects."""
+    cwd = F.concat(F.lit("/home/me/"), F.col("project"), F.when(F.col("ord") % 2 == 0, "/src/deep").otherwise("/doc/"))
+    days = G.project_days(A.usage_events(spark, d).withColumn("cwd", F.when(F.col("ord") % 5 != 0, cwd)))
+    number = F.regexp_extract("project", r"(\d+)$", 1).cast("bigint")
+    known = days.select("project").distinct().select(F.concat(F.lit("/home/me/"), "project").alias("folder"), (number % 3 != 0).alias("is_root"), F.lit("").alias("email"))
+    return days, G.resolved(days.select("cwd"), known)
+
+
+@query
+def roi_projects(spark, d):
+    days, roots = _project_days(spark, d)
+    commits = A.commits(spark, d).withColumn("repo", F.concat(F.lit("/home/me/proj-"), F.col("repo").cast("string")))
+    return R.returns(G.repository_days(days, roots), commits.join(roots.select(F.col("root").alias("repo")).distinct(), "repo", "left_semi"), "week")
+
+
+@query
+def roi_skipped(spark, d):
+    return G.skipped(*_project_days(spark, d))

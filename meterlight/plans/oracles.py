@@ -182,13 +182,13 @@ def _by(*keys: str) -> str:
 _BUCKET = {"day": "strftime({d}, '%Y-%m-%d')", "month": "strftime({d}, '%Y-%m')", "week": "format('{{:04d}}-W{{:02d}}', isoyear({d}), week({d}))"}
 
 
-def _roi(kind: str) -> str:
+def _roi(kind: str, only: str = "true") -> str:
     b = _BUCKET[kind].format(d="day")
     ratio = lambda n: f"round(CASE WHEN coalesce({n}, 0) > 0 THEN coalesce(usd, 0) / {n} ELSE 0 END, 8)"
     return f"""SELECT repo, bucket, round(coalesce(usd, 0), 8) AS usd, coalesce(tokens, 0) AS tokens, coalesce(commits, 0) AS commits, coalesce(my_commits, 0) AS my_commits, coalesce(lines, 0) AS lines, coalesce(my_lines, 0) AS my_lines,
       {ratio('my_commits')} AS usd_per_commit, {ratio('my_lines')} AS usd_per_line
-    FROM (SELECT cast(regexp_extract(project, '(\\d+)$', 1) AS bigint) AS repo, {b} AS bucket, sum(usd) AS usd, cast(sum(tokens) AS bigint) AS tokens FROM ({_sums('cells', 'project', 'day')}) GROUP BY 1, 2)
-    FULL OUTER JOIN (SELECT repo, {b} AS bucket, count(*) AS commits, count(*) FILTER (mine) AS my_commits, cast(sum(added + deleted) AS bigint) AS lines, cast(sum(CASE WHEN mine THEN added + deleted ELSE 0 END) AS bigint) AS my_lines FROM cm GROUP BY 1, 2) USING (repo, bucket)"""
+    FROM (SELECT cast(regexp_extract(project, '(\\d+)$', 1) AS bigint) AS repo, {b} AS bucket, sum(usd) AS usd, cast(sum(tokens) AS bigint) AS tokens FROM ({_sums('cells', 'project', 'day')}) GROUP BY ALL HAVING {only})
+    FULL OUTER JOIN (SELECT repo, {b} AS bucket, count(*) AS commits, count(*) FILTER (mine) AS my_commits, cast(sum(added + deleted) AS bigint) AS lines, cast(sum(CASE WHEN mine THEN added + deleted ELSE 0 END) AS bigint) AS my_lines FROM cm WHERE {only} GROUP BY 1, 2) USING (repo, bucket)"""
 
 
 _PLANS = f"""(SELECT vendor, window_minutes, CASE WHEN window_minutes < 1440 THEN (window_minutes // 60) || 'h' WHEN window_minutes = 1440 THEN '24h' ELSE (window_minutes // 1440) || 'd' END AS label, pct, observed, resets_at, resets_at < {_NOW} AS stale
@@ -275,8 +275,8 @@ _BODIES: dict[str, str] = {
     "session_scores": f"SELECT session_id, findings, score, usd FROM {_REPORTS}",
     "corpus_projects": f"SELECT project, count(*) AS sessions, round(sum(usd), 8) AS usd, round(sum(waste_usd), 8) AS waste_usd, cast(sum(findings) AS bigint) AS findings FROM {_REPORTS} GROUP BY 1",
     "corpus_worst": f"SELECT cast(place AS int) AS place, session_id, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, usd DESC, session_id) AS place FROM {_REPORTS}) WHERE place <= 15",
-    "delivery_flag": f"""SELECT session_id, repo, usd FROM (SELECT s.session_id, s.usd, s.session_id % 40 AS repo, cast(b.start AS date) AS a, cast(cast(b.start AS date) + 1 AS date) AS z FROM (SELECT session_id, round(sum(usd), 8) AS usd FROM tn GROUP BY 1) s JOIN {_BOUNDS} b USING (session_id)) x
-      WHERE usd >= 20 AND NOT EXISTS (SELECT 1 FROM cm WHERE mine AND cm.repo = x.repo AND cm.day BETWEEN x.a AND x.z)""",
+    "corpus_totals": f"SELECT round(sum(usd), 8) AS total_usd, round(sum(waste_usd), 8) AS total_waste_usd FROM {_REPORTS}",
+    "session_cost_unpriced": "SELECT session_id, round(sum(usd), 8) AS usd, count(*) AS turns, count(*) FILTER (priced_as IS NULL) AS unpriced FROM tn GROUP BY 1",
     "safety_rows": f"""SELECT project, cast(sum(turns) AS bigint) AS turns, count(*) AS sessions, {', '.join(f'cast(sum("{m}") AS bigint) AS "{m}"' for m in MODES)}, count(*) FILTER (container) AS container_sessions,
       coalesce(string_agg(DISTINCT CASE WHEN entrypoint <> '' THEN entrypoint END, ',' ORDER BY CASE WHEN entrypoint <> '' THEN entrypoint END), '') AS entrypoints, round(100.0 * sum("bypassPermissions") / sum(turns), 8) AS bypass_pct FROM {_SS} GROUP BY 1""",
     "safety_summary": f"""SELECT cast(sum(t) AS bigint) AS turns, cast(sum(b) AS bigint) AS bypass_turns, count(*) FILTER (b > 0) AS bypass_projects, cast(sum(c) AS bigint) AS container_sessions, round(CASE WHEN sum(t) > 0 THEN 100.0 * sum(b) / sum(t) ELSE 0 END, 8) AS bypass_pct
@@ -298,7 +298,7 @@ _BODIES: dict[str, str] = {
     "plan_latest": f"SELECT * FROM {_PLANS}",
     "gauge_rows": f"""SELECT vendor, label, round(pct, 8) AS pct, band, cast(least(10, greatest(0, floor(pct / 10 + 0.5))) AS int) AS cells, CASE WHEN stale THEN 'stale' WHEN pct >= 100 THEN 'over' WHEN pct >= 80 THEN 'warn' ELSE 'ok' END AS tint,
       cast(row_number() OVER (ORDER BY band, list_position(['claude', 'codex', 'grok'], vendor), window_minutes) AS int) AS place FROM (SELECT *, cast(CASE WHEN label LIKE '%h' THEN 0 ELSE 1 END AS int) AS band FROM {_PLANS})""",
-    "worst_pct": f"SELECT coalesce(max(pct), 0) AS worst_pct FROM {_PLANS} WHERE NOT stale",
+    "worst_pct": f"SELECT coalesce(max(pct), 0) AS worst_pct FROM {_PLANS} WHERE NOT stale AND vendor IN ('claude', 'codex', 'grok')",
     "active_sessions": f"SELECT * FROM {_active(_NOW)}",
     "session_warnings": f"SELECT * FROM {_warn(_NOW)}",
     "notify_new": f"SELECT a.session_id, a.condition FROM {_on(_NOW)} a ANTI JOIN {_on("timestamp '2024-01-24 06:00:00'")} b ON a.session_id = b.session_id AND a.condition = b.condition",
@@ -325,7 +325,7 @@ _DISPLAY = {
     "lang": "['go', 'rust', 'python', 'typescript', 'javascript', 'ruby', 'java', 'csharp', 'swift', 'terraform', 'unknown']",
 }
 _DELIVERED = f"""(SELECT s.session_id, s.repo, s.usd, CASE WHEN s.repo IN (SELECT o_custkey % 20 FROM orders) THEN (SELECT count(*) FROM (SELECT o_custkey % 20 AS repo, timestamp '2024-01-01' + to_days(cast(o_orderkey % 30 AS int)) + to_seconds(o_orderkey * 37 % 86400) AS at FROM orders) c
-  WHERE c.repo = s.repo AND c.at BETWEEN s.start AND s.upto) END AS commits FROM (SELECT t.session_id, t.session_id % 40 AS repo, t.usd, b.start, b."end" + interval 1 minute AS upto FROM (SELECT session_id, round(sum(usd), 8) AS usd FROM tn GROUP BY 1) t JOIN {_BOUNDS} b USING (session_id)) s)"""
+  WHERE c.repo % 4 <> 0 AND c.repo = s.repo AND c.at BETWEEN s.start AND s.upto) END AS commits FROM (SELECT t.session_id, t.session_id % 40 AS repo, t.usd, b.start, b."end" + interval 1 minute AS upto FROM (SELECT session_id, round(sum(usd), 8) AS usd FROM tn GROUP BY 1) t JOIN {_BOUNDS} b USING (session_id)) s)"""
 _BODIES |= {
     "waste_projects": _placed(_BODIES["corpus_projects"], "waste_usd DESC, project", "place, project, waste_usd"),
     "safety_order": _placed(_BODIES["safety_rows"], "bypass_pct DESC, turns DESC, project", "place, project, bypass_pct, turns"),
@@ -340,7 +340,70 @@ _BODIES |= {
     "session_prefix": "SELECT session_id, count(*) AS turns FROM dd WHERE cast(session_id AS varchar) LIKE '1%' GROUP BY 1",
     "delivery_window": f"SELECT * FROM {_DELIVERED}",
     "delivery_scores": f"""SELECT session_id, findings + more AS findings, round(score + more, 8) AS score FROM (SELECT r.*, CASE WHEN x.session_id IS NULL THEN 0 ELSE 1 END AS more FROM {_REPORTS} r
-      LEFT JOIN (SELECT session_id FROM {_DELIVERED} WHERE usd >= 20 AND session_id % 7 <> 0 AND commits = 0) x USING (session_id))""",
+      LEFT JOIN (SELECT session_id FROM {_DELIVERED} WHERE usd >= 2 AND session_id % 7 <> 0 AND commits = 0) x USING (session_id))""",
+}
+
+_LANDED = f"""SELECT session_id, 'delivery' AS category, cast(1 AS bigint) AS count, cast(0 AS double) AS usd, printf('$%.2f', usd) || ' session with no commit and no PR — did the work land?' AS detail
+  FROM {_DELIVERED} WHERE usd >= 2 AND session_id % 7 <> 0 AND commits = 0"""
+_CYCLES = f"""(SELECT l.session_id, l.is_sub, l.reps, string_agg(s.tok, ' → ' ORDER BY s.i) AS cycle FROM {_LOOPS} l JOIN (SELECT session_id, is_sub, name || ' ' || target AS tok, row_number() OVER (PARTITION BY session_id, is_sub ORDER BY ts, ord) - 1 AS i FROM tc) s
+  ON s.session_id = l.session_id AND s.is_sub = l.is_sub AND s.i BETWEEN l.start AND l.start + l.w - 1 GROUP BY ALL)"""
+_REST = f"(SELECT session_id, count(*) AS patterns, cast(sum(count) AS bigint) AS calls FROM {_ABUSE} WHERE place > 8 GROUP BY 1)"
+_HOURS = 'round((epoch("end") - epoch(start)) // 1 / 3600.0, 12)'
+
+
+def _worded(part: str, detail: str) -> str:
+    return f"SELECT session_id, category, count, usd, {detail} AS detail FROM ({part})"
+
+
+_DETAILS = " UNION ALL ".join([
+    _worded(_FAILED, "count || ' failed tool call(s) — each burns a round-trip'"),
+    f"SELECT session_id, 'waste_reads', cast(sum(reads - 1) AS bigint), cast(0 AS double), cast(sum(reads - 1) AS bigint) || ' redundant Read(s) across ' || count(*) || ' file(s)' FROM {_DUP_READS} GROUP BY 1",
+    _worded(_big(100), "count || ' turn(s) injected big new context but produced tiny output'"),
+    f"SELECT session_id, 'abuse', cast(count AS bigint), cast(0 AS double), name || ' \"' || target || '\" called ' || count || '×' FROM {_ABUSE} WHERE place <= 8",
+    f"SELECT session_id, 'abuse', patterns, cast(0 AS double), '…and ' || patterns || ' more repeated-call pattern(s) (' || calls || ' calls)' FROM {_REST}",
+    _worded(_SKILL, "count || ' distinct skills invoked in one session'"),
+    f"SELECT session_id, 'loop', cast(reps AS bigint), cast(0 AS double), CASE WHEN is_sub THEN 'subagent' ELSE 'main' END || ' stream: cycle [' || cycle || '] repeated ' || reps || '×' FROM {_CYCLES}",
+    f"SELECT session_id, category, count, usd, 'long session: ' || count || ' prompts over ' || printf('%.1f', {_HOURS}) || 'h — consider splitting or delegating to subagents' FROM ({_SPRAWL}) JOIN {_BOUNDS} USING (session_id)",
+    _worded(_routing(20000, 5), "'light session ran on Opus — Sonnet/Haiku or Fast mode may suffice'"),
+    f"SELECT session_id, category, count, usd, 'peak context ' || printf('%.0f', context_pct) || '% of ' || model || ' window' FROM ({_overload(80)}) JOIN {_CONTEXT} USING (session_id)",
+    _LANDED,
+])
+_MAIN = f"""(SELECT * FROM (SELECT project, session_id, {_TIER} AS tier, sum({_COST}) AS usd, count(*) AS responses FROM {_priced('(SELECT * FROM dd WHERE NOT is_sub)')} GROUP BY 1, 2, 3)
+  QUALIFY sum(usd) OVER (PARTITION BY project, session_id) <> 0)"""
+_ONCE = "cast(0 AS double)"
+_ONCE_TOKENS = ", ".join(f"cast(coalesce(sum({t}), 0) AS bigint) AS {t}" for t in _TOK)
+
+
+def _once_total(place: int, name: str, rows: str) -> str:
+    return f"SELECT 'total' AS section, cast({place} AS int) AS place, '{name}' AS name, cast(coalesce(round(sum(usd), 8), 0) AS double) AS usd, {_ONCE_TOKENS}, {_ONCE} AS main_usd, {_ONCE} AS sub_usd, cast(0 AS bigint) AS count FROM ({rows})"
+
+
+_NO_TOKENS = ", ".join("cast(0 AS bigint)" for _ in _TOK)
+_BODIES |= {
+    "delivery_flag": _LANDED,
+    "finding_rows": f"""SELECT cast(session_id AS varchar) AS session, project, printf('%.4f', r.usd) AS usd, printf('%.4f', waste_usd) AS waste_usd, coalesce(string_split(category, '_')[1], '') AS category, coalesce(detail, '') AS detail,
+      coalesce(cast(f.count AS varchar), '') AS count, coalesce(printf('%.4f', f.usd), '') AS finding_usd FROM {_REPORTS} r LEFT JOIN ({_DETAILS}) f USING (session_id)""",
+    "project_prompts": f"""SELECT project, cast(place AS int) AS place, session_id, ord, md5(text) AS md5 FROM (SELECT r.project, p.session_id, p.ord, p.text, row_number() OVER (PARTITION BY r.project ORDER BY score DESC, usd DESC, p.session_id, p.ord) AS place
+      FROM pr p JOIN {_REPORTS} r USING (session_id) WHERE text IS NOT NULL) WHERE place <= 80""",
+    "costliest_agents": _placed(f"SELECT agent_id, phase, lang, tier, round(usd, 8) AS usd, usd AS exact FROM {_AGENTS}", "exact DESC, agent_id", "place, agent_id, phase, lang, tier, usd", 20),
+    "main_by_project": f"SELECT project, round(sum(usd), 8) AS usd, count(DISTINCT session_id) AS sessions FROM {_MAIN} GROUP BY 1",
+    "main_by_project_tier": f"SELECT project, tier, round(sum(usd), 8) AS usd FROM {_MAIN} GROUP BY 1, 2",
+    "session_tiers_top20": f"""SELECT place, project, session_id, t.usd, responses, m.tier, round(m.usd, 8) AS tier_usd FROM ({_placed(f'SELECT project, session_id, round(sum(usd), 8) AS usd, cast(sum(responses) AS bigint) AS responses FROM {_MAIN} GROUP BY 1, 2', 'usd DESC, session_id, project', '*', 20)}) t
+      JOIN (SELECT project, session_id, tier, usd FROM {_MAIN}) m USING (project, session_id)""",
+    "series_ranked": _placed(_BODIES["series_share"], "usd DESC, source, vendor, model", "place, source, vendor, model, usd, share"),
+    "once_summary": " UNION ALL ".join([
+        _once_total(1, "Today", _sums(_where("cells", _DAY), "vendor")), _once_total(2, "Month", _sums(_where("cells", _MONTH), "model")),
+        f"SELECT 'model', cast(row_number() OVER (ORDER BY usd DESC, model) AS int), model, cast(usd AS double), {', '.join(_TOK)}, {_ONCE}, {_ONCE}, cast(0 AS bigint) FROM ({_sums(_where('cells', _MONTH), 'model')})",
+        f"SELECT 'project', cast(row_number() OVER (ORDER BY round(main_usd + sub_usd, 8) DESC, project) AS int), project, round(main_usd + sub_usd, 8), {_NO_TOKENS}, main_usd, sub_usd, cast(0 AS bigint) FROM ({_main_sub(_MONTH)})",
+        f"SELECT 'count', cast(1 AS int), 'dupes', {_ONCE}, {_NO_TOKENS}, {_ONCE}, {_ONCE}, cast(dupes AS bigint) FROM ({_BODIES['dupes_count']})",
+        f"SELECT 'count', cast(2 AS int), 'unknown_model_events', {_ONCE}, {_NO_TOKENS}, {_ONCE}, {_ONCE}, cast(unknown AS bigint) FROM ({_BODIES['unknown_models']})",
+    ]),
+    "billing_latest": f"""SELECT 'grok' AS vendor, 'wk' AS label, value AS pct, date_trunc('second', cast(ts AS timestamp)) AS observed, date_trunc('second', cast(ts AS timestamp)) + interval 7 day AS resets_at, date_trunc('second', cast(ts AS timestamp)) + interval 7 day < {_NOW} AS stale, event_type AS plan
+      FROM events WHERE event_id % 3 = 0 ORDER BY date_trunc('second', cast(ts AS timestamp)) DESC, event_id LIMIT 1""",
+    "roi_projects": f"SELECT '/home/me/proj-' || repo AS repo, * EXCLUDE (repo) FROM ({_roi('week', 'repo < 12 AND repo % 3 <> 0')})",
+    "roi_skipped": f"SELECT count(*) AS skipped FROM ({_sums('cells', 'project', 'day')}) WHERE cast(regexp_extract(project, '(\\d+)$', 1) AS bigint) % 3 = 0",
 }
 
 ORACLE_SQL: dict[str, str] = {name: BASE + (", " + body.removeprefix("WITH ") if body.startswith("WITH ") else body) for name, body in _BODIES.items()}
+#: For the SQL of streams: cumulative readings, deduplicated events with prices, their cost, and that of writing the cache.
+DELTA_SOURCE = (_RD, _priced("dd"), _COST, _part("tok_cw"))

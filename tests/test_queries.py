@@ -8,9 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from meterlight.plans.catalogue import QUERIES
-from meterlight.plans.oracles import ORACLE_SQL
+from meterlight.plans import catalogue, live_catalogue, oracles
 
+QUERIES = catalogue.QUERIES | live_catalogue.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | live_catalogue.ORACLE_SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
