@@ -278,7 +278,8 @@ def _sessions_with_findings(events: DataFrame, by_call: DataFrame, prompts: Data
     rows = per_session(events, table, th).join(called, "session_id", "full_outer").join(said, "session_id", "left").na.fill(0, ["calls", "failed", "extra", "files", "skills", "prompts", "turns", "big"])
     hours = (F.unix_timestamp(F.col("end").cast("timestamp")) - F.unix_timestamp(F.col("start").cast("timestamp"))) / 3600.0
     window = context_window(F.col("model"), F.col("peak"))
-    rows = rows.withColumn("context_pct", F.round(F.least(F.lit(100.0), 100.0 * F.col("peak") / window), 8))
+    used = F.when(F.col("peak").isNotNull(), F.least(F.lit(100.0), 100.0 * F.col("peak") / window))
+    rows = rows.withColumn("context_pct", F.round(used, 8))
     mean = F.when(F.col("turns") > 0, F.col("new_usd") / F.col("turns")).otherwise(0.0)
     text = _worded(hours)
 
