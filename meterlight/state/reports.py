@@ -56,14 +56,15 @@ def cached_reports(spark: SparkSession, source: Source, at: str, table: PriceTab
     def written(name: str, rows: DataFrame) -> DataFrame:
         return spark.read.schema(rows.schema).parquet(f"{store.at}/{store.write(generation, name, rows)}")
 
-    files = written("_files", listed(spark, source.root, NAMES[source.vendor]))
-    now = written("_now", fingerprints(files, source.root, settings_hash(table, th)))
+    files = listed(spark, source.root, NAMES[source.vendor])
+    now = fingerprints(files, source.root, settings_hash(table, th))
     key = ["session_id", "project"]
     before = store.table(old, "reports", ROWS)
-    same = before.join(now, [*key, "fingerprint"], "left_semi")
-    changed = written("_changed", now.join(before, [*key, "fingerprint"], "left_anti"))
-    again = changed.count()
-    if again or old is None or same.count() != before.count():
+    met = now.withColumn("_now", F.lit(True)).join(before.select(*key, "fingerprint", F.lit(True).alias("_old")), [*key, "fingerprint"], "full_outer")
+    n = met.agg(F.count_if(F.col("_old").isNull()).alias("new"), F.count_if(F.col("_now").isNull()).alias("gone")).first()
+    if n["new"] or n["gone"] or old is None:
+        files, now = written("_files", files), written("_now", now)
+        changed = now.join(before, [*key, "fingerprint"], "left_anti")
         parts = files.withColumn("_at", T.session_of(F.col("path"), source.root)).where("size(_at) = 2").withColumns({"session_id": F.col("_at")[1], "project": F.col("_at")[0]})
         parts = parts.join(changed, key, "left_semi").withColumn("start", F.lit(0).cast("long")).withColumn("end", F.col("size"))
         lines = read_ranges(parts, ["path"], LONGEST)
@@ -71,8 +72,7 @@ def cached_reports(spark: SparkSession, source: Source, at: str, table: PriceTab
         lines = lines.where(F.trim("value") != "").select("path", "value", order.alias("ord"), F.lit(source.vendor).alias("vendor"), F.lit(source.id).alias("source"))
         new = made(T.lines_of_sessions(lines, source.root), written, table, th).join(changed, key)
         columns = [c.split()[0] for c in ROWS.split(", ")]
+        same = before.join(now, [*key, "fingerprint"], "left_semi")
         part = store.write(generation, "reports", same.select(*columns).unionByName(new.select(*columns)))
-        store.commit(generation, {"tables": {"reports": [part]}, "made": again})
-    else:
-        store.drop(generation)
+        store.commit(generation, {"tables": {"reports": [part]}, "made": changed.count()})
     return store.table(store.manifest(), "reports", ROWS).drop("fingerprint")
