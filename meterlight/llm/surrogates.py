@@ -169,13 +169,18 @@ def _like(value: str, draw: Iterator[int]) -> str:
     return "".join(out)
 
 
+#: Attempts that keep the length of an address or a number; each further one is longer by a character.
+SAME_LENGTH = 8
+
+
 def stand_in(key: bytes, kind: str, value: str, attempt: int) -> str:
-    """The canonical stand-in of an entity. Later attempts draw afresh, and names from longer ones."""
+    """The canonical stand-in of an entity. Later attempts draw afresh, names from longer ones, and addresses and telephone numbers become longer where short ones are all in use."""
     draw = _stream(key, f"{kind}|{value}|{attempt}")
+    more = max(0, attempt - SAME_LENGTH)
     if kind == "email":
         local, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
-        return f"{_like(local, draw)}@{_like(host, _stream(key, f'domain|{domain}|{attempt}'))}.{top}"
+        return f"{_like(local + 'x' * more, draw)}@{_like(host, _stream(key, f'domain|{domain}|{attempt}'))}.{top}"
     if kind == "ip":
         first = int(value.split(".")[0])
         if first in (0, 10, 127):
@@ -198,8 +203,8 @@ def stand_in(key: bytes, kind: str, value: str, attempt: int) -> str:
         parts = SYLLABLES[kind.split(":")[1]]
         return "".join(parts[next(draw) % 16] for _ in range(4 + attempt)).capitalize()
     if value.startswith("+"):  # the first digit of a country code stays
-        return value[:2] + _like(value[2:], draw)
-    return _like(value, draw)
+        return value[:2] + _like(value[2:] + "1" * more, draw)
+    return _like(value + "1" * (more if kind == "phone" else 0), draw)
 
 
 def _laid_out(surface: str, canonical: str, kind: str) -> str:
@@ -213,7 +218,7 @@ def _laid_out(surface: str, canonical: str, kind: str) -> str:
     if kind == "ip":
         return canonical
     own = iter(canonical.removeprefix("+"))
-    return "".join(next(own) if c.isalnum() else c for c in surface)
+    return "".join(next(own) if c.isalnum() else c for c in surface) + "".join(own)
 
 
 class Rewriter:
