@@ -47,6 +47,7 @@ COMMON = (
     "time date start end first last next parent child root left right height width size length error warning message event handler listener manager factory "
     "service client server request response session cookie header body content text string number integer boolean array object class method function module "
     "package import export default static public private version build release branch commit merge input output stream socket thread process worker task queue "
+    "usr local share home user users projects applications node modules src lib bin var log opt apache spark sql execution datasources transactions backup api "
     "www com org net http https html json xml csv static images assets blog news article archive category product example some and more with from into"
 ).split()
 N = len(ALPHABET) + 1  # the last code: any other character
@@ -100,10 +101,17 @@ def drawn(seed: int, n: int = DRAWN) -> dict[str, list[str]]:
     return {kind: ["".join(rng.choices(letters, k=rng.randint(16, 64))) for _ in range(n)] for kind, letters in RANDOM.items()}
 
 
+def stamp(rng: random.Random) -> str:
+    """A date, a date with a time, or a number, as names of files and addresses have them."""
+    day = f"{rng.randrange(1990, 2040)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}"
+    hour = f"T{rng.randrange(24):02d}-{rng.randrange(60):02d}-{rng.randrange(60):02d}Z"
+    return rng.choice([day, day.replace("-", ""), day + hour, day.replace("-", "/"), str(rng.randrange(10**8)), f"v{rng.randrange(20)}"])
+
+
 def identifiers(words: list[str], n: int = 2 * WORDS, seed: int = 3) -> list[str]:
-    """``n`` identifiers of 16 and more characters put together from ``words`` and ``COMMON``: snake, kebab, camel and constant case, and paths, some with a number."""
+    """``n`` identifiers of 16 and more characters put together from ``words`` and ``COMMON``: snake, kebab, camel and constant case, compounds, and paths, some with a number or a date."""
     rng, words = random.Random(seed), [*words, *COMMON * max(1, len(words) // len(COMMON))]
-    forms = ["_".join, "-".join, "/".join, lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), lambda w: "".join(x.capitalize() for x in w), lambda w: "_".join(w).upper()]
+    forms = ["_".join, "-".join, "/".join, lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), lambda w: "".join(x.capitalize() for x in w), lambda w: "_".join(w).upper(), "".join, lambda w: "/" + "/".join(w)]
     out = []
     while len(out) < n:
         own = [rng.choice(words).lower()]
@@ -112,17 +120,33 @@ def identifiers(words: list[str], n: int = 2 * WORDS, seed: int = 3) -> list[str
         if rng.random() < 0.4:
             at = rng.randrange(len(own))
             own[at] += str(rng.randrange(2000) if rng.random() < 0.3 else rng.randrange(10))
+        if rng.random() < 0.15:
+            own.insert(rng.randrange(len(own) + 1), stamp(rng))
         out.append(rng.choice(forms)(own))
     return out
 
 
+#: Characters of a run that are scored at once.
+PIECE = 1 << 15
+
+
 def best_stretch(llr: np.ndarray, least: int) -> float:
-    """The largest sum of ``least`` or more neighbours in some row; of fewer, none is."""
-    if llr.shape[1] < least:
-        return -np.inf
-    sums = np.concatenate([np.zeros((len(llr), 1)), np.cumsum(llr, axis=1)], axis=1)
-    low = np.minimum.accumulate(sums[:, : sums.shape[1] - least], axis=1)
-    return float((sums[:, least:] - low).max())
+    return best_in_pieces(iter([llr]), least)
+
+
+def best_in_pieces(pieces: Iterator[np.ndarray], least: int) -> float:
+    """The largest sum of ``least`` or more neighbours in some row of the pieces, one after the other; of fewer, none is. Held are the last sums, and the least of those before."""
+    best, held, low = -np.inf, None, None
+    for llr in pieces:
+        if held is None:
+            held, low = np.zeros((len(llr), 1)), np.full((len(llr), 1), np.inf)
+        sums = np.concatenate([held, held[:, -1:] + np.cumsum(llr, axis=1, dtype=float)], axis=1)
+        lows = np.minimum.accumulate(np.concatenate([low, sums], axis=1), axis=1)
+        at = np.arange(held.shape[1], sums.shape[1])
+        best = max(best, float((sums[:, at] - lows[:, np.maximum(at - least + 1, 0)]).max(initial=-np.inf)))
+        keep = min(sums.shape[1], least)
+        held, low = sums[:, -keep:], lows[:, sums.shape[1] - keep][:, None]
+    return best
 
 
 @dataclass
@@ -135,8 +159,12 @@ class Models:
     false_alarms: float = 0.0
 
     def score(self, run: str, least_length: int) -> float:
-        c = _codes(run)
-        return best_stretch(self.ratio[:, (c[:-2] * N + c[1:-1]) * N + c[2:]], max(1, least_length - 2))
+        def pieces() -> Iterator[np.ndarray]:
+            for at in range(0, len(run) - 2, PIECE):
+                c = _codes(run[at : at + PIECE + 2])
+                yield self.ratio[:, (c[:-2] * N + c[1:-1]) * N + c[2:]]
+
+        return best_in_pieces(pieces(), max(1, least_length - 2))
 
 
 def _ordinary(triples: np.ndarray) -> np.ndarray:
@@ -170,10 +198,12 @@ def fit(triples: np.ndarray, words: list[str], least_length: int = 16, false_ala
         at = np.ix_(letters, letters, letters)
         ratio[k][at] = p[None] - ordinary[at]
     models = Models(ratio.reshape(len(RANDOM), -1))
-    names = sorted(models.score(x, least_length) for x in identifiers(words))
+    # the threshold is set on one half of the held-out identifiers, and false alarms are counted in the other
+    scores = [models.score(x, least_length) for x in identifiers(words)]
+    names, other = sorted(scores[::2]), scores[1::2]
     models.least = max(0.0, names[min(len(names) - 1, int(len(names) * (1 - false_alarms)))]) + margin
     found = [models.score(x, least_length) >= models.least for own in drawn(2).values() for x in own]
-    models.recall, models.false_alarms = sum(found) / len(found), sum(x >= models.least for x in names) / max(1, len(names))
+    models.recall, models.false_alarms = sum(found) / len(found), sum(x >= models.least for x in other) / max(1, len(other))
     return models
 
 

@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow.parquet as pq
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -202,3 +203,55 @@ def test_warc_frames():
     for bad in (records[1][:-1], records[1].replace(b"Content-Length: 5", b"Content-Length: 6"), records[1].replace(b"WARC-Date", b"X-Date"), b"junk"):
         with pytest.raises(warc.WarcError):
             warc.parse_record(bad)
+
+
+def test_best_stretch_in_pieces():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 200):
+        llr = rng.normal(-0.2, 1, (3, n))
+        sums = np.concatenate([np.zeros((3, 1)), np.cumsum(llr, axis=1)], axis=1)
+        for least in (1, 6, 14):
+            want = max((float((sums[:, j] - sums[:, i]).max()) for i in range(n + 1) for j in range(i + least, n + 1)), default=-np.inf)
+            for size in (1, 3, 13, 500):
+                got = secret_scan.best_in_pieces((llr[:, k : k + size] for k in range(0, n, size)), least)
+                assert got == want or abs(got - want) < 1e-9
+
+
+def test_a_very_long_run_needs_little_memory():
+    import tracemalloc
+
+    ratio = np.full((len(secret_scan.RANDOM), secret_scan.N**3), -1.0, np.float32)
+    models = secret_scan.Models(ratio, 14.0)
+    run = "a" * 20_000_000
+    tracemalloc.start()
+    assert models.score(run, 16) == -14.0
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+#: Strings that aren't secrets: paths, addresses, dates and compounds.
+HARMLESS = (
+    "/usr/local/share/applications/firefox", "/home/user/projects/webapp/node_modules", "org/apache/spark/sql/execution/datasources", "/api/v2/users/12345678/transactions/2023-11-04",
+    "2024-01-15T10-22-33Z-backup", "node_modules/package/index", "MAX_BUFFER_SIZE_DEFAULT", "getUserNameFromSession", "2023-11-04_error_log_backup",
+)
+
+
+def test_harmless_strings_are_no_secrets(spark):
+    words = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(words)], "doc_id long, text string")
+    models = secret_scan.train(docs)
+    assert models.recall >= 0.99 and models.false_alarms <= 0.005
+    assert [x for x in HARMLESS if models.score(x, 16) >= models.least] == []
+    assert models.score("q7Zt2Lm9Xc4Vb8Nw1Rk5Pd3", 16) >= models.least
+
+
+def test_dense_forms_get_longer_stand_ins(spark):
+    from string import ascii_lowercase as letters
+
+    texts = [f"{a}@{b}.io" for a in letters for b in letters]
+    docs = spark.createDataFrame([(k, f"write to {t} now") for k, t in enumerate(texts)], "doc_id long, text string")
+    got = surrogates.pseudonymised(docs, b"key").collect()
+    new = {r.text.split()[2] for r in got}
+    assert len(new) == len(texts) and not new & set(texts)
+    assert all(r.entities[0].kind == "email" and r.text.endswith(" now") for r in got)
+    assert surrogates.stand_in(b"k", "phone", "1234567", 10).isdigit() and len(surrogates.stand_in(b"k", "phone", "1234567", 10)) == 9
