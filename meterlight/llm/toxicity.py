@@ -266,12 +266,16 @@ def _calibrated(model: Field, texts: list[str], labels: list[int]) -> Field:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1000, clean_rows: int = 1500, text: str = "text", key: str = "doc_id", label: str = "toxic") -> tuple[list[str], list[int]]:
-    """At most ``toxic_rows + clean_rows`` labelled rows, picked by a hash of the key, with their whole texts."""
-    own = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y")).where("_key is not null and _y in (0, 1)")
-    some = own.where("_y = 1").orderBy(F.xxhash64("_key"), "_key").limit(toxic_rows).unionByName(own.where("_y = 0").orderBy(F.xxhash64("_key"), "_key").limit(clean_rows))
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(some), "_key").select("_key", "_text", "_y").collect()
-    rows.sort(key=lambda r: (r["_key"], r["_y"], r["_text"] or ""))
-    return [r["_text"] or "" for r in rows], [r["_y"] for r in rows]
+    """At most ``toxic_rows + clean_rows`` different labelled rows, picked by a hash of the key and then of the text, with their whole texts. Rows that share a key are rows of their own."""
+    own = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_y")).where("_key is not null and _y in (0, 1)").distinct()
+    docs = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    # rows are picked by their hashes, so that texts move only of those that are picked
+    met = docs.select("_key", "_hash").join(own, "_key").distinct()
+    order = [F.xxhash64("_key"), F.col("_key"), F.col("_hash")]
+    some = met.where("_y = 1").orderBy(*order).limit(toxic_rows).unionByName(met.where("_y = 0").orderBy(*order).limit(clean_rows))
+    rows = docs.join(F.broadcast(some), ["_key", "_hash"]).dropDuplicates(["_key", "_hash", "_y"]).select("_key", "_text", "_y").collect()
+    rows.sort(key=lambda r: (r["_key"], r["_y"], r["_text"]))
+    return [r["_text"] for r in rows], [r["_y"] for r in rows]
 
 
 def toxicity(docs: DataFrame, model: Field, text: Column) -> Column:
