@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 import pyarrow as pa
@@ -44,10 +46,28 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Work tables of this process that ``dropped`` hasn't deleted yet.
+#: The work tables of the run that this thread is in; none outside of ``tables_of_run``.
+_RUN: ContextVar[list[str] | None] = ContextVar("work tables of the run", default=None)
+
+
+@contextmanager
+def tables_of_run() -> Iterator[list[str]]:
+    """The work tables that are written inside, the oldest first: a list of its own for each run, so that runs in other threads keep theirs."""
+    own: list[str] = []
+    token = _RUN.set(own)
+    try:
+        yield own
+    finally:
+        _RUN.reset(token)
+
+
 _WRITTEN: list[str] = []
 
 
+def work_tables() -> list[str]:
+    return list(_WRITTEN)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new place in ``spark.checkpoint.dir``, the folder that driver and executors share.
 
@@ -72,21 +92,17 @@ def kept(df: DataFrame) -> DataFrame:
     at = shared_folder(df.sparkSession)
     df.write.parquet(at)
     _WRITTEN.append(at)
+    own = _RUN.get()
+    if own is not None:
+        own.append(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def work_tables() -> list[str]:
-    """The work tables that are there, the oldest first."""
-    return list(_WRITTEN)
-
-
 def dropped(spark: SparkSession, tables: list[str]) -> None:
     """Deletes work tables that no DataFrame reads any more."""
     for at in tables:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        if at in _WRITTEN:
-            _WRITTEN.remove(at)
 
 
 def text_of(column: str = "text") -> Column:

@@ -5,11 +5,12 @@ import random
 import time
 
 import numpy as np
-import pyarrow.parquet as pq
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 import zstandard
+from pyspark.sql import functions as F
 
 from meterlight.llm import bpe, lattice_lm, mixing, near_join, search, secret_scan, surrogates, toxicity, warc
 
@@ -255,3 +256,35 @@ def test_dense_forms_get_longer_stand_ins(spark):
     assert len(new) == len(texts) and not new & set(texts)
     assert all(r.entities[0].kind == "email" and r.text.endswith(" now") for r in got)
     assert surrogates.stand_in(b"k", "phone", "1234567", 10).isdigit() and len(surrogates.stand_in(b"k", "phone", "1234567", 10)) == 9
+
+
+def test_runs_have_their_own_work_tables(spark):
+    import threading
+
+    from meterlight.llm.shared import dropped, kept, tables_of_run
+
+    seen, first, second = {}, threading.Event(), threading.Event()
+
+    def run(name, mine, other):
+        with tables_of_run() as own:
+            rows = kept(spark.range(3))
+            mine.set()
+            other.wait(60)
+            last = kept(rows.withColumn("x", F.lit(1)))
+            dropped(spark, own[:-1])
+            seen[name] = len(own), last.count()
+
+    threads = [threading.Thread(target=run, args=a) for a in (("a", first, second), ("b", second, first))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert seen == {"a": (2, 3), "b": (2, 3)}
+    kept(spark.range(1))
+
+
+def test_toxicity_sample_is_of_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 70}") for k in range(300)] + [(2, "same")] * 200 + [(3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1), (None, 1)], "doc_id long, toxic int")
+    texts, y = toxicity.labelled_sample(docs, labels, toxic_rows=20, clean_rows=10)
+    assert (len(texts), sum(y)) == (22, 20) and sorted(t for t, n in zip(texts, y, strict=True) if not n) == ["", "same"]
