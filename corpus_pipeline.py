@@ -18,7 +18,7 @@ from meterlight.llm.bpe import ByteBPE, round_trip_documents
 from meterlight.llm.exact_dedup import exact_dedup
 from meterlight.llm.mixing import mixed_texts
 from meterlight.llm.near_join import near_join
-from meterlight.llm.shared import documents, dropped, kept, small_batches, work_tables
+from meterlight.llm.shared import documents, dropped, kept, small_batches, tables_of_run
 from meterlight.llm.toxicity import score_documents
 
 
@@ -71,9 +71,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Each stage's result is a work table; what the stage needed on the way goes when it is written."""
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
-        before = work_tables()
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = kept(docs)
-            dropped(spark, [t for t in work_tables()[:-1] if t not in before])
+        with tables_of_run() as own:
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = kept(docs)
+                dropped(spark, own[:-1])
     return docs
