@@ -61,13 +61,6 @@ def tables_of_run() -> Iterator[list[str]]:
         _RUN.reset(token)
 
 
-_WRITTEN: list[str] = []
-
-
-def work_tables() -> list[str]:
-    return list(_WRITTEN)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new place in ``spark.checkpoint.dir``, the folder that driver and executors share.
 
@@ -91,7 +84,6 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and not lost with an executor."""
     at = shared_folder(df.sparkSession)
     df.write.parquet(at)
-    _WRITTEN.append(at)
     own = _RUN.get()
     if own is not None:
         own.append(at)
