@@ -13,7 +13,7 @@ from meterlight.operators.usage import CELL, summed, usd
 from meterlight.plans.pricing import PriceTable
 from meterlight.state.store import Store
 from meterlight.state.warm import CELLS, SUMS
-from meterlight.streaming.live import deduped, state_store
+from meterlight.streaming.live import state_store
 from meterlight.streaming.sessions import Limits, turns
 
 VERSION = 1
@@ -137,16 +137,17 @@ class Served:
         )
 
 
-def serve(events: DataFrame, served: Served, checkpoint: str, within: str | None = None, interval: str = "250 milliseconds", history: dict | None = None, live: bool = True) -> StreamingQuery | None:
+def serve(rows: DataFrame, served: Served, checkpoint: str, interval: str = "250 milliseconds", history: dict | None = None, live: bool = True) -> StreamingQuery | None:
     """Reads history to its end, publishes, and then follows the stream, at most a batch an ``interval``, from the same checkpoint.
 
-    Repeats are dropped once, before all consumers. ``history``: the trigger of the first run. Without ``live`` it ends there.
+    ``rows`` has no repeats (``live.deduped``, ``live.live_deduped``), so that they are dropped once for all consumers.
+    ``history``: the trigger of the first run; one for files that grow is ``{"once": True}``. Without ``live`` it ends there.
     """
 
     def writer():
-        return deduped(events, within).writeStream.option("checkpointLocation", checkpoint).foreachBatch(served.add)
+        return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(served.add)
 
-    with state_store(events.sparkSession):
+    with state_store(rows.sparkSession):
         writer().trigger(**(history or {"availableNow": True})).start().awaitTermination()
         served.publish()
         return writer().trigger(processingTime=interval).start() if live else None

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import IntegralType
 
 from meterlight.plans.pricing import PriceTable, component, cost, priced
 
@@ -134,7 +135,9 @@ def turns(events: DataFrame, table: PriceTable | None = None) -> DataFrame:
     cache = F.when(F.col("costed"), 0.0).otherwise(component("tok_cw", "rate_cw"))
     context = F.col("tok_in") + F.col("tok_cw") + F.col("tok_cr")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return rows.where("ts is not null").select(F.col("session_id").cast("string").alias("session_id"), at.alias("at"), F.col("ord").cast("string").alias("ord"), "project", "model", "is_sub", paid.alias("usd"), cache.alias("cache"), context.alias("context"))
+    # as text, which sorts as it did
+    order = F.lpad(F.col("ord").cast("string"), 20, "0") if isinstance(rows.schema["ord"].dataType, IntegralType) else F.col("ord").cast("string")
+    return rows.where("ts is not null").select(F.col("session_id").cast("string").alias("session_id"), at.alias("at"), order.alias("ord"), "project", "model", "is_sub", paid.alias("usd"), cache.alias("cache"), context.alias("context"))
 
 
 def session_views(events: DataFrame, limits: Limits = Limits(), table: PriceTable | None = None) -> DataFrame:

@@ -236,7 +236,7 @@ def test_one_stream_for_cells_and_sessions(spark, tmp_path):
     later = [event(6, base + dt.timedelta(minutes=7), tok=5000), event(7, base, message="m1"), event(8, base - dt.timedelta(days=1)), event(9, base + dt.timedelta(minutes=7), session="s3")]
     for k, rows in enumerate([first[:2], first[2:]]):
         spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(str(folder))
-    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    stream = live.deduped(spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(folder)))
     served = Served(spark, at)
     seen = []
     plain = served.add
@@ -286,3 +286,43 @@ def test_parts_are_summed(spark, tmp_path, monkeypatch):
     assert served.cells().select(want.columns).collect() == want.collect()
     (one,) = served.sessions(base + dt.timedelta(minutes=5)).collect()
     assert (one.turns, one.usd_5m) == (5, one.usd)
+
+
+def said(n, mid):
+    keys = ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
+    return {"type": "assistant", "timestamp": "2024-01-02T03:04:05Z", "sessionId": "s", "requestId": "r", "message": {"id": mid, "model": "claude-opus-4-7", "usage": dict.fromkeys(keys, n)}}
+
+
+def turn(prompt):
+    u = {"inputTokens": 100, "outputTokens": 5, "cachedReadTokens": 40, "costUsdTicks": 2e9}
+    return {"timestamp": 1704164645, "params": {"sessionId": "g", "update": {"sessionUpdate": "turn_completed", "prompt_id": prompt, "usage": u}}}
+
+
+def test_three_vendors_live(spark, tmp_path):
+    """Files of all vendors grow under one stream, with repeats; what is served is what the batch makes of the whole files."""
+    a, c, g = (tmp_path / x for x in "acg")
+    append(a / "p" / "u.jsonl", said(1, "m1"), said(2, "m2"), tail=line(said(3, "m3"))[:40])
+    append(c / "rollout-1.jsonl", meta("c", "/w"), totals(100, 40, 10))
+    append(g / "%2Fw" / "s" / "updates.jsonl", turn("t1"))
+    sources = [jsonl.Source("claude", "x", str(a)), jsonl.Source("codex", "y", str(c)), jsonl.Source("grok", "z", str(g))]
+    served = Served(spark, str(tmp_path / "served"))
+
+    def follow():
+        serve(live.live_deduped(spark, sources), served, str(tmp_path / "cp"), history={"once": True}, live=False)
+
+    def batch():
+        return U.cells(U.dedupe(jsonl.events(spark, sources)).where("not coverage_only"))
+
+    def table(df):
+        return sorted(map(tuple, df.select(batch().columns).collect()), key=repr)
+
+    follow()
+    assert table(served.cells()) == table(batch())
+    append(a / "p" / "u.jsonl", said(1, "m1"), tail=b"")
+    append(a / "p" / "v.jsonl", said(9, "m2"), said(4, "m4"))
+    append(c / "rollout-1.jsonl", model("gpt-x"), totals(100, 40, 10), totals(250, 50, 12))
+    append(g / "%2Fw" / "s" / "updates.jsonl", turn("t1"), turn("t2"))
+    follow()
+    assert table(served.cells()) == table(batch()) and served.cells().count() == 4
+    sessions = {r.session_id: r.turns for r in served.sessions(dt.datetime(2024, 1, 2, 3, 10)).collect()}
+    assert sessions == {"s": 3, "c": 2, "g": 2}
