@@ -103,7 +103,8 @@ def delivered(sessions: DataFrame, commits: DataFrame, repos: DataFrame) -> Data
     """``sessions`` (session_id, repo, start, end and more) with ``commits``: how many landed from the start to a minute after the end.
 
     Null says that it isn't known: the session has no start or repository, or none of ``repos`` is it. That isn't zero.
-    Commits meet sessions by repository and day, so that a busy repository isn't one group; a session counts the days it spans.
+    Commits meet sessions by repository and day, so that a busy repository isn't one group; a session is a row for each day that it
+    spans, so one with a time of decades ago costs thousands of rows (and counts the commits of all these days, as its bounds say).
     """
     upto = F.col("end") + F.expr("interval 1 minute")
     days = sessions.where("start is not null and repo is not null").select("session_id", "repo", "start", upto.alias("upto"), F.explode(F.sequence(F.to_date("start"), F.to_date(upto))).alias("day"))

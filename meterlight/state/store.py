@@ -16,7 +16,8 @@ class Store:
     """Tables are written to a folder of their generation and named by its manifest, which is put in place by a rename.
 
     What a run that broke off has written is named by no manifest. A manifest of another ``version`` counts as none, so
-    that the next run starts anew. ``keep`` manifests before the newest stay with what they name, for those who still read it.
+    that the next run starts anew. Two runs at once are told apart where a rename doesn't replace a file, as on local disks and
+    HDFS; on stores that copy instead, one run at a time is the caller's care. ``keep`` manifests before the newest stay with what they name, for those who still read it.
     """
 
     def __init__(self, spark: SparkSession, at: str, version: int, keep: int = 1):
