@@ -35,9 +35,43 @@ def fmt_duration(seconds: Column) -> Column:
 
 
 def short_project(name: Column) -> Column:
-    """A project's directory name without its first four parts; short names stay."""
-    parts = F.split(name, "-")
-    return F.when(F.size(parts) > 4, F.array_join(F.slice(parts, 5, F.size(parts)), "-")).otherwise(name)
+    """A project's directory name: a leading dash doesn't count, then the first four parts go; names of up to four stay, and of none there is (unknown)."""
+    parts = F.split(F.regexp_replace(name, "^-", ""), "-")
+    tail = F.array_join(F.slice(parts, 5, F.greatest(F.size(parts), F.lit(1))), "-")
+    return F.when(name == "", "(unknown)").when((F.size(parts) <= 4) | (tail == ""), name).otherwise(tail)
+
+
+def short_project_tail(name: Column) -> Column:
+    """As the full view has it: what stands after the last slash, else ``short_project``."""
+    return F.when(name.contains("/"), F.substring_index(name, "/", -1)).otherwise(short_project(name))
+
+
+def short_project_name(name: Column) -> Column:
+    """As notifications have it: parts that are empty don't count, and a leading dash is dropped where the name stays."""
+    bare = F.regexp_replace(name, "^-", "")
+    parts = F.filter(F.split(bare, "-"), lambda x: x != "")
+    return F.when(name == "", "(unknown)").when(F.size(parts) <= 4, bare).otherwise(F.array_join(F.slice(parts, 5, F.greatest(F.size(parts), F.lit(1))), "-"))
+
+
+def _by_family(model: Column, names: dict[str, str]) -> Column:
+    out = model
+    for part, name in reversed(names.items()):
+        out = F.when(model.contains(part), name).otherwise(out)
+    return out
+
+
+def short_model(model: Column) -> Column:
+    """Opus, Sonnet or Haiku; others stay."""
+    return _by_family(model, {"opus": "Opus", "sonnet": "Sonnet", "haiku": "Haiku"})
+
+
+def short_model_tag(model: Column) -> Column:
+    return _by_family(model, {"opus": "opus", "sonnet": "sonnet", "haiku": "haiku"})
+
+
+def trimmed_right(s: Column, n: int) -> Column:
+    """At most ``n`` bytes with an ellipsis counted as one; cut between bytes, so that part of a character stays as a replacement mark."""
+    return F.when(F.octet_length(s) > n, F.concat(F.decode(F.substring(F.encode(s, "UTF-8"), 1, n - 1), "UTF-8"), F.lit("…"))).otherwise(s)
 
 
 def short_day(day: Column) -> Column:

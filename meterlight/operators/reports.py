@@ -24,6 +24,11 @@ def container_likely(cwd: Column, home: str = "/Users/jane") -> Column:
     return (cwd != "") & ~host
 
 
+def prompts_since(prompts: DataFrame, since: dt.datetime | None) -> DataFrame:
+    """Prompts from a time on; one without a time is before any. Sessions without prompts left are dropped by what counts them."""
+    return prompts if since is None else prompts.where(F.col("ts") >= F.lit(since))
+
+
 def safety_sessions(prompts: DataFrame) -> DataFrame:
     counts = [F.count_if(F.col("mode") == m).alias(m) for m in MODES]
     return prompts.where("mode <> ''").groupBy("session_id").agg(
@@ -32,16 +37,16 @@ def safety_sessions(prompts: DataFrame) -> DataFrame:
     ).withColumn("container", container_likely(F.col("cwd")))
 
 
-def safety(prompts: DataFrame) -> DataFrame:
-    rows = safety_sessions(prompts).groupBy("project").agg(
+def safety(prompts: DataFrame, since: dt.datetime | None = None) -> DataFrame:
+    rows = safety_sessions(prompts_since(prompts, since)).groupBy("project").agg(
         F.sum("turns").alias("turns"), F.count("*").alias("sessions"), *(F.sum(m).alias(m) for m in MODES),
         F.count_if("container").alias("container_sessions"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("entrypoint") != "", F.col("entrypoint")))), ",").alias("entrypoints"),
     )
     return rows.withColumn("bypass_pct", F.round(100.0 * F.col(BYPASS) / F.col("turns"), 8))
 
 
-def safety_summary(prompts: DataFrame) -> DataFrame:
-    s = safety_sessions(prompts)
+def safety_summary(prompts: DataFrame, since: dt.datetime | None = None) -> DataFrame:
+    s = safety_sessions(prompts_since(prompts, since))
     by_project = s.groupBy("project").agg(F.sum(BYPASS).alias("b"), F.sum("turns").alias("t"), F.count_if(F.col("container") & (F.col(BYPASS) > 0)).alias("c"))
     out = by_project.agg(F.sum("t").alias("turns"), F.sum("b").alias("bypass_turns"), F.count_if(F.col("b") > 0).alias("bypass_projects"), F.sum("c").alias("container_sessions"))
     return out.withColumn("bypass_pct", F.round(F.when(F.col("turns") > 0, 100.0 * F.col("bypass_turns") / F.col("turns")).otherwise(0.0), 8))

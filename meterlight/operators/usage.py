@@ -82,6 +82,21 @@ def coverage(events: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("fraction", F.round(fraction, 8)).withColumn("partial", fraction < 0.95)
 
 
+PERIODS = {"day": day_of, "week": week_of, "month": month_of}
+
+
+def period(cells: DataFrame, covered: DataFrame, kind: str, as_of: dt.date, table: PriceTable | None = None) -> DataFrame:
+    """Series of a day, a week or a month, each with the coverage of its vendor in the same days: null where nothing there says whether it reports usage.
+
+    ``covered``: ``day, vendor, turns, with_usage``.
+    """
+    inside = PERIODS[kind](as_of)
+    share = covered.where(inside).groupBy("vendor").agg(F.sum("turns").alias("turns"), F.sum("with_usage").alias("with_usage"))
+    fraction = F.round(F.when(F.col("turns") == 0, 1.0).otherwise(F.col("with_usage") / F.col("turns")), 8)
+    series = priced_sums(cells.where(inside), ["source", "vendor", "model"], table)
+    return series.join(share.select("vendor", fraction.alias("coverage")), "vendor", "left").select("source", "vendor", "model", "usd", "tokens", "coverage")
+
+
 def calendar(df: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
     """The last ``days`` days, one row each."""
     spark = df.sparkSession

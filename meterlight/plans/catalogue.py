@@ -528,6 +528,15 @@ def bucket_labels(spark, d):
     return days.select("day", *(R.bucket(F.col("day"), k).alias(f"by_{k}") for k in ("day", "week", "month")))
 
 
+@query
+def short_names(spark, d):
+    """Projects and models as the views shorten them."""
+    name = F.concat(F.when(F.col("c_custkey") % 2 == 0, "-").otherwise(""), F.concat_ws("-", F.lit("Users"), F.lit("x"), F.when(F.col("c_custkey") % 3 > 0, "src"), F.lit(""), (F.col("c_custkey") % 7).cast("string"), F.when(F.col("c_custkey") % 5 == 0, "a/b")))
+    model = F.concat(F.element_at(F.array(*map(F.lit, ("claude-opus-4", "sonnet", "haiku-x", "grok"))), (F.col("c_custkey") % 4 + 1).cast("int")), F.lit("é"))
+    short = (T.short_project(name).alias("key"), T.short_project_tail(name).alias("tail"), T.short_project_name(name).alias("name"), T.short_model(model).alias("model"), T.short_model_tag(model).alias("tag"))
+    return A.table(spark, d, "customer").select("c_custkey", *short, T.trimmed_right(F.col("c_name"), 9).alias("cut"))
+
+
 @query
 def short_project(spark, d):
     return A.table(spark, d, "customer").select("c_custkey", T.short_project(F.concat(F.lit("-Users-x-src-"), F.concat_ws("-", (F.col("c_custkey") % 7).cast("string"), "c_name"))).alias("short"))
@@ -668,6 +677,18 @@ def series_ranked(spark, d):
     return U.ranked_share(U.priced_sums(_scope(spark, d, U.month_of(AS_OF)), SERIES)).select("place", *SERIES, "usd", "share")
 
 
+def _period(kind: str) -> Query:
+    def run(spark, d):
+        covered = U.coverage(U.dedupe(A.usage_events(spark, d)), ["day", "vendor"])
+        return U.period(_cells(spark, d), covered, kind, AS_OF)
+
+    return run
+
+
+for _kind in U.PERIODS:
+    QUERIES[f"period_{_kind}"] = _period(_kind)
+
+
 @query
 def once_summary(spark, d):
     return U.once(A.usage_events(spark, d), AS_OF)
@@ -689,6 +710,9 @@ def billing_latest(spark, d):
 # Repositories of projects: of each project's first directory, the nearest folder above it that is a work tree's root.
 
 
+SINCE = dt.datetime(2024, 1, 8, 15)
+
+
 def _project_days(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Spend by project and day, and the roots of two thirds of the projects."""
     cwd = F.concat(F.lit("/home/me/"), F.col("project"), F.when(F.col("ord") % 2 == 0, "/src/deep").otherwise("/doc/"))
@@ -700,11 +724,13 @@ def _project_days(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def roi_projects(spark, d):
+    """From the day of ``SINCE`` on."""
     days, roots = _project_days(spark, d)
     commits = A.commits(spark, d).withColumn("repo", F.concat(F.lit("/home/me/proj-"), F.col("repo").cast("string")))
-    return R.returns(G.repository_days(days, roots), commits.join(roots.select(F.col("root").alias("repo")).distinct(), "repo", "left_semi"), "week")
+    commits = commits.where(F.col("day") >= F.lit(SINCE.date()))
+    return R.returns(G.repository_days(days, roots, SINCE), commits.join(roots.select(F.col("root").alias("repo")).distinct(), "repo", "left_semi"), "week")
 
 
 @query
 def roi_skipped(spark, d):
-    return G.skipped(*_project_days(spark, d))
+    return G.skipped(*_project_days(spark, d), SINCE)

@@ -182,13 +182,13 @@ def _by(*keys: str) -> str:
 _BUCKET = {"day": "strftime({d}, '%Y-%m-%d')", "month": "strftime({d}, '%Y-%m')", "week": "format('{{:04d}}-W{{:02d}}', isoyear({d}), week({d}))"}
 
 
-def _roi(kind: str, only: str = "true") -> str:
+def _roi(kind: str, only: str = "true", since: str = "true") -> str:
     b = _BUCKET[kind].format(d="day")
     ratio = lambda n: f"round(CASE WHEN coalesce({n}, 0) > 0 THEN coalesce(usd, 0) / {n} ELSE 0 END, 8)"
     return f"""SELECT repo, bucket, round(coalesce(usd, 0), 8) AS usd, coalesce(tokens, 0) AS tokens, coalesce(commits, 0) AS commits, coalesce(my_commits, 0) AS my_commits, coalesce(lines, 0) AS lines, coalesce(my_lines, 0) AS my_lines,
       {ratio('my_commits')} AS usd_per_commit, {ratio('my_lines')} AS usd_per_line
-    FROM (SELECT cast(regexp_extract(project, '(\\d+)$', 1) AS bigint) AS repo, {b} AS bucket, sum(usd) AS usd, cast(sum(tokens) AS bigint) AS tokens FROM ({_sums('cells', 'project', 'day')}) GROUP BY ALL HAVING {only})
-    FULL OUTER JOIN (SELECT repo, {b} AS bucket, count(*) AS commits, count(*) FILTER (mine) AS my_commits, cast(sum(added + deleted) AS bigint) AS lines, cast(sum(CASE WHEN mine THEN added + deleted ELSE 0 END) AS bigint) AS my_lines FROM cm WHERE {only} GROUP BY 1, 2) USING (repo, bucket)"""
+    FROM (SELECT cast(regexp_extract(project, '(\\d+)$', 1) AS bigint) AS repo, {b} AS bucket, sum(usd) AS usd, cast(sum(tokens) AS bigint) AS tokens FROM ({_sums('cells', 'project', 'day')}) WHERE {since} GROUP BY ALL HAVING {only})
+    FULL OUTER JOIN (SELECT repo, {b} AS bucket, count(*) AS commits, count(*) FILTER (mine) AS my_commits, cast(sum(added + deleted) AS bigint) AS lines, cast(sum(CASE WHEN mine THEN added + deleted ELSE 0 END) AS bigint) AS my_lines FROM cm WHERE {only} AND {since} GROUP BY 1, 2) USING (repo, bucket)"""
 
 
 _PLANS = f"""(SELECT vendor, window_minutes, CASE WHEN window_minutes < 1440 THEN (window_minutes // 60) || 'h' WHEN window_minutes = 1440 THEN '24h' ELSE (window_minutes // 1440) || 'd' END AS label, pct, observed, resets_at, resets_at < {_NOW} AS stale
@@ -307,7 +307,7 @@ _BODIES: dict[str, str] = {
     "fmt_tokens": f"""SELECT event_id, CASE WHEN n >= 1000000000 THEN printf('%.2fB', n / 1e9) WHEN n >= 1000000 THEN printf('%.1fM', n / 1e6) WHEN n >= 1000 THEN printf('%.0fK', n / 1e3) ELSE cast(n AS varchar) END AS tokens,
       CASE WHEN n < 1000 THEN cast(n AS varchar) WHEN n < 1000000 THEN printf('%.1fk', n / 1000.0) ELSE printf('%.1fM', n / 1e6) END AS short FROM (SELECT event_id, {_N} AS n FROM events)""",
     "bucket_labels": f"SELECT DISTINCT day, {', '.join(f'{b.format(d="day")} AS by_{k}' for k, b in _BUCKET.items())} FROM (SELECT cast(o_orderdate AS date) AS day FROM orders)",
-    "short_project": "SELECT c_custkey, array_to_string(string_split('-Users-x-src-' || (c_custkey % 7) || '-' || c_name, '-')[5:], '-') AS short FROM customer",
+    "short_project": "SELECT c_custkey, array_to_string(string_split('Users-x-src-' || (c_custkey % 7) || '-' || c_name, '-')[5:], '-') AS short FROM customer",
 }
 
 
@@ -378,6 +378,14 @@ def _once_total(place: int, name: str, rows: str) -> str:
     return f"SELECT 'total' AS section, cast({place} AS int) AS place, '{name}' AS name, cast(coalesce(round(sum(usd), 8), 0) AS double) AS usd, {_ONCE_TOKENS}, {_ONCE} AS main_usd, {_ONCE} AS sub_usd, cast(0 AS bigint) AS count FROM ({rows})"
 
 
+_KEY = "CASE WHEN len(parts) <= 4 OR array_to_string(parts[5:], '-') = '' THEN n ELSE array_to_string(parts[5:], '-') END"
+
+
+def _period(cond: str) -> str:
+    shares = f"(SELECT vendor, round(sum(turns_with) / sum(turns), 8) AS coverage FROM (SELECT cast(ts AS date) AS day, vendor, count(*) AS turns, count(*) FILTER (has_usage) AS turns_with FROM dd WHERE costed GROUP BY 1, 2) WHERE {cond} GROUP BY 1)"
+    return f"SELECT source, vendor, model, usd, tokens, coverage FROM ({_sums(_where('cells', cond), 'source', 'vendor', 'model')}) LEFT JOIN {shares} USING (vendor)"
+
+
 _NO_TOKENS = ", ".join("cast(0 AS bigint)" for _ in _TOK)
 _BODIES |= {
     "delivery_flag": _LANDED,
@@ -400,8 +408,14 @@ _BODIES |= {
     ]),
     "billing_latest": f"""SELECT 'grok' AS vendor, 'wk' AS label, value AS pct, date_trunc('second', cast(ts AS timestamp)) AS observed, date_trunc('second', cast(ts AS timestamp)) + interval 7 day AS resets_at, date_trunc('second', cast(ts AS timestamp)) + interval 7 day < {_NOW} AS stale, event_type AS plan
       FROM events WHERE event_id % 3 = 0 ORDER BY date_trunc('second', cast(ts AS timestamp)) DESC, event_id LIMIT 1""",
-    "roi_projects": f"SELECT '/home/me/proj-' || repo AS repo, * EXCLUDE (repo) FROM ({_roi('week', 'repo < 12 AND repo % 3 <> 0')})",
-    "roi_skipped": f"SELECT count(*) AS skipped FROM ({_sums('cells', 'project', 'day')}) WHERE cast(regexp_extract(project, '(\\d+)$', 1) AS bigint) % 3 = 0",
+    "roi_projects": f"SELECT '/home/me/proj-' || repo AS repo, * EXCLUDE (repo) FROM ({_roi('week', 'repo < 12 AND repo % 3 <> 0', "day >= date '2024-01-08'")})",
+    "roi_skipped": f"SELECT count(*) AS skipped FROM ({_sums('cells', 'project', 'day')}) WHERE cast(regexp_extract(project, '(\\d+)$', 1) AS bigint) % 3 = 0 AND day >= date '2024-01-08'",
+    **{f"period_{k}": _period(c) for k, c in (("day", _DAY), ("week", _WEEK), ("month", _MONTH))},
+    "short_names": f"""SELECT c_custkey, {_KEY} AS key, CASE WHEN contains(n, '/') THEN string_split(n, '/')[-1] ELSE {_KEY} END AS tail, CASE WHEN len(whole) <= 4 THEN bare ELSE array_to_string(whole[5:], '-') END AS name,
+      CASE c_custkey % 4 WHEN 0 THEN 'Opus' WHEN 1 THEN 'Sonnet' WHEN 2 THEN 'Haiku' ELSE 'groké' END AS model, CASE c_custkey % 4 WHEN 0 THEN 'opus' WHEN 1 THEN 'sonnet' WHEN 2 THEN 'haiku' ELSE 'groké' END AS tag,
+      CASE WHEN strlen(c_name) > 9 THEN c_name[1:8] || '…' ELSE c_name END AS cut
+      FROM (SELECT *, string_split(bare, '-') AS parts, list_filter(string_split(bare, '-'), lambda x: x <> '') AS whole FROM (SELECT *, regexp_replace(n, '^-', '') AS bare FROM (SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN '-' ELSE '' END || 'Users-x-'
+        || CASE WHEN c_custkey % 3 > 0 THEN 'src-' ELSE '' END || '-' || (c_custkey % 7) || CASE WHEN c_custkey % 5 = 0 THEN '-a/b' ELSE '' END AS n FROM customer)))""",
 }
 
 ORACLE_SQL: dict[str, str] = {name: BASE + (", " + body.removeprefix("WITH ") if body.startswith("WITH ") else body) for name, body in _BODIES.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import configparser
+import datetime as dt
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterlight.operators.rankings import clamped
 from meterlight.operators.usage import cells, priced_sums, usd
 from meterlight.plans.pricing import PriceTable
 
@@ -78,11 +80,16 @@ def project_days(events: DataFrame, table: PriceTable | None = None) -> DataFram
     return priced_sums(cells(events), ["project", "day"], table).select("project", "day", "usd", "tokens").join(named, "project", "left").select("project", F.coalesce("cwd", F.lit("")).alias("cwd"), "day", "usd", "tokens")
 
 
-def repository_days(days: DataFrame, roots: DataFrame) -> DataFrame:
-    """``repo, day, usd, tokens``: ``project_days`` by the root that their directory resolves to; projects that share one are one. Days of projects without a root are left out."""
+def repository_days(days: DataFrame, roots: DataFrame, since: dt.datetime | None = None) -> DataFrame:
+    """``repo, day, usd, tokens``: ``project_days`` by the root that their directory resolves to; projects that share one are one.
+
+    Days of projects without a root are left out, and days before that of ``since``, as commits are asked for since then.
+    """
+    days = days if since is None else clamped(days, since)
     return days.join(roots.select("cwd", F.col("root").alias("repo")), "cwd").groupBy("repo", "day").agg(usd(F.sum("usd")).alias("usd"), F.sum("tokens").alias("tokens"))
 
 
-def skipped(days: DataFrame, roots: DataFrame) -> DataFrame:
-    """How many of ``project_days`` have no repository."""
+def skipped(days: DataFrame, roots: DataFrame, since: dt.datetime | None = None) -> DataFrame:
+    """How many of ``project_days`` have no repository; days before ``since`` aren't skipped, they don't count."""
+    days = days if since is None else clamped(days, since)
     return days.join(roots.select("cwd"), "cwd", "left_anti").agg(F.count("*").alias("skipped"))

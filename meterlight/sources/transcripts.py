@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,9 +22,10 @@ TARGETS = ("command", "file_path", "path", "pattern", "url", "query", "skill", "
 SUBAGENTS = "/subagents/"
 
 
-def session_lines(spark: SparkSession, source: Source) -> DataFrame:
-    """``lines_of_sessions`` of all files of the source."""
-    return lines_of_sessions(lines(spark, source, longest=LONGEST), source.root)
+def session_lines(spark: SparkSession, source: Source, not_before: dt.datetime | None = None, main_only: bool = False) -> DataFrame:
+    """``lines_of_sessions`` of the source's files: of all, of those changed since a time, or of main transcripts alone."""
+    rows = lines(spark, source, not_before, longest=LONGEST)
+    return lines_of_sessions(rows.where(~F.col("path").contains(SUBAGENTS)) if main_only else rows, source.root)
 
 
 def session_of(path: Column, root: str) -> Column:
