@@ -606,8 +606,7 @@ DELIVERY_USD = 2.0
 
 
 def _delivered(spark: SparkSession, d: str) -> DataFrame:
-    spent = S.turns(A.usage_events(spark, d)).groupBy("session_id").agg(U.usd(F.sum("usd")).alias("usd"))
-    rows = spent.join(S.bounds(A.usage_events(spark, d)).select("session_id", "start", "end"), "session_id")
+    rows = S.per_session(A.usage_events(spark, d)).where("turns > 0").select("session_id", U.usd(F.col("usd")).alias("usd"), "start", "end")
     rows = rows.withColumn("repo", F.col("session_id") % 40).withColumn("has_pr", F.col("session_id") % 7 == 0)
     commits = A.commits(spark, d)
     return K.delivered(rows, commits.where(F.col("repo") % BARE != 0), commits.select("repo"))
