@@ -103,13 +103,21 @@ def delivered(sessions: DataFrame, commits: DataFrame, repos: DataFrame) -> Data
     """``sessions`` (session_id, repo, start, end and more) with ``commits``: how many landed from the start to a minute after the end.
 
     Null says that it isn't known: the session has no start or repository, or none of ``repos`` is it. That isn't zero.
-    Commits meet sessions by repository and day, so that a busy repository isn't one group; a session is a row for each day that it
-    spans, so one with a time of decades ago costs thousands of rows (and counts the commits of all these days, as its bounds say).
+    Commits are counted, not paired with sessions: a session's are those up to its end less those before its start. Both are read
+    off a running count by repository and day, so that a busy repository isn't one group, with what the days before came to.
     """
     upto = F.col("end") + F.expr("interval 1 minute")
-    days = sessions.where("start is not null and repo is not null").select("session_id", "repo", "start", upto.alias("upto"), F.explode(F.sequence(F.to_date("start"), F.to_date(upto))).alias("day"))
-    made = commits.select("repo", "at", F.to_date("at").alias("day"))
-    met = days.join(made, ["repo", "day"]).where("at between start and upto").groupBy("session_id").agg(F.count("*").alias("n"))
+    bound = lambda at, kind, sign: F.struct(at.alias("at"), F.lit(kind).alias("kind"), F.lit(sign).alias("sign"))
+    bounds = sessions.where("repo is not null").where(upto >= F.col("start")).select("session_id", "repo", F.explode(F.array(bound(F.col("start"), 0, -1), bound(upto, 2, 1))).alias("b"))
+    bounds = bounds.select("session_id", "repo", "b.*", F.lit(0).cast("long").alias("n"))
+    made = commits.where("repo is not null and at is not null").groupBy("repo", "at").agg(F.count("*").alias("n"))
+    # at the same time a start stands before the commits, an end after them
+    rows = bounds.unionByName(made.withColumn("kind", F.lit(1)), allowMissingColumns=True).withColumn("day", F.to_date("at"))
+    earlier = W.partitionBy("repo").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    days = rows.groupBy("repo", "day").agg(F.sum("n").alias("n")).select("repo", "day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = W.partitionBy("repo", "day").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = rows.withColumn("_upto", F.sum("n").over(within)).where("sign is not null").join(days, ["repo", "day"])
+    met = counted.groupBy("session_id").agg(F.sum(F.col("sign") * (F.col("before") + F.col("_upto"))).alias("n"))
     known = repos.select("repo").distinct().withColumn("known", F.lit(True))
     rows = sessions.join(known, "repo", "left").join(met, "session_id", "left")
     sure = F.col("known") & F.col("start").isNotNull()

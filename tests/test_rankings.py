@@ -27,6 +27,20 @@ def test_delivery_tells_unknown_from_zero(spark):
     assert {r.session_id: (r.findings, r.score) for r in K.with_delivery(reports, found).collect()} == {8: (2, 3.5), 6: (0, 0.5)}
 
 
+def test_commits_are_counted_without_pairs(spark):
+    """Of a busy repository: rows that are joined grow with sessions and commits, not with their product, nor with the days of a session."""
+    t = lambda n: T(2024, 1, 1) + dt.timedelta(seconds=n)
+    spans = [(k, "a" if k % 3 else "b", t(k * 1000), t(k * 1000 + k * k * 40)) for k in range(60)] + [(60, "a", T(1, 1, 1), T(9999, 1, 1)), (61, "a", t(9), t(-99_999))]
+    made = [("a" if n % 5 else "b", t(n % 70 * 1500)) for n in range(700)]
+    sessions = spark.createDataFrame(spans, "session_id int, repo string, start timestamp_ntz, end timestamp_ntz")
+    commits = spark.createDataFrame(made, "repo string, at timestamp_ntz")
+    got = K.delivered(sessions, commits, commits.select("repo"))
+    want = {k: sum(r == repo and start <= at <= end + dt.timedelta(minutes=1) for r, at in made) for k, repo, start, end in spans}
+    assert {r.session_id: r.commits for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "<= upto" not in plan
+
+
 def test_owner_is_the_longest_root(spark):
     paths = spark.createDataFrame([("/h/a/x.jsonl",), ("/h/a/b/y.jsonl",), ("/h/ab/z.jsonl",), ("/q",)], "path string")
     sources = spark.createDataFrame([("one", "/h/a/"), ("two", "/h/a/b")], "id string, root string")
