@@ -133,7 +133,7 @@ class Served:
         none = lambda c: usd(F.coalesce(F.col(c), F.lit(0.0)))
         return rows.select(
             "session_id", "project", F.col("main.model").alias("model"), usd(F.col("usd")).alias("usd"), none("usd_5m").alias("usd_5m"), none("cache_5m").alias("cache_5m"), context.alias("context"),
-            F.round(F.least(F.lit(1.0), context / F.coalesce(window, F.lit(200_000))), 8).alias("pct"), "turns", "subs", F.floor(F.col("last") - F.col("first")).alias("age"),
+            F.round(F.least(F.lit(1.0), context / F.coalesce(window, F.lit(200_000))), 8).alias("pct"), "turns", "subs", F.floor(F.round((F.col("last") - F.col("first")) * 1e6) / 1e6).alias("age"),
         )
 
 

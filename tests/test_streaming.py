@@ -16,7 +16,7 @@ from meterlight.streaming import live
 from meterlight.streaming.codex import Parser
 from meterlight.streaming.serve import Served, serve
 from meterlight.streaming.sessions import VIEW, Limits, Session, session_views
-from meterlight.streaming.tail import Index
+from meterlight.streaming.tail import OPEN, TASK, Index, TailReader
 
 SPENT = ("session_id", "project", "model", "is_sub", "tok_in", "tok_out", "tok_cr", "ts")
 
@@ -326,3 +326,41 @@ def test_three_vendors_live(spark, tmp_path):
     assert table(served.cells()) == table(batch()) and served.cells().count() == 4
     sessions = {r.session_id: r.turns for r in served.sessions(dt.datetime(2024, 1, 2, 3, 10)).collect()}
     assert sessions == {"s": 3, "c": 2, "g": 2}
+
+
+def test_small_files_share_a_task(tmp_path):
+    """Tasks grow with bytes, not with files; a range that is large has its own, and each line comes once with its own file."""
+    reader = TailReader({"path": str(tmp_path)})
+    many = {f"/f{n:05}": 10 for n in range(5000)} | {"/large": 3 * TASK}
+    tasks = reader.partitions({"/f00007": 10, "/f00008": 99}, many)
+    assert len(tasks) <= 5000 * (OPEN + 10) // TASK + 3
+    got = [(r.path, r.start, r.end) for t in tasks for r in (t, *t.others)]
+    assert sorted(got) == sorted((p, 0, n) for p, n in many.items() if p != "/f00007")
+    assert [t.others for t in tasks if t.path == "/large"] == [[]]
+    for name, text in (("a", b"1\n2\n"), ("b", b"3\n"), ("c", b"")):
+        (tmp_path / name).write_bytes(text)
+    (own,) = reader.partitions({}, {str(tmp_path / n): k for n, k in (("a", 4), ("b", 2), ("c", 0))})
+    rows = [r for b in reader.read(own) for r in b.to_pylist()]
+    assert [(r["path"][-1], r["start"], r["value"]) for r in rows] == [("a", 0, "1"), ("a", 2, "2"), ("b", 0, "3")]
+    (none,) = reader.partitions({"/f00007": 10}, {"/f00007": 10})
+    assert list(reader.read(none)) == []
+
+
+def test_first_by_order_whatever_task_reads_it(spark, tmp_path):
+    """Of repeats in one batch that lie in different files and tasks, the first by ``ord`` stays; a later batch repeats none."""
+    rows = [(n, f"m{n % 40}", "r", n) for n in range(400)] + [(n, None, "r", n) for n in range(400, 410)]
+    schema = "ord long, message_id string, request_id string, tok_in long"
+    spark.createDataFrame(rows[::-1], schema).repartition(13).write.parquet(str(tmp_path / "in"))
+    out: list[tuple] = []
+    stream = live.deduped(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+
+    def follow():
+        with live.state_store(spark):
+            run = stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+            run.foreachBatch(lambda batch, _: out.extend(tuple(r) for r in batch.collect())).start().awaitTermination()
+
+    follow()
+    assert sorted(out) == [r for r in rows if r[0] < 40 or r[0] >= 400]
+    spark.createDataFrame([(-1, "m3", "r", 0), (500, "m40", "r", 1)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    follow()
+    assert sorted(out)[-1] == (500, "m40", "r", 1) and len(out) == 51
