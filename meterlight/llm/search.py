@@ -34,6 +34,8 @@ FIRST_BLOCKS = 4
 OFTEN, OFTEN_LEAST = 16, 8
 BATCH_CELLS = 1 << 19
 FILTER_BITS, FILTER_PART = 1 << 26, 1 << 18
+#: Ranges of words that counts are added up by, and words that a task holds before it hands them on.
+COUNT_PARTS, COUNT_HELD = 64, 1 << 20
 
 
 class _Hashes(dict):
@@ -227,16 +229,49 @@ def _indexed(rows: DataFrame, shards: int, wanted: Broadcast) -> DataFrame:
     return kept(rows.groupBy("shard").applyInArrow(build, f"shard int, keys array<{kind}>, " + ", ".join(f"{c} binary" for c in STORED)))
 
 
-def _counted(index: DataFrame) -> DataFrame:
-    """``term, df``, and at term 0 with df 0 the sum of all lengths in ``length``."""
+def _summed(term: list[np.ndarray], df: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Terms, ascending, each once, and the sums of their counts."""
+    every, place = np.unique(np.concatenate([np.empty(0, np.uint64), *term]), return_inverse=True)
+    return every, np.bincount(place, np.concatenate([np.empty(0, np.int64), *df]), len(every)).astype(np.int64)
+
+
+def _packed_counts(index: DataFrame) -> DataFrame:
+    """The counts of a task's shards, added up, as packed arrays, one for each of ``COUNT_PARTS`` ranges of terms: a shard's words aren't rows, so that rows don't grow with shards times words."""
+
+    def packed(term: list[np.ndarray], df: list[np.ndarray], total: int) -> pa.RecordBatch:
+        every, n = _summed(term, df)
+        edges = [*np.searchsorted(every, np.arange(COUNT_PARTS, dtype=np.uint64) * np.uint64((1 << 64) // COUNT_PARTS)).tolist(), len(every)]
+        cut = lambda x: pa.array([x[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+        lengths = np.zeros(COUNT_PARTS, np.int64)
+        lengths[0] = total
+        return pa.RecordBatch.from_arrays([pa.array(range(COUNT_PARTS), pa.int32()), cut(every), cut(n), pa.array(lengths)], ["part", "terms", "counts", "length"])
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, dfs, total, held = [], [], 0, 0
         for b in batches:
             for term, n, lengths in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                t, df, total = np.frombuffer(term, np.int64), np.frombuffer(n, np.int32), int(np.frombuffer(lengths, np.int32).sum(dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(t, 0)), pa.array(np.append(df, 0).astype(np.int64)), pa.array(np.append(np.zeros(len(t), np.int64), total))], ["term", "df", "length"])
+                terms.append(np.frombuffer(term, np.uint64))
+                dfs.append(np.frombuffer(n, np.int32))
+                total += int(np.frombuffer(lengths, np.int32).sum(dtype=np.int64))
+                held += len(terms[-1])
+                if held >= COUNT_HELD:
+                    yield packed(terms, dfs, total)
+                    terms, dfs, total, held = [], [], 0, 0
+        if terms:
+            yield packed(terms, dfs, total)
+
+    return index.select("term", "n", "lengths").mapInArrow(counts, "part int, terms binary, counts binary, length long")
+
+
+def _counted(index: DataFrame) -> DataFrame:
+    """``term, df``, and at term 0 with df 0 the sums of lengths in ``length``."""
+
+    def added(own: pa.Table) -> pa.Table:
+        every, n = _summed([np.frombuffer(x, np.uint64) for x in own["terms"].to_pylist()], [np.frombuffer(x, np.int64) for x in own["counts"].to_pylist()])
+        length = np.append(np.zeros(len(every), np.int64), sum(own["length"].to_pylist()))
+        return pa.table({"term": np.append(every.view(np.int64), 0), "df": np.append(n, 0), "length": length})
 
-    return kept(index.select("term", "n", "lengths").mapInArrow(counts, "term long, df long, length long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("length").alias("length")))
+    return kept(_packed_counts(index).groupBy("part").applyInArrow(added, "term long, df long, length long"))
 
 
 @dataclass

@@ -6,6 +6,7 @@ import re
 import string
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -238,3 +239,16 @@ def test_warc(spark):
         assert r.of == (3 if r.type == "revisit" else None) and (r.type == "response" or html == big)
         assert r.page_id == 3 or (r.type == "revisit") == (html == big)
     assert warc.archived(spark, pages.where("false")).count() == 0
+
+
+def test_words_of_shards_are_added_up_before_they_are_rows(spark):
+    """Counts of words leave a task packed: rows don't grow with shards times words, and the sums are those of all shards."""
+    shards, words = 40, [0, 1, *range(1 << 58, 1 << 64, 1 << 56)]
+    packed = [(bytearray(np.array(words, np.uint64).tobytes()), bytearray(np.full(len(words), k, np.int32).tobytes()), bytearray(np.array([k, 2], np.int32).tobytes())) for k in range(1, shards + 1)]
+    index = spark.createDataFrame(packed, "term binary, n binary, lengths binary").coalesce(2)
+    assert search._packed_counts(index).count() <= 2 * search.COUNT_PARTS < shards * len(words)
+    got = search._counted(index).collect()
+    total = sum(range(1, shards + 1))
+    assert sorted((r.term % (1 << 64), r.df) for r in got if r.df) == [(w, total) for w in words]
+    assert sum(r.length for r in got) == total + 2 * shards
+    assert search._counted(index.limit(0)).collect() == []
