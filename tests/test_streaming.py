@@ -364,3 +364,20 @@ def test_first_by_order_whatever_task_reads_it(spark, tmp_path):
     spark.createDataFrame([(-1, "m3", "r", 0), (500, "m40", "r", 1)], schema).write.mode("append").parquet(str(tmp_path / "in"))
     follow()
     assert sorted(out)[-1] == (500, "m40", "r", 1) and len(out) == 51
+
+
+def test_many_files_are_opened_by_several_tasks(spark, tmp_path):
+    """In folders below one folder too: listed, opened and read, with each line at its own file, at any depth."""
+    for n in range(60):
+        f = tmp_path / "one" / f"s{n}" / ("sub" if n % 3 else ".") / f"{n}.jsonl"
+        append(f, f"a{n}", f"b{n}", tail=b"half")
+    append(tmp_path / "top.jsonl", "a99")
+    append(tmp_path / "one" / "near.jsonl", "a98")
+    files = listed(spark, str(tmp_path), "*.jsonl")
+    assert files.count() == 62
+    ends = with_ends(files.withColumn("start", F.lit(0).cast("long")).coalesce(1))
+    assert ends.select(F.spark_partition_id()).distinct().count() > 1
+    got = read_ranges(ends, ["path"]).collect()
+    names = {r.value: r.path.rsplit("/", 1)[1] for r in got}
+    assert len(got) == 122 and all(names[f"{c}{n}"] == f"{n}.jsonl" for n in range(60) for c in "ab")
+    assert (names["a99"], names["a98"]) == ("top.jsonl", "near.jsonl")
