@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
 Pairs wait in a queue of buckets, one for each merge rank, that hold positions of a linked list. A bitmap of
-two levels tells which buckets hold something: find-first-set in the top word and then in one word below
-gives the least rank. A merge leaves entries of its neighbours behind; they are skipped when they come up, because
+two levels tells which buckets hold something: the highest bit of the top word and then of one word below,
+both mirrored, gives the least rank. A merge leaves entries of its neighbours behind; they are skipped when they come up, because
 the rank now noted at their position is another. Each of the n bytes of a pre-token enters and leaves a
 bounded number of times, so that a pre-token of a million bytes costs about n log n and not n squared.
 """
@@ -36,12 +36,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Encoder(dict):
     """Maps pre-tokens to the 32-bit ids of their tokens, and remembers them."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.remembered = ranks, remembered
         self.last: dict[str, bytes] = {}
         self.find = regex.compile(pattern).findall
         self.words = [0] * ((max(ranks.values(), default=0) >> WORD_BITS) + 1)
+        # mirrored, so that the length of a word gives the least that it holds
+        self.bit = [1 << k for k in range((1 << WORD_BITS) - 1, -1, -1)]
+        self.top_bit = [1 << k for k in range(len(self.words) - 1, -1, -1)]
+        self.single = [ranks.get(bytes((x,))) for x in range(256)]
         self.pairs = [ranks.get(bytes((x, y)), -1) for x in range(256) for y in range(256)]
 
     def __missing__(self, token: str) -> bytes:
@@ -49,7 +53,7 @@ class Encoder(dict):
         if ids is None:
             ids = array("i", self.merge(token.encode())).tobytes()
         if len(token) <= LONGEST:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.remembered:
                 self.last = dict(self)
                 self.clear()
             self[token] = ids
@@ -63,49 +67,82 @@ class Encoder(dict):
         if (whole := get(piece)) is not None:
             return [whole]
         n, words, top, mask, pairs = len(piece), self.words, 0, (1 << WORD_BITS) - 1, self.pairs
-        buckets: dict[int, list[int]] = {}
+        bit, top_bit, size = self.bit, self.top_bit, len(words)
+        # a bucket of one position is that position, of several a heap
+        buckets: dict[int, int | list[int]] = {}
         # the rank of the pair that starts at each place, or -1
         noted = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]  # noqa: B905
         for at, rank in enumerate(noted):
             if rank in buckets:
-                buckets[rank].append(at)
+                held = buckets[rank]
+                if held.__class__ is int:
+                    buckets[rank] = [held, at]
+                else:
+                    held.append(at)
             elif rank >= 0:
-                buckets[rank] = [at]
-                words[rank >> WORD_BITS] |= 1 << (rank & mask)
-                top |= 1 << (rank >> WORD_BITS)
-        noted += [-1, -1]
+                buckets[rank] = at
+                bits = words[word := rank >> WORD_BITS]
+                words[word] = bits | bit[rank & mask]
+                if not bits:
+                    top |= top_bit[word]
+        noted += (-1, -1)
         after, before = list(range(1, n + 2)), list(range(-1, n + 1))
+        single = self.single
+        ids = [single[x] for x in piece]
         while top:
-            word = (top & -top).bit_length() - 1
-            bits = words[word]
-            rank = (word << WORD_BITS) + (bits & -bits).bit_length() - 1
-            bucket = buckets[rank]
-            at = heappop(bucket)
-            if not bucket:
+            bits = words[word := size - top.bit_length()]
+            low = mask + 1 - bits.bit_length()
+            rank = word << WORD_BITS | low
+            at = buckets[rank]
+            if at.__class__ is int:
                 del buckets[rank]
-                words[word] = bits = bits & (bits - 1)
+                words[word] = bits = bits ^ bit[low]
                 if not bits:
-                    top &= top - 1
+                    top ^= top_bit[word]
+            else:
+                bucket = at
+                at = heappop(bucket)
+                if len(bucket) == 1:
+                    buckets[rank] = bucket[0]
             if noted[at] != rank:
                 continue
+            ids[at] = rank
             mid = after[at]
             end = after[at] = after[mid]
             before[end] = at
-            noted[mid] = noted[at] = -1
-            for left, right in ((before[at], end), (at, after[end] if end < n else 0)):
-                if left >= 0 and right:
-                    noted[left] = new = get(piece[left:right], -1)
-                    if new in buckets:
-                        heappush(buckets[new], left)
-                    elif new >= 0:
-                        buckets[new] = [left]
-                        words[new >> WORD_BITS] |= 1 << (new & mask)
-                        top |= 1 << (new >> WORD_BITS)
-        ids, at = [], 0
-        while at < n:
-            ids.append(self.ranks[piece[at : after[at]]])
-            at = after[at]
-        return ids
+            ids[mid] = noted[mid] = noted[at] = -1
+            left = before[at]
+            if left >= 0:
+                noted[left] = new = get(piece[left:end], -1)
+                if new in buckets:
+                    held = buckets[new]
+                    if held.__class__ is int:
+                        buckets[new] = [held, left] if held < left else [left, held]
+                    else:
+                        heappush(held, left)
+                elif new >= 0:
+                    buckets[new] = left
+                    bits = words[word := new >> WORD_BITS]
+                    words[word] = bits | bit[new & mask]
+                    if not bits:
+                        top |= top_bit[word]
+            if end < n:
+                noted[at] = new = get(piece[at : after[end]], -1)
+                if new in buckets:
+                    held = buckets[new]
+                    if held.__class__ is int:
+                        buckets[new] = [held, at] if held < at else [at, held]
+                    else:
+                        heappush(held, at)
+                elif new >= 0:
+                    buckets[new] = at
+                    bits = words[word := new >> WORD_BITS]
+                    words[word] = bits | bit[new & mask]
+                    if not bits:
+                        top |= top_bit[word]
+        if None in ids:
+            raise KeyError("a byte that the vocabulary lacks")
+        return [x for x in ids if x >= 0]
 
 
 def decoder(ranks: dict[bytes, int]) -> Callable[[np.ndarray], bytes]:
@@ -132,17 +169,17 @@ def _lists(parts: list[bytes]) -> pa.Array:
 class ByteBPE:
     """A vocabulary of byte tokens, sent to the executors once; its size is that of its file."""
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str):
+    def __init__(self, spark: SparkSession, path: str, pattern: str, remembered: int = REMEMBERED):
         self.ranks = spark.sparkContext.broadcast(load_ranks(path))
-        self.pattern = pattern
+        self.pattern, self.remembered = pattern, remembered
 
     def encode(self, text: Column) -> Column:
         """The ids of the text's tokens; null gives none, as the empty text does."""
-        ranks, pattern = self.ranks, self.pattern
+        ranks, pattern, remembered = self.ranks, self.pattern, self.remembered
 
         @F.arrow_udf("array<int>")
         def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            own = Encoder(ranks.value, pattern)
+            own = Encoder(ranks.value, pattern, remembered)
             for batch in tidied(batches):
                 yield _lists([own.encode(t.as_py() or "") for t in batch])
 
@@ -162,11 +199,11 @@ class ByteBPE:
 
     def round_trip(self, text: Column) -> Column:
         """A struct of ``ids`` and of ``decoded``, the bytes that these ids stand for: both ways in one Python worker."""
-        ranks, pattern = self.ranks, self.pattern
+        ranks, pattern, remembered = self.ranks, self.pattern, self.remembered
 
         @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
         def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            there, back = Encoder(ranks.value, pattern), decoder(ranks.value)
+            there, back = Encoder(ranks.value, pattern, remembered), decoder(ranks.value)
             for batch in tidied(batches):
                 parts = [there.encode(t.as_py() or "") for t in batch]
                 decoded = pa.array([back(np.frombuffer(x, "<i4")) for x in parts], pa.binary())

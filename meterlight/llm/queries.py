@@ -54,7 +54,8 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .bpe import ByteBPE, round_trip_documents
 
-    bpe = ByteBPE(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    # its workers hold nothing else, so that they may remember more than in the pipeline
+    bpe = ByteBPE(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, remembered=200_000)
     coded = round_trip_documents(documents(spark, sf_dir).select("doc_id", "text"), bpe)
     return coded.select(
         "doc_id",

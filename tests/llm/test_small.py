@@ -28,6 +28,26 @@ def test_bpe_is_the_librarys(encoder):
         assert np.frombuffer(encoder.encode(t), "<i4").tolist() == own.encode_ordinary(t)
 
 
+def test_bpe_of_equal_ranks_and_a_bounded_memory():
+    """A bucket that goes from one position to several and back, bytes that the vocabulary lacks, and how many pre-tokens are merged anew."""
+    ranks = {bytes((x,)): x for x in b"ab"} | {b"aa": 1000, b"ab": 300, b"aab": 301, b"aaaa": 70_000}
+    own = tiktoken.Encoding("own", pat_str=r"\w+", mergeable_ranks=ranks, special_tokens={})
+    small, rng = bpe.Encoder(ranks, r"\w+", remembered=2), random.Random(5)
+    for n in range(1, 200):
+        t = "".join(rng.choice("aaab") for _ in range(n))
+        assert small.merge(t.encode()) == own.encode_ordinary(t)
+    assert not any(small.words)
+    with pytest.raises(KeyError):
+        bpe.Encoder(ranks, r"\w+").merge(b"abc")
+    for remembered, expected in ((2, [b"a", b"b", b"aa", b"ab", b"a", b"aa"]), (4, [b"a", b"b", b"aa", b"ab"])):
+        held, merged = bpe.Encoder(ranks, r"\w+", remembered=remembered), []
+        merge = held.merge
+        held.merge = lambda piece: merged.append(piece) or merge(piece)  # noqa: B023
+        for t in ("a b aa ab", "aa ab b a", "ab aa"):
+            held.encode(t)
+        assert merged == expected and len(held) <= remembered and len(held.last) <= remembered
+
+
 def test_crf_marginals_are_those_of_all_paths():
     rng = np.random.default_rng(2)
     model = toxicity.Field(enter=-1.0, stay=0.7, leave=-0.4)
