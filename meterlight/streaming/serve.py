@@ -16,11 +16,13 @@ from meterlight.state.warm import CELLS, SUMS
 from meterlight.streaming.live import state_store
 from meterlight.streaming.sessions import Limits, turns
 
-VERSION = 1
+VERSION = 2
 #: Parts of a table before they are summed to one, and generations that stay for their readers.
 PARTS, KEEP = 32, 20
-SESSIONS = "session_id string, project string, first double, last double, turns long, subs long, usd double, main struct<at:double,ord:string,model:string,context:long>, peak long"
-RECENT = "session_id string, at double, usd double, cache double"
+#: Costs as they are added up: sums of doubles go by which task or batch comes first, in the eighth digit of long sessions.
+MONEY = "decimal(38,12)"
+SESSIONS = f"session_id string, project string, first double, last double, turns long, subs long, usd {MONEY}, main struct<at:double,ord:string,model:string,context:long>, peak long"
+RECENT = f"session_id string, at double, usd {MONEY}, cache {MONEY}"
 
 
 def part_cells(batch: DataFrame) -> DataFrame:
@@ -31,6 +33,10 @@ def merged_cells(parts: DataFrame) -> DataFrame:
     return parts.groupBy(*CELL).agg(*(F.sum(c).cast(parts.schema[c].dataType).alias(c) for c in SUMS))
 
 
+def _turns(batch: DataFrame, table: PriceTable | None) -> DataFrame:
+    return turns(batch, table).withColumns({c: F.col(c).cast(MONEY) for c in ("usd", "cache")})
+
+
 def _sessions(rows: DataFrame, n: Callable[[str], Column], main: Column) -> DataFrame:
     return rows.groupBy("session_id").agg(
         F.max(F.when(F.col("project") != "", F.col("project"))).alias("project"), F.min("first").alias("first"), F.max("last").alias("last"), n("turns").alias("turns"), n("subs").alias("subs"),
@@ -40,7 +46,7 @@ def _sessions(rows: DataFrame, n: Callable[[str], Column], main: Column) -> Data
 
 def part_sessions(batch: DataFrame, table: PriceTable | None = None) -> DataFrame:
     """What a batch's turns add to their sessions: sums, bounds, the latest main turn and the largest context."""
-    rows = turns(batch, table)
+    rows = _turns(batch, table)
     own = ~F.col("is_sub")
     one = rows.select(
         "session_id", "project", F.col("at").alias("first"), F.col("at").alias("last"), own.cast("long").alias("turns"), F.col("is_sub").cast("long").alias("subs"), "usd",
@@ -54,7 +60,7 @@ def merged_sessions(parts: DataFrame) -> DataFrame:
 
 
 def part_recent(batch: DataFrame, table: PriceTable | None = None) -> DataFrame:
-    return turns(batch, table).groupBy("session_id", "at").agg(F.sum("usd").alias("usd"), F.sum("cache").alias("cache"))
+    return _turns(batch, table).groupBy("session_id", "at").agg(F.sum("usd").alias("usd"), F.sum("cache").alias("cache"))
 
 
 class Served:
@@ -87,6 +93,8 @@ class Served:
         old = self.store.manifest()
         if old and old["epoch"] >= epoch:
             return
+        if not old and epoch:
+            raise RuntimeError(f"{self.store.at} has nothing of the batches before {epoch}: start with a new checkpoint")
         batch.persist()
         generation = self.store.begin()
         tables = {}
@@ -130,9 +138,9 @@ class Served:
         rows = rows.where(F.col("last") >= at - self.limits.active).join(late, "session_id", "left")
         window = F.when(F.col("peak") > 200_000, 1_000_000).otherwise(200_000)
         context = F.coalesce("main.context", F.lit(0))
-        none = lambda c: usd(F.coalesce(F.col(c), F.lit(0.0)))
+        paid = lambda c: usd(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
         return rows.select(
-            "session_id", "project", F.col("main.model").alias("model"), usd(F.col("usd")).alias("usd"), none("usd_5m").alias("usd_5m"), none("cache_5m").alias("cache_5m"), context.alias("context"),
+            "session_id", "project", F.col("main.model").alias("model"), usd(F.col("usd").cast("double")).alias("usd"), paid("usd_5m").alias("usd_5m"), paid("cache_5m").alias("cache_5m"), context.alias("context"),
             F.round(F.least(F.lit(1.0), context / F.coalesce(window, F.lit(200_000))), 8).alias("pct"), "turns", "subs", F.floor(F.round((F.col("last") - F.col("first")) * 1e6) / 1e6).alias("age"),
         )
 

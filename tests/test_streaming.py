@@ -6,6 +6,7 @@ import time
 from decimal import Decimal
 
 import pyarrow.fs
+import pytest
 from pyspark.sql import functions as F
 
 from meterlight.operators import reports as R
@@ -288,6 +289,26 @@ def test_parts_are_summed(spark, tmp_path, monkeypatch):
     assert (one.turns, one.usd_5m) == (5, one.usd)
 
 
+def test_sums_of_costs_are_exact(spark, tmp_path):
+    """A long session's costs, the largest first and last: doubles would lose parts of those that are added to it."""
+    served = Served(spark, str(tmp_path / "s"))
+    base = dt.datetime(2024, 1, 2, 12)
+    small = [event(k, base, costed="0.0001") for k in range(1, 1001)]
+    for k, rows in enumerate([[event(0, base, costed="100000000"), *small], [*small, event(1001, base, costed="100000000")]]):
+        served.add(spark.createDataFrame(rows, EVENTS).coalesce(1), k)
+    served.publish()
+    (one,) = served.sessions(base).collect()
+    assert (one.turns, one.usd, one.usd_5m, one.cache_5m) == (2002, 200000000.2, 200000000.2, 0.0)
+
+
+def test_a_checkpoint_ahead_of_its_store(spark, tmp_path):
+    """What earlier batches added is gone, or of another version: nothing is served without it."""
+    served = Served(spark, str(tmp_path / "s"))
+    with pytest.raises(RuntimeError, match="new checkpoint"):
+        served.add(spark.createDataFrame([event(1, dt.datetime(2024, 1, 2))], EVENTS), 1)
+    assert served.store.manifest() is None
+
+
 def said(n, mid):
     keys = ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
     return {"type": "assistant", "timestamp": "2024-01-02T03:04:05Z", "sessionId": "s", "requestId": "r", "message": {"id": mid, "model": "claude-opus-4-7", "usage": dict.fromkeys(keys, n)}}
