@@ -1,15 +1,16 @@
-"""Exact top-k search by BM25, with block-max WAND pruning.
+"""Exact top-k search by BM25, with bounds by segments of documents.
 
 Documents lie in shards of bounded size. A task builds a shard's inverted index: postings by term and document,
-documents of like vocabulary side by side, and for each term and block of documents the largest impact. A query
-is weighted by statistics of all documents before it goes to the shards. In a shard, the bounds of the query's terms are
-summed for each block; the blocks of the highest bounds are scored first, then those whose bound reaches the k-th best
-score so far, and no others. That score starts from what one shard alone has found, which can't be above the final one.
-So the merged lists are exactly those of scoring everything.
+documents of like vocabulary side by side, and for each segment of documents a matrix of its frequent words with their
+largest impacts. A query is weighted by statistics of all documents before it goes to the shards. In a shard, what a query
+has from rare words is added up first; the product with a segment's matrix follows only where both parts' bound reaches
+the k-th best score so far. That score starts from what a few shards have found, which can't be above the final one, and
+rises from shard to shard. So the merged lists are exactly those of scoring everything.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,10 +28,11 @@ K1, B = 1.2, 0.75
 SHARD_BYTES = 16 << 20
 #: Words of the queries that go through the index at once, about; 16 bytes each.
 QUERY_TERMS = 1 << 20
-BLOCK = 32
-#: Blocks of a shard that a query looks at first.
-FIRST_BLOCKS = 4
-#: Words of at least one in ``OFTEN`` of a shard's documents, and of ``OFTEN_LEAST``, lie as matrices too.
+#: Blocks of queries for which a shard is read and made once.
+BLOCKS_AT_ONCE = 4
+#: Documents of a shard whose frequent words lie in one matrix.
+SEGMENT = 512
+#: Words of at least one in ``OFTEN`` documents, by the geometric mean of a shard's share and the segment's, and of ``OFTEN_LEAST`` in the segment, lie in its matrix.
 OFTEN, OFTEN_LEAST = 16, 8
 BATCH_CELLS = 1 << 19
 FILTER_BITS, FILTER_PART = 1 << 26, 1 << 18
@@ -38,20 +40,12 @@ FILTER_BITS, FILTER_PART = 1 << 26, 1 << 18
 COUNT_PARTS, COUNT_HELD = 64, 1 << 20
 
 
-class _Hashes(dict):
-    def __missing__(self, term: bytes) -> int:
-        if len(self) >= 150_000:
-            self.clear()
-        self[term] = h = xxhash.xxh3_64_intdigest(term)
-        return h
-
-
-_HASHES = _Hashes()
-
-
 def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct words, A-Z in lower case, ascending, and how often each comes."""
-    return np.unique(np.fromiter(map(_HASHES.__getitem__, text.encode().lower().split()), np.uint64), return_counts=True)
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, text.encode().lower().split()), np.uint64)
+    own.sort()
+    edge = np.flatnonzero(np.append(own[1:] != own[:-1], len(own) > 0))
+    return own[edge], np.diff(edge, prepend=-1)
 
 
 def _lists(parts: list[np.ndarray], dtype: str) -> pa.Array:
@@ -65,7 +59,7 @@ def postings(docs: list[tuple[np.ndarray, np.ndarray]], keep: Callable[[np.ndarr
     term = np.concatenate([np.empty(0, np.uint64), *(t for t, _ in docs)])
     tf = np.concatenate([np.empty(0, np.int64), *(n for _, n in docs)])
     doc = np.repeat(np.arange(len(docs)), [len(t) for t, _ in docs])
-    # documents by their most frequent word: those of a language, and of a kind, share blocks
+    # documents by their most frequent word: those of a language, and of a kind, share segments
     mode = np.array([int(t[n.argmax()] >> np.uint64(1)) if len(t) else 0 for t, n in docs], np.int64)
     order = np.lexsort((lengths, mode))
     place = np.empty(len(docs), np.int64)
@@ -78,11 +72,13 @@ def postings(docs: list[tuple[np.ndarray, np.ndarray]], keep: Callable[[np.ndarr
 
 
 class Index:
-    """A shard's postings by term, with a bound for each run of a term in a block of documents, and by document.
+    """A shard's postings, in two parts by segments of ``SEGMENT`` documents, and all of them by document.
 
-    Words of many of the shard's documents also lie as a matrix for each block, so that a whole batch of queries
-    gets their part of bounds and scores by one product. That part is in single precision: ``slack`` covers its error,
-    and what may be among the best is scored again from the postings of its document.
+    Words of many of a segment's documents lie as a matrix, so that a whole batch of queries gets their part of the scores by
+    one product; all other postings lie by term and are added up for each query. What a query has from these is known
+    first: a segment is left out where that and the largest impacts of its matrix stay below the query's bar. The products
+    are in single precision: ``slack`` covers their error, and what may be among the best is scored again from the postings of
+    its document.
     """
 
     def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, mean_length: float):
@@ -96,109 +92,125 @@ class Index:
 
     def build(self, mean_length: float, order: np.ndarray, lengths: np.ndarray, term: np.ndarray, n: np.ndarray, doc: np.ndarray, tf: np.ndarray) -> None:
         norm = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
-        self.order, self.doc = order, doc.astype(np.int64)
-        self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
+        self.order, self.terms, self.docs = order, term, len(lengths)
+        impact = tf * (K1 + 1) / (tf + norm[doc])
         code = np.repeat(np.arange(len(term), dtype=np.int32), n)
-        block = self.doc // BLOCK
+        segment = doc // SEGMENT
         edge = np.ones(len(code), bool)
-        edge[1:] = (code[1:] != code[:-1]) | (block[1:] != block[:-1])
-        self.start = np.flatnonzero(edge)  # of each run of a term in a block
-        self.span = np.diff(np.append(self.start, len(code)))
-        self.block = block[self.start]
-        self.bound = np.maximum.reduceat(self.impact, self.start) if len(code) else self.impact
-        self.terms = term
-        self.first = np.searchsorted(code[self.start], np.arange(len(term) + 1))
-        self.blocks = -(-len(lengths) // BLOCK)
-
-        frequent = np.flatnonzero(n >= max(OFTEN_LEAST, len(lengths) / OFTEN))
+        edge[1:] = (code[1:] != code[:-1]) | (segment[1:] != segment[:-1])
+        start = np.flatnonzero(edge)  # of each run of a term in a segment
+        span, at, of = np.diff(np.append(start, len(code))), segment[start], code[start]
+        size = np.minimum(SEGMENT, len(lengths) - at * SEGMENT)
+        often = (span >= OFTEN_LEAST) & (span * n[of] * OFTEN**2 >= size * len(lengths))
+
         self.column = np.full(len(term), -1)
+        frequent = np.unique(of[often])
         self.column[frequent] = np.arange(len(frequent))
-        own = self.column[code] >= 0
-        at = self.doc[own]
-        self.often = np.zeros((self.blocks, len(frequent), BLOCK), np.float32)
-        self.often[at // BLOCK, self.column[code[own]], at % BLOCK] = self.impact[own]
-        self.often_bound = self.often.max(axis=2)
-        self.slack = 1 + 2.0**-22 * (len(frequent) + 8)
-
-        by = np.argsort(self.doc, kind="stable")
-        self.by_doc = np.searchsorted(self.doc[by], np.arange(len(lengths) + 1))
-        self.doc_term, self.doc_post = code[by], by.astype(np.int32)
+        self.columns = len(frequent)
+        self.segments = []
+        for k in range(-(-len(lengths) // SEGMENT)):
+            lo, hi = k * SEGMENT, min((k + 1) * SEGMENT, len(lengths))
+            runs = np.flatnonzero(often & (at == k))
+            post = _ranges(start[runs], span[runs])
+            matrix = np.zeros((len(runs), hi - lo), np.float32)
+            matrix[np.repeat(np.arange(len(runs)), span[runs]), doc[post] - lo] = impact[post]
+            self.segments.append((lo, hi, self.column[of[runs]], matrix, matrix.max(axis=1)))
+        self.slack = 1 + 2.0**-22 * (max((len(x[2]) for x in self.segments), default=0) + 8)
+
+        rest = ~np.repeat(often, span)
+        pairs = np.empty((np.count_nonzero(rest), 2), np.int32)  # document, and impact in single precision: read as one number
+        pairs[:, 0], pairs[:, 1] = doc[rest], impact[rest].astype(np.float32).view(np.int32)
+        self.rare = pairs.reshape(-1).view(np.int64)
+        self.rare_n = np.bincount(code[rest], minlength=len(term))
+        self.rare_at = np.cumsum(self.rare_n) - self.rare_n
+
+        by = _by_document(doc, len(lengths))
+        self.by_doc = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(lengths)))])
+        self.doc_term, self.doc_impact = code[by], impact[by]
+        self.weight = np.zeros(len(term))  # of the words of the query whose documents are scored again
 
     def search(self, query: np.ndarray, weight: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Documents (numbers in the shard's order) that may be among the k best with ``least`` or more, and their scores. Words ascend."""
-        return next(self.search_all(query, [(np.arange(len(query)), weight)], k, np.array([least])))
+        found = [x[1:] for x in self.search_all(query, np.array([0, len(query)]), np.arange(len(query)), weight, k, np.array([least]))]
+        return found[0] if found else (np.empty(0, np.int64), np.empty(0))
 
-    def search_all(self, every: np.ndarray, asked: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """``search`` for each query, whose words are places in ``every``, in batches that keep a batch's weights and scores at ``BATCH_CELLS`` numbers each."""
+    def search_all(self, every: np.ndarray, edges: np.ndarray, code: np.ndarray, weight: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """``search`` for each query, with its number, where it finds any. Words of query j are the places ``code[edges[j]:edges[j + 1]]`` in ``every``; batches keep weights and scores at ``BATCH_CELLS`` numbers each."""
+        if not len(self.terms):
+            return
         places = np.searchsorted(self.terms, every)
         places[places == len(self.terms)] = 0
-        places[self.terms[places] != every if len(self.terms) else slice(None)] = -1
-        step = max(1, min(256, BATCH_CELLS // max(1, self.often.shape[1], self.blocks * BLOCK)))
-        for at in range(0, len(asked), step):
-            yield from self._batch(places, asked[at : at + step], k, least[at : at + step].copy())
-
-    def _batch(self, places: np.ndarray, asked: list[tuple[np.ndarray, np.ndarray]], k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        weights = np.zeros((len(asked), self.often.shape[1]), np.float32)
-        bounds = np.zeros((len(asked), self.blocks))
-        hits, rare = [], []
-        for j, (query, weight) in enumerate(asked):
-            at = places[query]
-            hit = at >= 0
-            at, w = at[hit], weight[hit]
-            hits.append((at, w))
-            column = self.column[at]
-            often = column >= 0
-            weights[j, column[often]] = w[often]
-            at, w = at[~often], w[~often]
-            n = self.first[at + 1] - self.first[at]
-            run, w = _ranges(self.first[at], n), np.repeat(w, n)
-            block = self.block[run]
-            rare.append((run, w, block))
-            bounds[j] = np.bincount(block, w * self.bound[run], self.blocks)
-        bounds = (bounds + weights @ self.often_bound.T) * self.slack
-        scores = np.zeros((len(asked), self.blocks, BLOCK))
-
-        # without a bar from another shard, the blocks of the highest bounds make one; then all others whose bound reaches it
-        top = np.argpartition(-bounds, FIRST_BLOCKS, axis=1)[:, :FIRST_BLOCKS] if self.blocks > FIRST_BLOCKS else np.tile(np.arange(self.blocks), (len(asked), 1))
-        best = np.zeros(bounds.shape, bool)
-        np.put_along_axis(best, top, True, axis=1)
-        best[least > 0] = False
-        for part in (best, ~best):
-            live = part & (bounds > 0) & (bounds >= least[:, None] - 1e-9)
-            for b in np.flatnonzero(live.any(axis=0)):
-                own = np.flatnonzero(live[:, b])
-                scores[own, b] = weights[own] @ self.often[b]
-            for j in np.flatnonzero(live.any(axis=1)):
-                run, w, block = rare[j]
-                own = np.flatnonzero(live[j][block])
-                run = run[own]
-                n = self.span[run]
-                post = _ranges(self.start[run], n)
-                scores[j] += np.bincount(self.doc[post], np.repeat(w[own], n) * self.impact[post], self.blocks * BLOCK).reshape(-1, BLOCK)
-            if part is best and k <= top.shape[1] * BLOCK:
-                seen = np.take_along_axis(scores, top[:, :, None], axis=1).reshape(len(asked), -1)
-                least = np.maximum(least, np.partition(seen, -k, axis=1)[:, -k] / self.slack)
-
-        for j, (at, w) in enumerate(hits):
-            near = scores[j].reshape(-1)
-            docs = np.flatnonzero((near > 0) & (near * self.slack >= least[j] - 1e-9))
+        places[self.terms[places] != every] = -1
+        at = places[code]
+        hit = at >= 0
+        edges = np.concatenate([[0], np.cumsum(hit)])[edges]
+        at, weight = at[hit], weight[hit]
+        step = max(1, min(256, BATCH_CELLS // max(1, self.columns, self.docs)))
+        for lo in range(0, len(edges) - 1, step):
+            own = edges[lo : lo + step + 1]
+            for j, docs, total in self._batch(own - own[0], at[own[0] : own[-1]], weight[own[0] : own[-1]], k, least[lo : lo + step]):
+                yield lo + j, docs, total
+
+    def _batch(self, edges: np.ndarray, at: np.ndarray, weight: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        many, cuts = len(edges) - 1, edges.tolist()
+        column = self.column[at]
+        often = np.flatnonzero(column >= 0)
+        weights = np.zeros((self.columns, many), np.float32)
+        weights[column[often], np.repeat(np.arange(many), np.diff(edges))[often]] = weight[often]
+        scores = np.zeros((many, self.docs), np.float32)
+        n = self.rare_n[at]
+        ends, single = np.cumsum(n), weight.astype(np.float32)
+        shift, sums = self.rare_at[at] - (ends - n), np.concatenate([[0], ends])[edges].tolist()
+        places = np.arange(sums[-1])
+        for j, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if sums[j] < sums[j + 1]:
+                post = np.repeat(shift[lo:hi], n[lo:hi])
+                post += places[sums[j] : sums[j + 1]]
+                pairs = np.take(self.rare, post, mode="clip")
+                part = np.repeat(single[lo:hi], n[lo:hi])
+                part *= pairs.view(np.float32)[1::2]
+                scores[j] = np.bincount(pairs.view(np.int32)[::2], part, self.docs)
+        most = np.maximum.reduceat(scores, [x[0] for x in self.segments], axis=1)
+
+        bar = least - 1e-9
+        for (lo, hi, columns, matrix, top), rest in zip(self.segments, most.T, strict=True):
+            own = weights[columns]
+            bound = top @ own
+            live = np.flatnonzero((bound > 0) & ((bound + rest) * self.slack >= bar))
+            if len(live) == many:
+                scores[:, lo:hi] += own.T @ matrix
+            elif len(live):
+                scores[live, lo:hi] += own[:, live].T @ matrix
+
+        bare = np.flatnonzero(least <= 0)
+        if len(bare) and k <= self.docs:  # without a bar from other shards, the k best here make one
+            bar[bare] = np.partition(scores[bare], -k, axis=1)[:, -k] / self.slack - 1e-9
+        found = scores >= np.maximum(bar / self.slack, 1e-37).astype(np.float32)[:, None]
+        for j in np.flatnonzero(found.any(axis=1)).tolist():
+            docs = np.flatnonzero(found[j])
             if len(docs) > k:
-                docs = docs[near[docs] * self.slack >= np.partition(near[docs], -k)[-k] / self.slack - 1e-9]
-            total = self._full(docs, at, w)
-            bar = max(least[j], np.partition(total, -k)[-k]) if len(total) > k else least[j]
-            keep = total >= bar - 1e-9
-            yield self.order[docs[keep]], total[keep]
-
-    def _full(self, docs: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+                near = scores[j, docs]
+                docs = docs[near * self.slack >= np.partition(near, -k)[-k] / self.slack - 1e-9]
+            total = self._full(docs, at[cuts[j] : cuts[j + 1]], weight[cuts[j] : cuts[j + 1]])
+            keep = total >= (max(least[j], np.partition(total, -k)[-k]) if len(total) > k else least[j]) - 1e-9
+            if keep.any():
+                yield j, self.order[docs[keep]], total[keep]
+
+    def _full(self, docs: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Scores added up word by word in the order of words, so that a document's sum doesn't depend on its shard."""
-        parts, n = [np.empty(0)], []
-        for lo, hi in zip(self.by_doc[docs].tolist(), self.by_doc[docs + 1].tolist(), strict=True):
-            own = self.doc_term[lo:hi]
-            place = np.searchsorted(own[:-1], at)
-            hit = np.flatnonzero(own[place] == at)
-            parts.append(w[hit] * self.impact[self.doc_post[lo + place[hit]]])
-            n.append(len(hit))
-        return np.bincount(np.repeat(np.arange(len(docs)), n), np.concatenate(parts), len(docs))
+        self.weight[at] = weight
+        n = self.by_doc[docs + 1] - self.by_doc[docs]
+        post = _ranges(self.by_doc[docs], n)
+        own = self.weight[self.doc_term[post]]
+        hit = np.flatnonzero(own)
+        self.weight[at] = 0
+        return np.bincount(np.repeat(np.arange(len(docs)), n)[hit], own[hit] * self.doc_impact[post[hit]], len(docs))
+
+
+def _by_document(doc: np.ndarray, docs: int) -> np.ndarray:
+    """The order of postings by document, words ascending in each; numbers of 16 bits sort by their digits."""
+    by = np.argsort((doc & 0xFFFF).astype(np.uint16), kind="stable")
+    return by if docs <= 1 << 16 else by[np.argsort((doc[by] >> 16).astype(np.uint16), kind="stable")]
 
 
 def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -276,47 +288,50 @@ def _counted(index: DataFrame) -> DataFrame:
 
 @dataclass
 class Queries:
-    """A block of queries: terms and weights of query j lie from ``edges[j]`` to ``edges[j + 1]``, and ``least`` is what its k-th best has at least."""
+    """A block of queries: words of query j are the places ``codes[edges[j]:edges[j + 1]]`` in ``every``, ascending, with their weights, and ``least`` is what its k-th best has at least."""
 
     ids: list
     edges: np.ndarray
-    terms: np.ndarray
+    every: np.ndarray
+    codes: np.ndarray
     weights: np.ndarray
     least: np.ndarray
+    kind: pa.DataType
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Queries:
+        lists = rows["terms"].combine_chunks()
+        every, codes = np.unique(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True)
+        edges = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        # words ascend as numbers without sign: a document's score is added up in that order
+        by = np.lexsort((codes, np.repeat(np.arange(rows.num_rows), np.diff(edges))))
+        weights = rows["weights"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+        return cls(rows["query"].to_pylist(), edges, every, codes[by].astype(np.int32), weights[by], np.zeros(rows.num_rows), rows.schema.field("query").type)
 
 
-def _answers(index: DataFrame, sent: Broadcast, k: int, mean: float, result: str) -> DataFrame:
-    """``query, key, score`` of what may be among the k best: of each task's shards the k best, which raise the bar from shard to shard."""
+def _answers(index: DataFrame, sent: list[Broadcast], k: int, mean: float, result: str) -> DataFrame:
+    """``query, key, score`` of what may be among the k best: of each task's shards the k best, which raise the bar from shard to shard. Each shard is made once for all blocks."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _HASHES.clear()
-        q = sent.value
-        least, best = q.least.copy(), [[] for _ in q.ids]
-        every, places = np.unique(q.terms, return_inverse=True)
-        places = places.astype(np.int32)
-        own = []
-        for lo, hi in zip(q.edges[:-1], q.edges[1:], strict=True):
-            by = np.argsort(places[lo:hi])
-            own.append((places[lo:hi][by], q.weights[lo:hi][by]))
-        kinds = None
+        blocks, kinds = [], None
         for b in batches:
             kinds = b.schema.field("keys").type.value_type
             for at in range(b.num_rows):  # a row is a whole shard
                 (row,) = b.slice(at, 1).to_pylist()
                 keys, stored = row["keys"], {c: np.frombuffer(row[c], t) for c, t in STORED.items()}
                 shard = Index.of(mean, order=np.arange(len(keys)), **stored)
-                for j, (found, score) in enumerate(shard.search_all(every, own, k, least)):
-                    if not len(found):
-                        continue
-                    new = [(-s, keys[d] is None, keys[d]) for s, d in zip(np.round(score, 9).tolist(), found.tolist(), strict=True)]
-                    best[j] = sorted(best[j] + new, key=lambda x: (x[0], x[1], 0 if x[1] else x[2]))[:k]
-                    if len(best[j]) == k:
-                        least[j] = max(least[j], -best[j][-1][0])
+                if not blocks:
+                    blocks = [(x.value, x.value.least.copy(), {}) for x in sent]
+                for q, least, best in blocks:
+                    for j, found, score in shard.search_all(q.every, q.edges, q.codes, q.weights, k, least):
+                        new = [(-s, keys[d] is None, keys[d]) for s, d in zip(np.round(score, 9).tolist(), found.tolist(), strict=True)]
+                        best[j] = sorted(best.get(j, []) + new, key=lambda x: (x[0], x[1], 0 if x[1] else x[2]))[:k]
+                        if len(best[j]) == k:
+                            least[j] = max(least[j], -best[j][-1][0])
                 row = stored = shard = None  # before the next one is built
-        if kinds is not None:
-            n = [len(x) for x in best]
-            ids = [i for i, m in zip(q.ids, n, strict=True) for _ in range(m)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x[2] for y in best for x in y], kinds), pa.array([-x[0] for y in best for x in y], pa.float64())], ["query", "key", "score"])
+        for q, _, best in blocks:
+            ids = [q.ids[j] for j, x in best.items() for _ in x]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, q.kind), pa.array([x[2] for y in best.values() for x in y], kinds), pa.array([-x[0] for y in best.values() for x in y], pa.float64())], ["query", "key", "score"])
 
     return index.select("keys", *STORED).mapInArrow(lambda batches: tidied(answer(batches)), result)
 
@@ -329,7 +344,7 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "te
     found each, and of queries with the same key the one with the least text is answered. Queries with a null key are left out, as
     their answers couldn't be told apart. Other columns don't matter and don't come back.
 
-    Texts shuffle once, to make the index. Queries go to the index in blocks of about ``query_terms`` words, each broadcast.
+    Texts shuffle once, to make the index. Queries go to the index in blocks of about ``query_terms`` words, each broadcast, ``BLOCKS_AT_ONCE`` of them together.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
@@ -365,29 +380,31 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "te
     mean = (counts.agg(F.sum("length")).first()[0] or 0) / max(1, size["n"])
     idf = F.log1p((F.lit(float(size["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked_terms.join(counts.where("df > 0").select("term", idf.alias("idf")), "term")
-    weighted = weighted.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("w")))).alias("q"))
+    words = F.sort_array(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("w"))))
+    weighted = weighted.groupBy("query").agg(words.alias("q"), F.max_by("term", "tf").alias("mode"))
     n_terms = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = max(1, -(-n_terms // query_terms))
-    weighted = kept(weighted.select("query", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("part"), F.col("q.term").alias("terms"), F.col("q.w").alias("weights")))
+    weighted = kept(weighted.select("query", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("part"), "mode", F.col("q.term").alias("terms"), F.col("q.w").alias("weights")))
 
     result = f"query {kind}, key {rows.schema['key'].dataType.simpleString()}, score double"
     order = W.partitionBy("query").orderBy(F.desc("score"), F.col("key").isNull(), "key")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    first = math.isqrt(shards - 1) + 1
     at = shared_folder(spark)
-    for part in range(blocks):
-        got = weighted.where(F.col("part") == part).select("query", "terms", "weights").orderBy("query").toArrow()
-        lists = got["terms"].combine_chunks()
-        block = Queries(
-            got["query"].to_pylist(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64),
-            lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), got["weights"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float), np.zeros(got.num_rows),
-        )
-        # what one shard has k times is a bar for the others
-        alone = spark.sparkContext.broadcast(block)
-        first = _answers(index.where("shard = 0"), alone, k, mean, result)
-        bar = {r.query: r.score for r in first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query", "score").collect()}
-        block.least = np.array([bar.get(i, 0.0) for i in block.ids], float)
-        alone.destroy()
-        sent = spark.sparkContext.broadcast(block)
-        ranked = _answers(index, sent, k, mean, result).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        ranked.select(F.col("query").alias("query_id"), "rank", F.col("key").alias(key), "score").write.mode("append").parquet(at)
-        sent.destroy()
+    for lo in range(0, blocks, BLOCKS_AT_ONCE):
+        # queries with the same most frequent word, and so mostly of a language, lie side by side, as documents do
+        group = [Queries.of(weighted.where(F.col("part") == part).orderBy("mode", "query").select("query", "terms", "weights").toArrow()) for part in range(lo, min(lo + BLOCKS_AT_ONCE, blocks))]
+        # what some shards have k times is a bar for the others
+        alone = [spark.sparkContext.broadcast(q) for q in group]
+        few = kept(ranked(_answers(index.where(F.col("shard") < first), alone, k, mean, result)))
+        for x in alone:
+            x.destroy()
+        bar = {r.query: r.score for r in few.where(F.col("rank") == k).select("query", "score").collect()}
+        for q in group:
+            q.least = np.array([bar.get(i, 0.0) for i in q.ids], float)
+        sent = [spark.sparkContext.broadcast(q) for q in group]
+        found = ranked(_answers(index.where(F.col("shard") >= first), sent, k, mean, result).union(few.drop("rank")))
+        found.select(F.col("query").alias("query_id"), "rank", F.col("key").alias(key), "score").write.mode("append").parquet(at)
+        for x in sent:
+            x.destroy()
     return spark.read.parquet(at)
